@@ -22,20 +22,35 @@ def cleaned(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, ",", ""), r"(?U)^\s+|\s+$", "")
 
 
-def parse_reason(raw: Column) -> Column:
-    """NULL when the cell is a valid non-negative integer, else the reason."""
-    c = cleaned(raw)
+def parse_reason(raw: Column, clean: Column | None = None) -> Column:
+    """NULL when the cell is a valid non-negative integer, else the reason.
+
+    Pass ``clean`` (a column already holding ``cleaned(raw)``) after an
+    unpivot or explode: it keeps the cleaned text a plain column reference
+    instead of a repeated sub-expression in the generated code.
+    """
+    c = cleaned(raw) if clean is None else clean
     return (
         F.when(raw.isNull() | (c == ""), F.lit(BLANK))
         .when(~c.rlike("^[0-9]+$"), F.lit(NOT_DIGITS))
-        .when(c.try_cast("bigint").isNull(), F.lit(OVERFLOW))
+        .when(_over_bigint(c), F.lit(OVERFLOW))
     )
 
 
-def strict_int(raw: Column) -> Column:
+_BIGINT_MAX = "9223372036854775807"
+
+
+def _over_bigint(digits: Column) -> Column:
+    """A digit string above BIGINT range, decided on text (no cast inside CASE)."""
+    d = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    n = F.length(d)
+    return (n > len(_BIGINT_MAX)) | ((n == len(_BIGINT_MAX)) & (d > F.lit(_BIGINT_MAX)))
+
+
+def strict_int(raw: Column, clean: Column | None = None) -> Column:
     """BIGINT value of a valid cell, NULL for any rejected cell."""
-    c = cleaned(raw)
-    return F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
+    c = cleaned(raw) if clean is None else clean
+    return F.when(c.rlike("^[0-9]+$") & ~_over_bigint(c), c.cast("bigint"))
 
 
 def has_comma(raw: Column) -> Column:

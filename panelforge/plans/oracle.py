@@ -87,3 +87,177 @@ SELECT r_name, strftime(ym, '%Y-%m') AS ym, a, b, total,
        CAST(SUM(b_net) OVER (PARTITION BY r_name ORDER BY ym) AS BIGINT) AS b_cum_net
 FROM base
 WINDOW w12 AS (PARTITION BY r_name ORDER BY ym ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""
+
+
+# --- wide text sources, unpivot, parse, contracts ----------------------------
+
+CODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _q(name: str) -> str:
+    return '"' + name + '"'
+
+
+def _fmt(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE format('{{:,}}', {x}) END"
+
+
+def _wide_cte(live: bool) -> str:
+    """CTE ``wl`` (live) or ``wg`` (legacy): the all-text wide table plus ``ym``."""
+    parts = CODES[:4] if live else CODES
+    total = "subtotal" if live else "total"
+    where = "ym >= DATE '1997-01-01'" if live else "ym <= DATE '1998-08-01'"
+    vals = ",\n    ".join(
+        f"CAST(SUM(cents) FILTER (WHERE tech_code = '{c}') AS BIGINT) AS v{i}" for i, c in enumerate(CODES))
+    inlist = ", ".join(f"'{c}'" for c in parts)
+    name = "wl" if live else "wg"
+    if live:
+        period = "CAST(year(ym) - 1911 AS VARCHAR) || '/' || CAST(month(ym) AS VARCHAR) AS period"
+        order = ["period", *CODES[:4], total, CODES[4]]
+    else:
+        period = "CAST(year(ym) - 1911 AS VARCHAR) AS roc_year, CAST(month(ym) AS VARCHAR) AS month"
+        order = ["roc_year", "month", *CODES, total]
+    body = {c: f"{_fmt(f'v{i}')} AS {_q(c)}" for i, c in enumerate(CODES)}
+    body[total] = f"{_fmt('vs')} AS {total}"
+    cols = ", ".join(body[c] for c in order if c in body)
+    return f"""{name}_v AS (
+  SELECT ym, {vals},
+    CAST(SUM(cents) FILTER (WHERE tech_code IN ({inlist})) AS BIGINT) AS vs
+  FROM p WHERE {where} GROUP BY ym),
+{name} AS (
+  SELECT ym, {period}, {cols} FROM {name}_v)"""
+
+
+def _clean(x: str) -> str:
+    return f"regexp_replace(replace({x}, ',', ''), '^\\s+|\\s+$', '', 'g')"
+
+
+def _val(x: str) -> str:
+    c = _clean(x)
+    return f"(CASE WHEN regexp_full_match({c}, '[0-9]+') THEN TRY_CAST({c} AS BIGINT) END)"
+
+
+def _reason(x: str) -> str:
+    c = _clean(x)
+    return (f"(CASE WHEN {x} IS NULL OR {c} = '' THEN 'blank' "
+            f"WHEN NOT regexp_full_match({c}, '[0-9]+') THEN 'not_digits' "
+            f"WHEN TRY_CAST({c} AS BIGINT) IS NULL THEN 'overflow' END)")
+
+
+ORACLE["unpivot_cells"] = with_(PANEL, _wide_cte(True)) + ",\ncells AS (\n" + "\n  UNION ALL\n".join(
+    f"  SELECT ym, '{c}' AS tech_code, {_q(c)} AS raw FROM wl" for c in CODES) + """)
+SELECT strftime(ym, '%Y-%m') AS ym, tech_code, raw, """ + _val("raw") + " AS accounts, " + _reason("raw") + \
+    " AS reason, 'live' AS source FROM cells"
+
+ORACLE["parse_thousands"] = with_(PANEL) + """, t AS (SELECT ym, tech_code, cents, format('{:,}', cents) AS text FROM p)
+SELECT strftime(ym, '%Y-%m') AS ym, tech_code, text, """ + _val("text") + " AS value, " + _reason("text") + \
+    " AS reason, contains(text, ',') AS has_comma, " + _val("text") + " = cents AS roundtrip_ok FROM t"
+
+ORACLE["roc_period"] = with_(PANEL, _wide_cte(True)) + """
+SELECT period,
+       CAST(CAST(split_part(period, '/', 1) AS INTEGER) + 1911 AS INTEGER) AS year,
+       CAST(split_part(period, '/', 2) AS INTEGER) AS month,
+       CAST(split_part(period, '/', 1) AS INTEGER) AS roc_year,
+       CAST(quarter(ym) AS INTEGER) AS quarter,
+       strftime(ym, '%Y-%m') AS ym
+FROM wl"""
+
+
+def _checks_sql(live: bool) -> str:
+    name = "wl" if live else "wg"
+    tag = "live" if live else "legacy"
+    rows = 56 if live else 44
+    first, last = ("1997-01-01", "2001-08-01") if live else ("1995-01-01", "1998-08-01")
+    numeric = [*CODES, "subtotal"] if live else [*CODES, "total"]
+    parts = CODES[:4] if live else CODES
+    total = "subtotal" if live else "total"
+    bad = " + ".join(f"CAST({_reason(_q(c))} IS NOT NULL AS INTEGER)" for c in numeric)
+    comma = " OR ".join(f"coalesce(contains({_q(c)}, ','), false)" for c in numeric)
+    t = _val(total)
+    pp = " + ".join(_val(_q(c)) for c in parts)
+    cls = (f"(CASE WHEN {t} IS NULL OR ({pp}) IS NULL THEN 'unparsed' WHEN {t} = ({pp}) THEN 'exact' "
+           f"WHEN {t} <> 0 AND abs(CAST({t} AS DOUBLE) - ({pp})) / abs(CAST({t} AS DOUBLE)) <= 0.001 "
+           f"THEN 'within_tolerance' ELSE 'mismatch' END)")
+    return f"""{tag}_a AS (
+  SELECT CAST(COUNT(*) AS BIGINT) AS n,
+         CAST(coalesce(SUM({bad}), 0) AS BIGINT) AS bad_cells,
+         CAST(count_if({comma}) AS BIGINT) AS comma_rows,
+         CAST(0 AS BIGINT) AS bad_width,
+         CAST(count_if(ym IS NULL) AS BIGINT) AS bad_period,
+         CAST(count_if({cls} = 'exact') AS BIGINT) AS exact,
+         CAST(count_if({cls} = 'within_tolerance') AS BIGINT) AS within,
+         CAST(count_if({cls} IN ('mismatch', 'unparsed')) AS BIGINT) AS mismatch,
+         CAST(COUNT(DISTINCT ym) AS BIGINT) AS n_months, MIN(ym) AS first, MAX(ym) AS last
+  FROM {name}),
+{tag}_b AS (
+  SELECT *, coalesce(CAST(date_diff('month', first, last) + 1 AS BIGINT), 0) AS span,
+         n - bad_period - n_months AS dup_extra,
+         coalesce(first = DATE '{first}' AND last = DATE '{last}', false) AS range_ok
+  FROM {tag}_a),
+{tag}_c AS (
+  SELECT '{tag}' AS source, 'row_count' AS "check", n = {rows} AS passed, n AS n_total,
+         CASE WHEN n = {rows} THEN 0 ELSE abs(n - {rows}) END AS n_bad,
+         'rows=' || CAST(n AS VARCHAR) || ' expected={rows}' AS detail FROM {tag}_b
+  UNION ALL SELECT '{tag}', 'row_width', bad_width = 0, n, bad_width,
+         'short_or_long_rows=' || CAST(bad_width AS VARCHAR) FROM {tag}_b
+  UNION ALL SELECT '{tag}', 'period_parse', bad_period = 0, n, bad_period,
+         'unparsed_periods=' || CAST(bad_period AS VARCHAR) FROM {tag}_b
+  UNION ALL SELECT '{tag}', 'numerics_parse', bad_cells = 0, n * {len(numeric)}, bad_cells,
+         'comma_rows=' || CAST(comma_rows AS VARCHAR) FROM {tag}_b
+  UNION ALL SELECT '{tag}', 'subtotal_arithmetic', mismatch = 0, n, mismatch,
+         'exact=' || CAST(exact AS VARCHAR) || ';within_tolerance=' || CAST(within AS VARCHAR)
+         || ';mismatch=' || CAST(mismatch AS VARCHAR) FROM {tag}_b
+  UNION ALL SELECT '{tag}', 'no_duplicate_months', dup_extra = 0, n, dup_extra,
+         'distinct_months=' || CAST(n_months AS VARCHAR) FROM {tag}_b
+  UNION ALL SELECT '{tag}', 'no_missing_months', span = n_months, span, span - n_months,
+         'span=' || CAST(span AS VARCHAR) || ';months=' || CAST(n_months AS VARCHAR) FROM {tag}_b
+  UNION ALL SELECT '{tag}', 'period_range', range_ok, 1, CASE WHEN range_ok THEN 0 ELSE 1 END,
+         coalesce(strftime(first, '%Y-%m'), 'NULL') || '~' || coalesce(strftime(last, '%Y-%m'), 'NULL')
+  FROM {tag}_b)"""
+
+
+ORACLE["contract_summary"] = with_(PANEL, _wide_cte(True), _wide_cte(False), _checks_sql(True),
+                                   _checks_sql(False)) + """
+SELECT source, "check", passed, CAST(n_total AS BIGINT) AS n_total, CAST(n_bad AS BIGINT) AS n_bad, detail
+FROM live_c UNION ALL SELECT source, "check", passed, CAST(n_total AS BIGINT), CAST(n_bad AS BIGINT), detail FROM legacy_c"""
+
+
+def _evidence_sql(live: bool) -> str:
+    name = "wl" if live else "wg"
+    tag = "live" if live else "legacy"
+    numeric = [*CODES, "subtotal"] if live else [*CODES, "total"]
+    parts = CODES[:4] if live else CODES
+    total = "subtotal" if live else "total"
+    t = _val(total)
+    pp = " + ".join(_val(_q(c)) for c in parts)
+    cls = (f"(CASE WHEN {t} IS NULL OR ({pp}) IS NULL THEN 'unparsed' WHEN {t} = ({pp}) THEN 'exact' "
+           f"WHEN {t} <> 0 AND abs(CAST({t} AS DOUBLE) - ({pp})) / abs(CAST({t} AS DOUBLE)) <= 0.001 "
+           f"THEN 'within_tolerance' ELSE 'mismatch' END)")
+    ptxt = "strftime(ym, '%Y-%m')"
+    cells = "\n    UNION ALL ".join(
+        f"SELECT 'numerics_parse' AS \"check\", ym, {ptxt} || ' {c}: ' || coalesce({_q(c)}, 'NULL') || ' (' "
+        f"|| coalesce({_reason(_q(c))}, '') || ')' AS evidence FROM {name} WHERE {_reason(_q(c))} IS NOT NULL"
+        for c in numeric)
+    sub = (f"SELECT CASE WHEN {cls} = 'within_tolerance' THEN 'subtotal_within_tolerance' ELSE 'subtotal_arithmetic' END, "
+           f"ym, {ptxt} || ': ' || coalesce(CAST({t} AS VARCHAR), 'NULL') || ' vs ' || "
+           f"coalesce(CAST(({pp}) AS VARCHAR), 'NULL') FROM {name} "
+           f"WHERE {cls} IN ('mismatch', 'unparsed', 'within_tolerance')")
+    dups = (f"SELECT 'no_duplicate_months', ym, strftime(ym, '%Y-%m') FROM {name} WHERE ym IS NOT NULL "
+            f"GROUP BY ym HAVING COUNT(*) > 1")
+    gaps = (f"SELECT 'no_missing_months', ym, strftime(ym, '%Y-%m') || ' -> ' || strftime(nx, '%Y-%m') FROM "
+            f"(SELECT ym, LEAD(ym) OVER (ORDER BY ym) AS nx FROM (SELECT DISTINCT ym FROM {name} WHERE ym IS NOT NULL)) "
+            f"WHERE nx IS NOT NULL AND nx <> ym + INTERVAL 1 MONTH")
+    return f"""{tag}_e AS (
+    {cells}
+    UNION ALL {sub}
+    UNION ALL {dups}
+    UNION ALL {gaps}),
+{tag}_r AS (
+  SELECT '{tag}' AS source, "check",
+         CAST(ROW_NUMBER() OVER (PARTITION BY "check" ORDER BY ym NULLS FIRST, evidence) AS INTEGER) AS rank,
+         evidence FROM {tag}_e)"""
+
+
+ORACLE["evidence_top_n"] = with_(PANEL, _wide_cte(True), _wide_cte(False), _evidence_sql(True),
+                                 _evidence_sql(False)) + """
+SELECT * FROM live_r WHERE rank <= 3 UNION ALL SELECT * FROM legacy_r WHERE rank <= 3"""

@@ -24,9 +24,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parse import thousands
 from ..functions.periods import month_of
 from ..sources.tables import read_table
-from ..spec import PanelSpec
+from ..spec import ROC_OFFSET, PanelSpec, SourceSpec, SumSpec
 
 # Fixed values for the driver-table mapping --------------------------------
 ORDER_GROUPS = {
@@ -102,3 +103,50 @@ def live_source(panel: DataFrame) -> DataFrame:
 
 def legacy_source(panel: DataFrame) -> DataFrame:
     return panel.filter(F.col("ym") <= F.lit(LEGACY_TO)).withColumn("source", F.lit(SRC_LEGACY))
+
+
+# --- wide text sources derived from the panel ---------------------------------
+# Two all-text wide tables shaped like the original sources: the live one has a
+# 'ROC/month' period and a subtotal that leaves out one code; the legacy one has
+# separate ROC year and month columns and a total over all five codes.
+
+LIVE_COLS = ("period", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "subtotal", "5-LOW")
+LEGACY_COLS = ("roc_year", "month", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "total")
+
+ORDERS_LIVE = SourceSpec(
+    tag="live", source=SRC_LIVE, columns=LIVE_COLS, period_cols=("period",),
+    unpivot={c: c for c in ORDER_CODES},
+    sums=SumSpec("subtotal", ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")),
+    rows=56, first=(1997, 1), last=(2001, 8), live=True,
+)
+ORDERS_LEGACY = SourceSpec(
+    tag="legacy", source=SRC_LEGACY, columns=LEGACY_COLS, period_cols=("roc_year", "month"),
+    unpivot={c: c for c in ORDER_CODES},
+    sums=SumSpec("total", tuple(ORDER_CODES)),
+    rows=44, first=(1995, 1), last=(1998, 8), live=False,
+)
+
+
+def wide_text(panel: DataFrame, spec: SourceSpec, measure: str = "cents") -> DataFrame:
+    """Pivot the long panel to one all-text row per month, thousands-separated.
+
+    A (month, code) with no orders is a blank (NULL) cell, as in a CSV.
+    """
+    src = live_source(panel) if spec.live else legacy_source(panel)
+    # internal names stay plain identifiers; the spec's header is applied last
+    aggs = [F.sum(F.when(F.col("tech_code") == c, F.col(measure))).alias(f"_v{i}")
+            for i, c in enumerate(ORDER_CODES)]
+    aggs.append(F.sum(F.when(F.col("tech_code").isin(*spec.sums.parts), F.col(measure))).alias("_sum"))
+    w = src.groupBy("ym").agg(*aggs)
+    inner = {c: f"_v{i}" for i, c in enumerate(ORDER_CODES)}
+    inner[spec.sums.total] = "_sum"
+    roc = (F.year("ym") - ROC_OFFSET).cast("string")
+    mon = F.month("ym").cast("string")
+    if spec.live:
+        period = [F.concat(roc, F.lit("/"), mon).alias("_p")]
+    else:
+        period = [roc.alias("_p0"), mon.alias("_p1")]
+    body = [thousands(F.col(inner[c])).alias(inner[c]) for c in spec.columns if c not in spec.period_cols]
+    names = dict(zip(spec.period_cols, ["_p"] if spec.live else ["_p0", "_p1"]))
+    names.update(inner)
+    return w.select(*period, *body).select(*[F.col(names[c]).alias(c) for c in spec.columns])

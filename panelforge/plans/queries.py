@@ -57,3 +57,76 @@ def panel_metrics_by_region(spark, sf_dir):
     """M7 with dims=['r_name']: windows partitioned by region."""
     lv = M.group_levels(P.orders_panel_by_region(spark, sf_dir), S, dims=["r_name"])
     return M.panel_metrics(lv, S, dims=["r_name"])
+
+
+# --- normalisation and scalar rules ------------------------------------------
+
+def _wide(spark, sf_dir, spec):
+    return P.wide_text(P.orders_panel(spark, sf_dir), spec)
+
+
+@register("unpivot_cells")
+def unpivot_cells(spark, sf_dir):
+    """Live wide text → one parsed row per (month, code)."""
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import ym_text
+    from ..operators.normalize import parse_cells
+    from ..operators.normalize import unpivot_cells as unpivot
+    cells = parse_cells(unpivot(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE))
+    return cells.select(ym_text(F.col("ym")).alias("ym"), "tech_code", "raw", "accounts",
+                        "reason", "source")
+
+
+@register("parse_thousands")
+def parse_thousands(spark, sf_dir):
+    """Format every panel measure with separators, parse it back."""
+    from pyspark.sql import functions as F
+
+    from ..functions.parse import has_comma, parse_reason, strict_int, thousands
+    from ..functions.periods import ym_text
+    p = P.orders_panel(spark, sf_dir)
+    t = p.select("ym", "tech_code", "cents", thousands(F.col("cents")).alias("text"))
+    return t.select(
+        ym_text(F.col("ym")).alias("ym"), "tech_code", "text",
+        strict_int(F.col("text")).alias("value"),
+        parse_reason(F.col("text")).alias("reason"),
+        has_comma(F.col("text")).alias("has_comma"),
+        (strict_int(F.col("text")) == F.col("cents")).alias("roundtrip_ok"),
+    )
+
+
+@register("roc_period")
+def roc_period(spark, sf_dir):
+    """F3-F7 P11: 'ROC/month' text → year, month, ROC year, quarter, 'yyyy-MM'."""
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import ad_to_roc, ym_text
+    from ..operators.normalize import period_columns
+    w = period_columns(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE)
+    return w.select(
+        "period", "year", "month",
+        ad_to_roc(F.col("year")).alias("roc_year"),
+        F.quarter("ym").alias("quarter"),
+        ym_text(F.col("ym")).alias("ym"),
+    )
+
+
+# --- contracts -----------------------------------------------------------------
+
+@register("contract_summary")
+def contract_summary(spark, sf_dir):
+    """One aggregation pass per source, 8 check rows each."""
+    from ..operators.contracts import content_checks
+    live = content_checks(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE)
+    legacy = content_checks(_wide(spark, sf_dir, P.ORDERS_LEGACY), P.ORDERS_LEGACY)
+    return live.unionByName(legacy)
+
+
+@register("evidence_top_n")
+def evidence_top_n(spark, sf_dir):
+    """L4: first 3 failing cells / rows per check and source, by period."""
+    from ..operators.contracts import contract_evidence
+    live = contract_evidence(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE, 3)
+    legacy = contract_evidence(_wide(spark, sf_dir, P.ORDERS_LEGACY), P.ORDERS_LEGACY, 3)
+    return live.unionByName(legacy)
