@@ -261,3 +261,72 @@ def _evidence_sql(live: bool) -> str:
 ORACLE["evidence_top_n"] = with_(PANEL, _wide_cte(True), _wide_cte(False), _evidence_sql(True),
                                  _evidence_sql(False)) + """
 SELECT * FROM live_r WHERE rank <= 3 UNION ALL SELECT * FROM legacy_r WHERE rank <= 3"""
+
+
+# --- keyed-table contracts ---------------------------------------------------
+
+ORACLE["subtotal_classes"] = """
+WITH parts AS (
+  SELECT l_orderkey, SUM(CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2))
+           * (1 + CAST(l_tax AS DECIMAL(4,2))) * (1 - CAST(l_discount AS DECIMAL(4,2))) * 100, 0) AS BIGINT)) AS parts
+  FROM lineitem GROUP BY l_orderkey),
+j AS (
+  SELECT CAST(ROUND(CAST(o_totalprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS t,
+         CAST(coalesce(parts, 0) AS BIGINT) AS p
+  FROM orders LEFT JOIN parts ON o_orderkey = l_orderkey)
+SELECT CASE WHEN t IS NULL OR p IS NULL THEN 'unparsed' WHEN t = p THEN 'exact'
+            WHEN t <> 0 AND abs(CAST(t - p AS DECIMAL(38,0))) / abs(CAST(t AS DECIMAL(38,0))) <= 0.001 THEN 'within_tolerance'
+            ELSE 'mismatch' END AS class,
+       CAST(COUNT(*) AS BIGINT) AS n_orders
+FROM j GROUP BY 1"""
+
+ORACLE["duplicate_keys"] = """
+SELECT l_orderkey, l_linenumber, CAST(COUNT(*) AS BIGINT) AS n
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1"""
+
+ORACLE["missing_months"] = with_(PANEL) + """,
+s AS (SELECT tech_code, ym, LEAD(ym) OVER (PARTITION BY tech_code ORDER BY ym) AS nx
+      FROM (SELECT DISTINCT tech_code, ym FROM p))
+SELECT tech_code, strftime(ym, '%Y-%m') AS ym, strftime(nx, '%Y-%m') AS next_ym,
+       CAST(date_diff('month', ym, nx) - 1 AS INTEGER) AS n_missing
+FROM s WHERE nx IS NOT NULL AND nx <> ym + INTERVAL 1 MONTH"""
+
+_FK = [
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+]
+ORACLE["fk_orphans"] = "\nUNION ALL\n".join(
+    f"""SELECT '{c}.{ck}->{p}.{pk}' AS relation, CAST(COUNT(*) AS BIGINT) AS n_child,
+       CAST(count_if(k.{pk} IS NULL) AS BIGINT) AS n_orphans
+FROM {c} LEFT JOIN (SELECT DISTINCT {pk} FROM {p}) k ON {c}.{ck} = k.{pk}"""
+    for c, ck, p, pk in _FK)
+
+
+def _rules(table: str, rules: list[tuple[str, str]]) -> str:
+    aggs = ", ".join(f"CAST(count_if(coalesce({pred}, false)) AS BIGINT) AS r{i}" for i, (_, pred) in enumerate(rules))
+    sel = "\nUNION ALL ".join(
+        f"SELECT '{table}' AS \"table\", '{name}' AS rule, n AS n_total, r{i} AS n_bad FROM {table}_v"
+        for i, (name, _) in enumerate(rules))
+    return f"{table}_v AS (SELECT CAST(COUNT(*) AS BIGINT) AS n, {aggs} FROM {table})", sel
+
+
+_li_cte, _li_sel = _rules("lineitem", [
+    ("l_orderkey_not_null", "l_orderkey IS NULL"), ("l_linenumber_not_null", "l_linenumber IS NULL"),
+    ("l_shipdate_not_null", "l_shipdate IS NULL"), ("l_quantity_ge_0", "l_quantity < 0"),
+    ("l_extendedprice_ge_0", "l_extendedprice < 0"), ("l_discount_0_1", "NOT (l_discount BETWEEN 0 AND 1)"),
+    ("l_tax_0_1", "NOT (l_tax BETWEEN 0 AND 1)"), ("l_linenumber_1_7", "NOT (l_linenumber BETWEEN 1 AND 7)")])
+_o_cte, _o_sel = _rules("orders", [
+    ("o_orderkey_not_null", "o_orderkey IS NULL"), ("o_orderdate_not_null", "o_orderdate IS NULL"),
+    ("o_totalprice_ge_0", "o_totalprice < 0"), ("o_orderstatus_domain", "NOT (o_orderstatus IN ('F', 'O', 'P'))"),
+    ("o_month_1_12", "NOT (month(o_orderdate) BETWEEN 1 AND 12)")])
+ORACLE["domain_violations"] = with_(_li_cte, _o_cte) + _li_sel + "\nUNION ALL " + _o_sel
+
+ORACLE["cell_completeness"] = with_(PANEL) + """
+SELECT strftime(ym, '%Y-%m') AS ym, CAST(COUNT(DISTINCT tech_code) AS BIGINT) AS n_codes,
+       COUNT(DISTINCT tech_code) = 5 AS complete
+FROM p GROUP BY ym"""

@@ -130,3 +130,126 @@ def evidence_top_n(spark, sf_dir):
     live = contract_evidence(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE, 3)
     legacy = contract_evidence(_wide(spark, sf_dir, P.ORDERS_LEGACY), P.ORDERS_LEGACY, 3)
     return live.unionByName(legacy)
+
+
+# --- keyed-table contracts ---------------------------------------------------
+
+@register("subtotal_classes")
+def subtotal_classes(spark, sf_dir):
+    """Each order total vs the sum of its line amounts → class counts.
+
+    lineitem is partially aggregated per order first; the join then reuses
+    that hash partitioning on the order key (one exchange per side).
+    """
+    from pyspark.sql import functions as F
+
+    from ..functions.parse import subtotal_class
+    from ..sources.tables import read_table
+    from ..spec import TOLERANCE
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_tax", "l_discount")
+    amount = F.round(F.col("l_extendedprice").cast("decimal(18,2)")
+                     * (1 + F.col("l_tax").cast("decimal(4,2)"))
+                     * (1 - F.col("l_discount").cast("decimal(4,2)")) * 100, 0).cast("bigint")
+    parts = li.groupBy("l_orderkey").agg(F.sum(amount).alias("parts"))
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    j = o.join(parts, o.o_orderkey == parts.l_orderkey, "left")
+    cls = subtotal_class(P.cents("o_totalprice"), F.coalesce(F.col("parts"), F.lit(0)), TOLERANCE)
+    return j.groupBy(cls.alias("class")).agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+@register("duplicate_keys")
+def duplicate_keys_q(spark, sf_dir):
+    """(l_orderkey, l_linenumber) keys that occur more than once."""
+    from ..operators.contracts import duplicate_keys
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
+    return duplicate_keys(li, ["l_orderkey", "l_linenumber"])
+
+
+@register("missing_months")
+def missing_months(spark, sf_dir):
+    """Per code, breaks in its monthly series and the months missed."""
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import ym_text
+    from ..operators.contracts import month_gaps
+    g = month_gaps(P.orders_panel(spark, sf_dir), dims=["tech_code"])
+    return g.select("tech_code", ym_text(F.col("ym")).alias("ym"),
+                    ym_text(F.col("next_ym")).alias("next_ym"), "n_missing")
+
+
+FK_RELATIONS = [
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+]
+
+
+@register("fk_orphans")
+def fk_orphans(spark, sf_dir):
+    """Child rows without a parent, one left-join pass per relation.
+
+    The join strategy is Catalyst's: a parent below the broadcast threshold
+    (by its file size) is broadcast, a large one is sort-merge joined.
+    """
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from ..sources.tables import read_table
+    out = []
+    for child, ck, parent, pk in FK_RELATIONS:
+        c = read_table(spark, sf_dir, child, ck)
+        p = read_table(spark, sf_dir, parent, pk).distinct().withColumn("__hit", F.lit(True))
+        j = c.join(p, c[ck] == p[pk], "left")
+        out.append(j.agg(F.count(F.lit(1)).alias("n_child"),
+                         F.count_if(F.col("__hit").isNull()).alias("n_orphans"))
+                   .select(F.lit(f"{child}.{ck}->{parent}.{pk}").alias("relation"),
+                           "n_child", "n_orphans"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@register("domain_violations")
+def domain_violations(spark, sf_dir):
+    """One aggregation pass per table, one count per rule."""
+    from pyspark.sql import functions as F
+
+    from ..operators.contracts import not_null_rules, violation_counts
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity",
+                    "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    li_rules = {
+        **not_null_rules(["l_orderkey", "l_linenumber", "l_shipdate"]),
+        "l_quantity_ge_0": F.col("l_quantity") < 0,
+        "l_extendedprice_ge_0": F.col("l_extendedprice") < 0,
+        "l_discount_0_1": ~F.col("l_discount").between(0, 1),
+        "l_tax_0_1": ~F.col("l_tax").between(0, 1),
+        "l_linenumber_1_7": ~F.col("l_linenumber").between(1, 7),
+    }
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    o_rules = {
+        **not_null_rules(["o_orderkey", "o_orderdate"]),
+        "o_totalprice_ge_0": F.col("o_totalprice") < 0,
+        "o_orderstatus_domain": ~F.col("o_orderstatus").isin("F", "O", "P"),
+        "o_month_1_12": ~F.month("o_orderdate").between(1, 12),
+    }
+    a = violation_counts(li, li_rules).select(F.lit("lineitem").alias("table"), "*")
+    b = violation_counts(o, o_rules).select(F.lit("orders").alias("table"), "*")
+    return a.unionByName(b)
+
+
+@register("cell_completeness")
+def cell_completeness(spark, sf_dir):
+    """Codes present per month and whether the month is complete."""
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import ym_text
+    p = P.orders_panel(spark, sf_dir)
+    g = p.groupBy("ym").agg(F.count_distinct("tech_code").alias("n_codes"))
+    return g.select(ym_text(F.col("ym")).alias("ym"), "n_codes",
+                    (F.col("n_codes") == len(P.ORDER_CODES)).alias("complete"))
