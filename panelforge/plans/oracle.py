@@ -330,3 +330,79 @@ ORACLE["cell_completeness"] = with_(PANEL) + """
 SELECT strftime(ym, '%Y-%m') AS ym, CAST(COUNT(DISTINCT tech_code) AS BIGINT) AS n_codes,
        COUNT(DISTINCT tech_code) = 5 AS complete
 FROM p GROUP BY ym"""
+
+
+# --- overlap, verdict, splice --------------------------------------------------
+
+SOURCES = """la AS (SELECT ym, tech_code, accounts, 'live' AS source FROM p WHERE ym >= DATE '1997-01-01'),
+lb AS (SELECT ym, tech_code, accounts, 'legacy' AS source FROM p WHERE ym <= DATE '1998-08-01')"""
+
+SOURCES_PERTURBED = """la AS (SELECT ym, tech_code, accounts, 'live' AS source FROM p WHERE ym >= DATE '1997-01-01'),
+lb AS (SELECT ym, tech_code, CAST(accounts + CAST(ceil(accounts * 0.06) AS BIGINT) AS BIGINT) AS accounts,
+              'legacy' AS source FROM p WHERE ym <= DATE '1998-08-01')"""
+
+DETAIL = """per AS (SELECT DISTINCT ym FROM la INTERSECT SELECT DISTINCT ym FROM lb),
+ex AS (SELECT ym, c.tech_code FROM per, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) c(tech_code)),
+sa AS (SELECT ym, tech_code, MAX(accounts) AS v_a, COUNT(*) AS n_a FROM la
+       WHERE tech_code IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ym, tech_code),
+sb AS (SELECT ym, tech_code, MAX(accounts) AS v_b, COUNT(*) AS n_b FROM lb
+       WHERE tech_code IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ym, tech_code),
+d AS (
+  SELECT ex.ym, ex.tech_code, v_a, v_b, v_a - v_b AS delta,
+         CASE WHEN n_a IS NOT NULL AND n_b IS NOT NULL THEN
+           CASE WHEN v_a <> 0 THEN abs(CAST(v_a AS DOUBLE) - v_b) / v_a * 100
+                WHEN v_a = v_b THEN 0.0 ELSE CAST('inf' AS DOUBLE) END END AS pct,
+         CASE WHEN n_a IS NULL AND n_b IS NULL THEN 'missing_both' WHEN n_a IS NULL THEN 'missing_a'
+              WHEN n_b IS NULL THEN 'missing_b' ELSE 'both' END AS status,
+         CAST(coalesce(n_a, 0) AS BIGINT) AS n_a, CAST(coalesce(n_b, 0) AS BIGINT) AS n_b
+  FROM ex LEFT JOIN sa USING (ym, tech_code) LEFT JOIN sb USING (ym, tech_code))"""
+
+VERDICT = """v AS (
+  SELECT CAST(count_if(status = 'both') AS BIGINT) AS n_pairs,
+         CAST(count_if(status <> 'both') AS BIGINT) AS n_missing,
+         CAST(count_if(n_a > 1 OR n_b > 1) AS BIGINT) AS n_dup_keys,
+         CAST(median(pct) AS DOUBLE) AS median_pct, MAX(pct) AS max_pct,
+         CAST(count_if(status = 'both' AND delta = 0) AS BIGINT) AS n_exact
+  FROM d)
+SELECT n_pairs, n_missing, n_dup_keys, median_pct, max_pct, n_exact,
+       CASE WHEN n_missing > 0 OR n_dup_keys > 0 THEN 'invalid' WHEN n_pairs = 0 THEN 'abandon'
+            WHEN median_pct > 5.0 THEN 'abandon' ELSE 'accept' END AS verdict,
+       CASE WHEN n_missing > 0 THEN 'missing_keys' WHEN n_dup_keys > 0 THEN 'duplicate_keys'
+            WHEN n_pairs = 0 THEN 'no_overlap' WHEN median_pct > 5.0 THEN 'median_above_threshold'
+            ELSE 'median_within_threshold' END AS reason,
+       coalesce(max_pct = 0, false) AS identical_overlap
+FROM v"""
+
+ORACLE["overlap_periods"] = with_(PANEL, SOURCES) + """
+SELECT strftime(ym, '%Y-%m') AS ym FROM (SELECT DISTINCT ym FROM la INTERSECT SELECT DISTINCT ym FROM lb)"""
+
+ORACLE["overlap_detail"] = with_(PANEL, SOURCES, DETAIL) + """
+SELECT strftime(ym, '%Y-%m') AS ym, tech_code, v_a, v_b, delta, pct, status, n_a, n_b FROM d"""
+
+ORACLE["overlap_stats"] = with_(PANEL, SOURCES, DETAIL) + """
+SELECT 'ALL' AS tech_code, CAST(COUNT(pct) AS BIGINT) AS n_pairs, CAST(median(pct) AS DOUBLE) AS median_pct,
+       MAX(pct) AS max_pct, CAST(count_if(delta = 0) AS BIGINT) AS n_exact FROM d WHERE status = 'both'
+UNION ALL
+SELECT tech_code, CAST(COUNT(pct) AS BIGINT), CAST(median(pct) AS DOUBLE), MAX(pct), CAST(count_if(delta = 0) AS BIGINT)
+FROM d WHERE status = 'both' GROUP BY tech_code"""
+
+ORACLE["splice_verdict"] = with_(PANEL, SOURCES, DETAIL, VERDICT)
+ORACLE["splice_verdict_perturbed"] = with_(PANEL, SOURCES_PERTURBED, DETAIL, VERDICT)
+
+SPLICED = """sp AS (SELECT * FROM lb WHERE ym < DATE '1997-01-01' UNION ALL SELECT * FROM la WHERE ym >= DATE '1997-01-01')"""
+
+ORACLE["spliced_panel"] = with_(PANEL, SOURCES, SPLICED) + """
+SELECT strftime(ym, '%Y-%m') AS ym, tech_code, accounts, source FROM sp ORDER BY ym, tech_code"""
+
+ORACLE["splice_fallback"] = with_(PANEL, SOURCES) + """
+SELECT strftime(ym, '%Y-%m') AS ym, tech_code, accounts, source FROM la"""
+
+ORACLE["post_splice_shape"] = with_(PANEL, SOURCES, SPLICED) + """
+SELECT strftime(MIN(ym), '%Y-%m') AS first_ym, strftime(MAX(ym), '%Y-%m') AS last_ym,
+       CAST(COUNT(DISTINCT ym) AS BIGINT) AS n_months, CAST(COUNT(*) AS BIGINT) AS n_rows FROM sp"""
+
+ORACLE["provenance_by_source"] = with_(PANEL, SOURCES, SPLICED) + """
+SELECT source, CAST(COUNT(*) AS BIGINT) AS n_rows, strftime(MIN(ym), '%Y-%m') AS first_ym,
+       strftime(MAX(ym), '%Y-%m') AS last_ym,
+       CAST(count_if((ym >= DATE '1997-01-01' AND source <> 'live') OR (ym < DATE '1997-01-01' AND source <> 'legacy')) AS BIGINT) AS n_wrong_side
+FROM sp GROUP BY source"""

@@ -253,3 +253,108 @@ def cell_completeness(spark, sf_dir):
     g = p.groupBy("ym").agg(F.count_distinct("tech_code").alias("n_codes"))
     return g.select(ym_text(F.col("ym")).alias("ym"), "n_codes",
                     (F.col("n_codes") == len(P.ORDER_CODES)).alias("complete"))
+
+
+# --- overlap, verdict, splice --------------------------------------------------
+
+def _sources(spark, sf_dir):
+    panel = P.orders_panel(spark, sf_dir)
+    return P.live_source(panel), P.legacy_source(panel)
+
+
+def _perturbed(b):
+    """Failing variant: legacy counts inflated by ceil(6 %), so the median diff > 5 %."""
+    from pyspark.sql import functions as F
+    return b.withColumn("accounts", F.col("accounts") + F.ceil(F.col("accounts") * 0.06).cast("bigint"))
+
+
+def _txt_ym(df, *cols):
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import ym_text
+    for c in cols:
+        df = df.withColumn(c, ym_text(F.col(c)))
+    return df
+
+
+@register("overlap_periods")
+def overlap_periods_q(spark, sf_dir):
+    """Months both sources cover."""
+    from ..operators.splice import overlap_periods
+    a, b = _sources(spark, sf_dir)
+    return _txt_ym(overlap_periods(a, b), "ym")
+
+
+@register("overlap_detail")
+def overlap_detail_q(spark, sf_dir):
+    """Per overlap month × comparable code: a, b, delta, pct, status."""
+    from ..operators.splice import overlap_detail
+    a, b = _sources(spark, sf_dir)
+    return _txt_ym(overlap_detail(a, b, S.comparable), "ym")
+
+
+@register("overlap_stats")
+def overlap_stats_q(spark, sf_dir):
+    """Median / max / exact count of pct, overall ('ALL') and per code."""
+    from pyspark.sql import functions as F
+
+    from ..operators.splice import overlap_detail, overlap_stats
+    a, b = _sources(spark, sf_dir)
+    d = overlap_detail(a, b, S.comparable)
+    overall = overlap_stats(d).select(F.lit("ALL").alias("tech_code"), "*")
+    return overall.unionByName(overlap_stats(d, ["tech_code"]))
+
+
+@register("splice_verdict")
+def splice_verdict_q(spark, sf_dir):
+    """One verdict row for the live/legacy overlap."""
+    from ..operators.splice import overlap_detail, splice_verdict
+    a, b = _sources(spark, sf_dir)
+    return splice_verdict(overlap_detail(a, b, S.comparable), S.threshold_pct)
+
+
+@register("splice_verdict_perturbed")
+def splice_verdict_perturbed(spark, sf_dir):
+    """K3 abandon branch: same overlap with the legacy counts inflated by 6 %."""
+    from ..operators.splice import overlap_detail, splice_verdict
+    a, b = _sources(spark, sf_dir)
+    return splice_verdict(overlap_detail(a, _perturbed(b), S.comparable), S.threshold_pct)
+
+
+@register("spliced_panel")
+def spliced_panel(spark, sf_dir):
+    """Legacy before the cutover, live from it on."""
+    from ..operators.splice import splice
+    a, b = _sources(spark, sf_dir)
+    out = splice(a, b, S.cutover).select("ym", "tech_code", "accounts", "source")
+    return _txt_ym(out, "ym").orderBy("ym", "tech_code")
+
+
+@register("splice_fallback")
+def splice_fallback(spark, sf_dir):
+    """K5: the live source alone (what an abandoned splice presents)."""
+    from ..operators.splice import fallback
+    a, _ = _sources(spark, sf_dir)
+    return _txt_ym(fallback(a).select("ym", "tech_code", "accounts", "source"), "ym")
+
+
+@register("post_splice_shape")
+def post_splice_shape(spark, sf_dir):
+    """K7: first / last month, months and rows of the spliced panel."""
+    from ..operators.splice import shape, splice
+    a, b = _sources(spark, sf_dir)
+    return _txt_ym(shape(splice(a, b, S.cutover)), "first_ym", "last_ym")
+
+
+@register("provenance_by_source")
+def provenance_by_source(spark, sf_dir):
+    """Per source rows, first / last month and rows on the wrong side of the cutover."""
+    from pyspark.sql import functions as F
+
+    from ..operators.splice import provenance_violations, splice
+    a, b = _sources(spark, sf_dir)
+    s = splice(a, b, S.cutover)
+    bad = provenance_violations(s, S.cutover, P.SRC_LIVE, P.SRC_LEGACY)
+    g = s.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ym").alias("first_ym"),
+                                F.max("ym").alias("last_ym"), F.count_if(bad).alias("n_wrong_side"))
+    return _txt_ym(g, "first_ym", "last_ym")
