@@ -406,3 +406,55 @@ SELECT source, CAST(COUNT(*) AS BIGINT) AS n_rows, strftime(MIN(ym), '%Y-%m') AS
        strftime(MAX(ym), '%Y-%m') AS last_ym,
        CAST(count_if((ym >= DATE '1997-01-01' AND source <> 'live') OR (ym < DATE '1997-01-01' AND source <> 'legacy')) AS BIGINT) AS n_wrong_side
 FROM sp GROUP BY source"""
+
+
+# --- star schema, merge, fingerprints ------------------------------------------
+
+def _rt(*cols: str) -> str:
+    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols)
+
+
+ORACLE["upsert_result"] = with_(PANEL, SOURCES) + """
+SELECT strftime(ym, '%Y-%m') AS year_month, tech_code, accounts, source FROM (
+  SELECT * FROM lb WHERE NOT EXISTS (SELECT 1 FROM la WHERE la.ym = lb.ym AND la.tech_code = lb.tech_code)
+  UNION ALL SELECT * FROM la)"""
+
+ORACLE["upsert_ignore"] = with_(PANEL, SOURCES) + """
+SELECT strftime(ym, '%Y-%m') AS year_month, CAST(year(ym) AS INTEGER) AS year, CAST(month(ym) AS INTEGER) AS month,
+       CAST(year(ym) - 1911 AS INTEGER) AS roc_year, CAST(quarter(ym) AS INTEGER) AS quarter
+FROM (SELECT DISTINCT ym FROM lb UNION SELECT DISTINCT ym FROM la)"""
+
+ORACLE["state_snapshot"] = with_(PANEL, SOURCES, SPLICED) + f""",
+e AS (SELECT ym AS year_month, tech_code, accounts, {_rt('ym', 'tech_code', 'accounts', 'source')} AS t FROM sp),
+pm AS (SELECT year_month, COUNT(*) AS n, SUM(accounts) AS s, md5(string_agg(t, chr(10) ORDER BY tech_code)) AS h
+       FROM e GROUP BY year_month)
+SELECT CAST(SUM(n) AS BIGINT) AS n_rows, CAST(SUM(s) AS BIGINT) AS sum_accounts,
+       strftime(MIN(year_month), '%Y-%m') AS min_ym, strftime(MAX(year_month), '%Y-%m') AS max_ym,
+       (SELECT CAST(COUNT(DISTINCT tech_code) AS BIGINT) FROM sp) AS n_tech,
+       md5(string_agg(h, chr(10) ORDER BY year_month)) AS md5
+FROM pm"""
+
+ORACLE["fingerprint_keyed"] = with_(PANEL, SOURCES, SPLICED) + f""",
+e AS (SELECT ym AS year_month, tech_code, {_rt('ym', 'tech_code', 'accounts', 'source')} AS t FROM sp),
+pm AS (SELECT year_month, COUNT(*) AS n, md5(string_agg(t, chr(10) ORDER BY year_month, tech_code)) AS h
+       FROM e GROUP BY year_month)
+SELECT CAST(COUNT(*) AS BIGINT) AS n_blocks, CAST(SUM(n) AS BIGINT) AS n_rows,
+       md5(string_agg(h, chr(10) ORDER BY year_month)) AS fingerprint
+FROM pm"""
+
+_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(l_quantity AS DECIMAL(18,2))",
+       "CAST(l_extendedprice AS DECIMAL(18,2))", "CAST(l_discount AS DECIMAL(4,2))", "CAST(l_tax AS DECIMAL(4,2))",
+       "l_returnflag", "l_linestatus", "CAST(l_shipdate AS DATE)"]
+ORACLE["fingerprint_unkeyed"] = f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows,
+       CAST(SUM(CAST('0x' || substr(md5({_rt(*_LI)}), 1, 15) AS BIGINT)) AS VARCHAR) AS hash_sum
+FROM lineitem"""
+
+ORACLE["summary_by_camp"] = with_(PANEL, GROUPS, SOURCES, SPLICED) + """
+SELECT camp, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(DISTINCT tech_code) AS BIGINT) AS n_tech,
+       strftime(MIN(ym), '%Y-%m') AS first_ym, strftime(MAX(ym), '%Y-%m') AS last_ym
+FROM sp JOIN g USING (tech_code) GROUP BY camp"""
+
+ORACLE["latest_period_gate"] = with_(PANEL, SOURCES) + """
+SELECT strftime(c, '%Y-%m') AS current_ym, strftime(s, '%Y-%m') AS staged_ym, coalesce(s > c, false) AS has_new_period
+FROM (SELECT (SELECT MAX(ym) FROM lb) AS c, (SELECT MAX(ym) FROM la) AS s)"""

@@ -358,3 +358,93 @@ def provenance_by_source(spark, sf_dir):
     g = s.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ym").alias("first_ym"),
                                 F.max("ym").alias("last_ym"), F.count_if(bad).alias("n_wrong_side"))
     return _txt_ym(g, "first_ym", "last_ym")
+
+
+# --- star schema, merge, fingerprints ------------------------------------------
+
+def _fact(df):
+    from pyspark.sql import functions as F
+    return df.select(F.col("ym").alias("year_month"), "tech_code", "accounts", "source")
+
+
+def _spliced_fact(spark, sf_dir):
+    from ..operators.splice import splice
+    a, b = _sources(spark, sf_dir)
+    return _fact(splice(a, b, S.cutover))
+
+
+@register("upsert_result")
+def upsert_result(spark, sf_dir):
+    """Legacy state merged with the live batch (batch wins on key, nothing deleted)."""
+    from ..operators.warehouse import FACT_KEY, merge_frames
+    a, b = _sources(spark, sf_dir)
+    return _txt_ym(merge_frames(_fact(b), _fact(a), FACT_KEY, "update"), "year_month")
+
+
+@register("upsert_ignore")
+def upsert_ignore(spark, sf_dir):
+    """dim_period insert-ignore — months of the live batch added only when new."""
+    from ..operators.warehouse import dim_period, merge_frames
+    a, b = _sources(spark, sf_dir)
+    return _txt_ym(merge_frames(dim_period(b), dim_period(a), ["year_month"], "ignore"), "year_month")
+
+
+@register("state_snapshot")
+def state_snapshot(spark, sf_dir):
+    """Count, sum, range, codes and ordered md5 of the spliced fact."""
+    from ..operators.warehouse import snapshot
+    return snapshot(_spliced_fact(spark, sf_dir))
+
+
+@register("fingerprint_keyed")
+def fingerprint_keyed(spark, sf_dir):
+    """Two-level ordered md5 (per month, then over months) of the spliced fact."""
+    from ..operators.fingerprint import ordered_fingerprint
+    from ..operators.warehouse import FACT_COLS, FACT_KEY
+    return ordered_fingerprint(_spliced_fact(spark, sf_dir), "year_month", FACT_KEY, FACT_COLS)
+
+
+LINEITEM_FP_COLS = [
+    ("l_orderkey", None), ("l_partkey", None), ("l_suppkey", None), ("l_linenumber", None),
+    ("l_quantity", "decimal(18,2)"), ("l_extendedprice", "decimal(18,2)"), ("l_discount", "decimal(4,2)"),
+    ("l_tax", "decimal(4,2)"), ("l_returnflag", None), ("l_linestatus", None), ("l_shipdate", "date"),
+]
+
+
+@register("fingerprint_unkeyed")
+def fingerprint_unkeyed(spark, sf_dir):
+    """Order-insensitive fingerprint of all of lineitem (no shuffle of rows)."""
+    from pyspark.sql import functions as F
+
+    from ..operators.fingerprint import unordered_fingerprint
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem", *[c for c, _ in LINEITEM_FP_COLS])
+    cols = [F.col(c).cast(t) if t else F.col(c) for c, t in LINEITEM_FP_COLS]
+    return unordered_fingerprint(li, cols)
+
+
+@register("summary_by_camp")
+def summary_by_camp(spark, sf_dir):
+    """Per group rows, distinct codes, first / last month of the spliced fact."""
+    from pyspark.sql import functions as F
+
+    from ..operators.metrics import group_dim
+    f = _spliced_fact(spark, sf_dir)
+    j = f.join(F.broadcast(group_dim(spark, S).select("tech_code", "camp")), "tech_code")
+    g = j.groupBy("camp").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("tech_code").alias("n_tech"),
+                              F.min("year_month").alias("first_ym"), F.max("year_month").alias("last_ym"))
+    return _txt_ym(g, "first_ym", "last_ym")
+
+
+@register("latest_period_gate")
+def latest_period_gate(spark, sf_dir):
+    """Is the staged (live) source ahead of the committed (legacy) state?"""
+    from pyspark.sql import functions as F
+    a, b = _sources(spark, sf_dir)
+    cur = b.agg(F.max("ym").alias("current_ym"), F.lit(1).alias("__k"))
+    new = a.agg(F.max("ym").alias("staged_ym"), F.lit(1).alias("__k"))
+    u = cur.unionByName(new, allowMissingColumns=True).groupBy("__k").agg(
+        F.max("current_ym").alias("current_ym"), F.max("staged_ym").alias("staged_ym"))
+    out = u.select("current_ym", "staged_ym",
+                   F.coalesce(F.col("staged_ym") > F.col("current_ym"), F.lit(False)).alias("has_new_period"))
+    return _txt_ym(out, "current_ym", "staged_ym")
