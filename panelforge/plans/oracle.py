@@ -458,3 +458,67 @@ FROM sp JOIN g USING (tech_code) GROUP BY camp"""
 ORACLE["latest_period_gate"] = with_(PANEL, SOURCES) + """
 SELECT strftime(c, '%Y-%m') AS current_ym, strftime(s, '%Y-%m') AS staged_ym, coalesce(s > c, false) AS has_new_period
 FROM (SELECT (SELECT MAX(ym) FROM lb) AS c, (SELECT MAX(ym) FROM la) AS s)"""
+
+
+# --- headline, breaks, annotations, anchors -----------------------------------
+
+ORACLE["share_change"] = METRICS + """
+SELECT ym, a_share, ROUND(a_share - LAG(a_share) OVER (ORDER BY ym), 4) AS share_change_pp FROM m"""
+
+SC = """sc AS (SELECT *, ROUND(a_share - LAG(a_share) OVER (ORDER BY ym), 4) AS share_change FROM m)"""
+
+ORACLE["break_neighbourhood"] = METRICS + "," + SC + """,
+f AS (SELECT *, ym IN ('1997-01', '2000-01') AS at_,
+             coalesce(LEAD(ym IN ('1997-01', '2000-01')) OVER (ORDER BY ym), false) AS before_,
+             coalesce(LAG(ym IN ('1997-01', '2000-01')) OVER (ORDER BY ym), false) AS after_ FROM sc)
+SELECT ym, CASE WHEN at_ THEN 'break' WHEN before_ THEN 'before' WHEN after_ THEN 'after' END AS position,
+       a_net, b_net, a_share, share_change
+FROM f WHERE at_ OR before_ OR after_"""
+
+HEAD = """h AS (
+  SELECT MAX(ym) AS latest_ym, arg_max(a_share, ym) AS latest_share,
+         MAX(CASE WHEN ym = '1997-01' THEN a_share END) AS anchor_share
+  FROM m WHERE a_share IS NOT NULL)"""
+
+ORACLE["break_impact"] = METRICS + "," + SC + "," + HEAD + """
+SELECT ym, share_change AS jump_pp, ROUND(latest_share - anchor_share, 4) AS delta_pp,
+       ROUND(abs(share_change / NULLIF(ROUND(latest_share - anchor_share, 4), 0.0)) * 100, 2) AS pct_of_delta,
+       ROUND(ROUND(latest_share - anchor_share, 4) - share_change, 4) AS residual_pp
+FROM sc, h WHERE ym IN ('1997-01', '2000-01')"""
+
+ORACLE["headline_delta"] = METRICS + "," + HEAD + """
+SELECT '1997-01' AS anchor_ym, latest_ym, anchor_share, latest_share,
+       ROUND(latest_share - anchor_share, 4) AS delta_pp,
+       CAST(round_even(CAST((CAST(substr(latest_ym, 1, 4) AS INTEGER) - 1997) * 12
+            + CAST(substr(latest_ym, 6, 2) AS INTEGER) - 1 AS DECIMAL(10,0)) / 12, 0) AS INTEGER) AS years
+FROM h"""
+
+ORACLE["annotated_series"] = METRICS + """,
+notes AS (SELECT * FROM (VALUES ('1996-05', '1996-05 event', 'event'), ('1999-03', '1999-03-18 event', 'event'),
+                                ('1997-01', '1997-01', 'break'), ('2000-01', '2000-01', 'break')) t(ym, label, kind))
+SELECT m.ym, a_share, label, kind FROM m LEFT JOIN notes USING (ym)"""
+
+ORACLE["gap_series"] = METRICS + """
+SELECT ym, a_share, ROUND(100.0 - a_share, 4) AS b_share, ROUND(a_share - ROUND(100.0 - a_share, 4), 4) AS gap_pp,
+       ym = '1997-01' AS is_anchor,
+       ROUND(least(MIN(a_share) OVER (), 100.0 - MAX(a_share) OVER ()) - 5, 4) AS range_lo,
+       ROUND(greatest(MAX(a_share) OVER (), 100.0 - MIN(a_share) OVER ()) + 5, 4) AS range_hi
+FROM m"""
+
+ORACLE["anchor_check"] = METRICS + """,
+e AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym,
+             CAST(count_if(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS exp_a,
+             CAST(count_if(o_orderpriority = '3-MEDIUM') AS BIGINT) AS exp_b
+      FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1997-01', '2000-01') GROUP BY 1)
+SELECT e.ym, m.a = exp_a AS a_ok, m.b = exp_b AS b_ok,
+       abs(m.a_share - ROUND(exp_a * 100.0 / (exp_a + exp_b), 2)) < 0.005 AS share_ok,
+       ROUND(m.a_share, 2) AS share_2dp, ROUND(exp_a * 100.0 / (exp_a + exp_b), 2) AS exp_share
+FROM e LEFT JOIN m USING (ym)"""
+
+ORACLE["chart_long"] = METRICS + """
+SELECT ym, 'a' AS series, CAST(a AS DOUBLE) AS value FROM m
+UNION ALL SELECT ym, 'b', CAST(b AS DOUBLE) FROM m
+UNION ALL SELECT ym, 'a_net', CAST(a_net AS DOUBLE) FROM m
+UNION ALL SELECT ym, 'b_net', CAST(b_net AS DOUBLE) FROM m"""
+
+ORACLE["last_n_periods"] = METRICS + "SELECT ym, a, b, total FROM m ORDER BY ym DESC LIMIT 3"

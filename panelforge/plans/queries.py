@@ -448,3 +448,88 @@ def latest_period_gate(spark, sf_dir):
     out = u.select("current_ym", "staged_ym",
                    F.coalesce(F.col("staged_ym") > F.col("current_ym"), F.lit(False)).alias("has_new_period"))
     return _txt_ym(out, "current_ym", "staged_ym")
+
+
+# --- headline, breaks, annotations, anchors -----------------------------------
+
+def _metrics(spark, sf_dir):
+    return M.panel_metrics(_levels(spark, sf_dir), S)
+
+
+@register("share_change")
+def share_change(spark, sf_dir):
+    """Share and its change vs the previous month."""
+    return M.share_change(_metrics(spark, sf_dir), S)
+
+
+@register("break_neighbourhood")
+def break_neighbourhood(spark, sf_dir):
+    """Nets, share and share change before / at / after each flagged month."""
+    from ..operators.headline import break_neighbourhood as bn
+    return bn(_metrics(spark, sf_dir), S, P.BREAK_MONTHS)
+
+
+@register("break_impact")
+def break_impact(spark, sf_dir):
+    """H3: one-month jump at each break, its % of the headline delta, the residual."""
+    from ..operators.headline import break_impact as bi
+    return bi(_metrics(spark, sf_dir), S, P.BREAK_MONTHS, P.ANCHOR_YM)
+
+
+@register("headline_delta")
+def headline_delta(spark, sf_dir):
+    """Anchor → latest share delta in pp and whole years between."""
+    from ..operators.headline import headline_delta as hd
+    return hd(_metrics(spark, sf_dir), S, P.ANCHOR_YM)
+
+
+@register("annotated_series")
+def annotated_series(spark, sf_dir):
+    """Monthly share with event / break annotations attached to their month."""
+    import datetime as dt
+
+    from ..operators.headline import annotated_series as an
+    from ..operators.headline import annotations
+    breaks = [(dt.date(int(b[:4]), int(b[5:]), 1), b) for b in P.BREAK_MONTHS]
+    notes = annotations(spark, P.ANNOTATIONS, breaks)
+    return an(_metrics(spark, sf_dir), notes, S)
+
+
+@register("gap_series")
+def gap_series(spark, sf_dir):
+    """Share, complement, gap, anchor flag, joint value range."""
+    from ..operators.headline import gap_series as gs
+    return gs(_metrics(spark, sf_dir), S, P.ANCHOR_YM)
+
+
+@register("anchor_check")
+def anchor_check(spark, sf_dir):
+    """Metric rows vs anchors recomputed straight from orders."""
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import month_of, ym_text
+    from ..operators.headline import anchor_check as ac
+    from ..sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderpriority")
+    a_codes = [c for c, g in P.ORDER_GROUPS.items() if g == S.primary]
+    b_codes = [c for c, g in P.ORDER_GROUPS.items() if g == S.secondary]
+    ym = ym_text(month_of(F.col("o_orderdate")))
+    exp = (o.withColumn("ym", ym).filter(F.col("ym").isin(*P.BREAK_MONTHS, P.ANCHOR_YM))
+           .groupBy("ym").agg(F.count_if(F.col("o_orderpriority").isin(*a_codes)).alias("exp_a"),
+                              F.count_if(F.col("o_orderpriority").isin(*b_codes)).alias("exp_b")))
+    exp = exp.withColumn("exp_share", F.round(F.col("exp_a") * 100.0 / (F.col("exp_a") + F.col("exp_b")), 2))
+    return ac(_metrics(spark, sf_dir), exp, S)
+
+
+@register("chart_long")
+def chart_long(spark, sf_dir):
+    """Level and net series in long form for charting."""
+    from ..operators.headline import chart_long as cl
+    return cl(_metrics(spark, sf_dir), S)
+
+
+@register("last_n_periods")
+def last_n_periods(spark, sf_dir):
+    """L3: the last 3 months of levels."""
+    from ..operators.headline import last_n
+    return last_n(_metrics(spark, sf_dir), 3, ["ym", "a", "b", "total"])
