@@ -522,3 +522,62 @@ UNION ALL SELECT ym, 'a_net', CAST(a_net AS DOUBLE) FROM m
 UNION ALL SELECT ym, 'b_net', CAST(b_net AS DOUBLE) FROM m"""
 
 ORACLE["last_n_periods"] = METRICS + "SELECT ym, a, b, total FROM m ORDER BY ym DESC LIMIT 3"
+
+
+# --- scale: blocked sums, generator, rollups, sample statistics, JSON ----------
+
+ORACLE["cumulative_blocked"] = """
+SELECT o_orderkey, CAST(ROUND(CAST(o_totalprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS cents,
+       CAST(SUM(CAST(ROUND(CAST(o_totalprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT)) OVER (ORDER BY o_orderkey) AS BIGINT) AS cum_cents
+FROM orders"""
+
+ORACLE["region_rollup"] = """
+SELECT r.r_name, CAST(SUM(c) AS BIGINT) AS total, CAST(ROUND(AVG(c)) AS BIGINT) AS avg_cents
+FROM (SELECT o_custkey, CAST(ROUND(CAST(o_totalprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS c FROM orders
+      WHERE o_orderpriority = '1-URGENT'
+        AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-01') o
+JOIN customer ON o.o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+JOIN region r ON n_regionkey = r.r_regionkey
+GROUP BY r.r_name ORDER BY total DESC, r.r_name"""
+
+SCALE = """pe AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS year_month FROM orders),
+co AS (SELECT DISTINCT o_orderpriority AS tech_code FROM orders),
+st AS (
+  SELECT year_month, tech_code, 'R' || lpad(CAST(r AS VARCHAR), 2, '0') AS region_code, o AS operator_id,
+         CAST(((CAST(date_diff('day', DATE '1970-01-01', year_month) AS BIGINT)) * 7 + r * 131 + o * 17
+               + length(tech_code) * 991) % 500000 AS BIGINT) AS accounts
+  FROM pe, co, range(1, 23) t1(r), range(1, (SELECT COUNT(*) FROM supplier) + 1) t2(o))"""
+
+ORACLE["scale_generate"] = with_(SCALE) + """
+SELECT tech_code, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(SUM(accounts) AS BIGINT) AS sum_accounts,
+       MIN(accounts) AS min_accounts, MAX(accounts) AS max_accounts,
+       CAST(COUNT(DISTINCT region_code) AS BIGINT) AS n_regions
+FROM st GROUP BY tech_code"""
+
+ORACLE["scale_rollup"] = with_(SCALE) + """
+SELECT region_code, CAST(SUM(accounts) AS BIGINT) AS total, CAST(ROUND(AVG(accounts)) AS BIGINT) AS avg_accounts
+FROM st WHERE tech_code = '1-URGENT' AND year_month BETWEEN DATE '1996-01-01' AND DATE '1999-12-01'
+GROUP BY region_code ORDER BY total DESC, region_code"""
+
+PHASED = """ev AS (SELECT event_type, value,
+                   CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'before' ELSE 'after' END AS phase FROM events)"""
+
+ORACLE["sample_stats"] = with_(PHASED) + """
+SELECT event_type, phase, CAST(COUNT(value) AS BIGINT) AS n, MIN(value) AS min, MAX(value) AS max,
+       CAST(median(value) AS DOUBLE) AS median
+FROM ev GROUP BY event_type, phase"""
+
+ORACLE["before_after_ratios"] = with_(PHASED) + """,
+md AS (SELECT event_type, phase, CAST(median(value) AS DOUBLE) AS med FROM ev GROUP BY 1, 2),
+g AS (SELECT event_type, MAX(CASE WHEN phase = 'before' THEN med END) AS median_before,
+             MAX(CASE WHEN phase = 'after' THEN med END) AS median_after FROM md GROUP BY 1)
+SELECT event_type, median_before, median_after,
+       ROUND(median_before / NULLIF(median_after, 0), 4) AS ratio,
+       ROUND((1.0 - median_before / NULLIF(median_after, 0)) * 100, 2) AS change_pct
+FROM g"""
+
+ORACLE["json_path"] = """
+SELECT event_type, CAST(COUNT(*) AS BIGINT) AS n,
+       CAST(COUNT(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS n_with_k,
+       CAST(SUM(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k
+FROM events GROUP BY event_type"""

@@ -533,3 +533,132 @@ def last_n_periods(spark, sf_dir):
     """L3: the last 3 months of levels."""
     from ..operators.headline import last_n
     return last_n(_metrics(spark, sf_dir), 3, ["ym", "a", "b", "total"])
+
+
+# --- scale: blocked sums, generator, rollups, sample statistics, JSON ----------
+
+CUM_BLOCK = 1 << 12
+
+
+@register("cumulative_blocked")
+def cumulative_blocked(spark, sf_dir):
+    """W4 at scale: running sum of order cents by order key without a global window."""
+    from ..operators.scale import blocked_cumsum
+    from ..sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    o = o.select("o_orderkey", P.cents("o_totalprice").alias("cents"))
+    return blocked_cumsum(o, "o_orderkey", "cents", "cum_cents", CUM_BLOCK)
+
+
+ROLLUP_CODE = "1-URGENT"
+ROLLUP_FROM, ROLLUP_TO = "1996-01-01", "1999-12-01"
+
+
+@register("region_rollup")
+def region_rollup(spark, sf_dir):
+    """One code, an inclusive date range, per region SUM and rounded AVG, largest first.
+
+    Both predicates reach the orders scan (PushedFilters); customer joins by
+    shuffle, nation / region are broadcast by their measured size.
+    """
+    from pyspark.sql import functions as F
+
+    from ..operators.scale import rollup
+    o = P.orders_region(spark, sf_dir)
+    f = o.filter((F.col("o_orderpriority") == ROLLUP_CODE)
+                 & F.col("o_orderdate").between(F.lit(ROLLUP_FROM).cast("timestamp_ntz"),
+                                                F.lit(ROLLUP_TO).cast("timestamp_ntz")))
+    return rollup(f.select("r_name", P.cents("o_totalprice").alias("cents")), "r_name", "cents",
+                  "total", "avg_cents")
+
+
+SCALE_REGIONS = 22
+
+
+def _scale_inputs(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import month_of
+    from ..sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderpriority")
+    periods = o.select(month_of(F.col("o_orderdate")).alias("year_month")).distinct()
+    codes = o.select(F.col("o_orderpriority").alias("tech_code")).distinct()
+    n_supp = read_table(spark, sf_dir, "supplier", "s_suppkey").count()
+    sizes = o.agg(F.count_distinct(month_of(F.col("o_orderdate"))).alias("m"),
+                  F.count_distinct("o_orderpriority").alias("c")).first()
+    return periods, codes, int(sizes["m"]), int(sizes["c"]), int(n_supp)
+
+
+def _scale_table(spark, sf_dir):
+    from ..operators.scale import scale_table
+    periods, codes, m, c, n_supp = _scale_inputs(spark, sf_dir)
+    return scale_table(spark, periods, codes, SCALE_REGIONS, max(1, n_supp), m, c)
+
+
+@register("scale_generate")
+def scale_generate(spark, sf_dir):
+    """Months × codes × 22 regions × one operator per supplier.
+
+    Returned as a per-code summary of the whole generated table.
+    """
+    from pyspark.sql import functions as F
+    t = _scale_table(spark, sf_dir)
+    return t.groupBy("tech_code").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("accounts").cast("bigint").alias("sum_accounts"),
+        F.min("accounts").alias("min_accounts"), F.max("accounts").alias("max_accounts"),
+        F.count_distinct("region_code").alias("n_regions"))
+
+
+@register("scale_rollup")
+def scale_rollup(spark, sf_dir):
+    """G5 on the generated table: one code, an inclusive month range, per region."""
+    from pyspark.sql import functions as F
+
+    from ..operators.scale import rollup
+    t = _scale_table(spark, sf_dir)
+    f = t.filter((F.col("tech_code") == ROLLUP_CODE)
+                 & F.col("year_month").between(F.lit(ROLLUP_FROM).cast("date"), F.lit(ROLLUP_TO).cast("date")))
+    return rollup(f, "region_code", "accounts")
+
+
+def _phased_events(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..sources.tables import read_table
+    e = read_table(spark, sf_dir, "events", "event_type", "ts", "value")
+    phase = F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "before").otherwise("after")
+    return e.withColumn("phase", phase)
+
+
+@register("sample_stats")
+def sample_stats_q(spark, sf_dir):
+    """N, exact median, min, max of event values per type and phase."""
+    from ..operators.scale import sample_stats
+    return sample_stats(_phased_events(spark, sf_dir), ["event_type", "phase"], "value")
+
+
+@register("before_after_ratios")
+def before_after_ratios(spark, sf_dir):
+    """Per type, median before / after, their ratio and the % change."""
+    from pyspark.sql import functions as F
+
+    from ..operators.scale import exact_median, ratio
+    med = exact_median(_phased_events(spark, sf_dir), ["event_type", "phase"], "value")
+    g = med.groupBy("event_type").agg(
+        F.max(F.when(F.col("phase") == "before", F.col("median"))).alias("median_before"),
+        F.max(F.when(F.col("phase") == "after", F.col("median"))).alias("median_after"))
+    r = ratio(F.col("median_before"), F.col("median_after"))
+    return g.select("event_type", "median_before", "median_after",
+                    F.round(r, 4).alias("ratio"), F.round((F.lit(1.0) - r) * 100, 2).alias("change_pct"))
+
+
+@register("json_path")
+def json_path(spark, sf_dir):
+    """A JSON path read from every event's props, summed per type."""
+    from pyspark.sql import functions as F
+
+    from ..sources.tables import read_table
+    e = read_table(spark, sf_dir, "events", "event_type", "props")
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(k).alias("n_with_k"),
+                                       F.sum(k).cast("bigint").alias("sum_k"))
