@@ -65,16 +65,28 @@ def content_checks(wide: DataFrame, spec: SourceSpec, allow_growth: bool = False
     df = df.withColumn("__cls", _class_col(spec, v, tolerance))
     cls = F.col("__cls")
 
-    a = df.agg(
+    # one shuffle by month (bounded by the number of periods): per-month
+    # partial counts, then a one-row fold. Duplicates and distinct months come
+    # from the month groups, so no count(distinct) expansion is needed.
+    per = df.groupBy("ym").agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(bad_cells), F.lit(0)).alias("bad_cells"),
         F.count_if(comma_row).alias("comma_rows"),
         F.count_if(~width_ok).alias("bad_width"),
-        F.count_if(F.col("ym").isNull()).alias("bad_period"),
         F.count_if(cls == "exact").alias("exact"),
         F.count_if(cls == "within_tolerance").alias("within"),
         F.count_if(cls.isin("mismatch", "unparsed")).alias("mismatch"),
-        F.count_distinct("ym").alias("n_months"),
+    )
+    a = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("bad_cells"), F.lit(0)).alias("bad_cells"),
+        F.coalesce(F.sum("comma_rows"), F.lit(0)).alias("comma_rows"),
+        F.coalesce(F.sum("bad_width"), F.lit(0)).alias("bad_width"),
+        F.coalesce(F.sum(F.when(F.col("ym").isNull(), F.col("n"))), F.lit(0)).alias("bad_period"),
+        F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"),
+        F.coalesce(F.sum("within"), F.lit(0)).alias("within"),
+        F.coalesce(F.sum("mismatch"), F.lit(0)).alias("mismatch"),
+        F.count("ym").alias("n_months"),
         F.min("ym").alias("first"),
         F.max("ym").alias("last"),
     )

@@ -575,7 +575,12 @@ def region_rollup(spark, sf_dir):
 SCALE_REGIONS = 22
 
 
+_SIZES: dict = {}
+
+
 def _scale_inputs(spark, sf_dir):
+    """Periods and codes from orders, operators = suppliers; the sizes are one
+    small aggregate (memoised per session and folder: the tables are read-only)."""
     from pyspark.sql import functions as F
 
     from ..functions.periods import month_of
@@ -583,10 +588,14 @@ def _scale_inputs(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderpriority")
     periods = o.select(month_of(F.col("o_orderdate")).alias("year_month")).distinct()
     codes = o.select(F.col("o_orderpriority").alias("tech_code")).distinct()
-    n_supp = read_table(spark, sf_dir, "supplier", "s_suppkey").count()
-    sizes = o.agg(F.count_distinct(month_of(F.col("o_orderdate"))).alias("m"),
-                  F.count_distinct("o_orderpriority").alias("c")).first()
-    return periods, codes, int(sizes["m"]), int(sizes["c"]), int(n_supp)
+    key = (id(spark), sf_dir)
+    if key not in _SIZES:
+        n_supp = read_table(spark, sf_dir, "supplier", "s_suppkey").count()
+        sizes = o.agg(F.count_distinct(month_of(F.col("o_orderdate"))).alias("m"),
+                      F.count_distinct("o_orderpriority").alias("c")).first()
+        _SIZES[key] = (int(sizes["m"]), int(sizes["c"]), int(n_supp))
+    m, c, n_supp = _SIZES[key]
+    return periods, codes, m, c, n_supp
 
 
 def _scale_table(spark, sf_dir):

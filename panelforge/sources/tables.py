@@ -20,8 +20,17 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """Scan of a read-only driver table; the relation (file listing, footers,
+    schema) is resolved once per session and path, then only projected."""
+    key = (id(spark), table_path(sf_dir, name))
+    df = _SCANS.get(key)
+    if df is None:
+        df = spark.read.parquet(key[1])
+        _SCANS[key] = df
     return df.select(*cols) if cols else df
 
 
