@@ -249,3 +249,34 @@ def contract_evidence(wide: DataFrame, spec: SourceSpec, n: int = 3,
     w = Window.partitionBy("check").orderBy(F.col("ym").asc_nulls_first(), "evidence")
     return (allf.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select(F.lit(spec.tag).alias("source"), "check", "rank", "evidence"))
+
+
+def file_order(rows: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Physical order of periods in each file — ascending, descending or
+    unsorted. Diagnostic only (never a pass / fail input): it relies on the
+    ingestion ordinal ``_ord`` of the strict scan, which follows file order.
+    """
+    df = period_columns(rows, spec)
+    w = Window.partitionBy("_file").orderBy("_ord")
+    d = df.withColumn("__d", F.datediff(F.col("ym"), F.lag("ym").over(w)))
+    g = d.groupBy("_file").agg(F.count_if(F.col("__d") > 0).alias("up"), F.count_if(F.col("__d") < 0).alias("down"),
+                               F.count(F.lit(1)).alias("n_rows"))
+    direction = (F.when((F.col("down") == 0), "ascending").when(F.col("up") == 0, "descending")
+                 .otherwise("unsorted"))
+    return g.select(F.lit(spec.tag).alias("source"), "_file", "n_rows", direction.alias("direction"))
+
+
+def source_invariants(panel: DataFrame, first, dims=()) -> DataFrame:
+    """First month fixed, months dense (distinct months == span), per dims.
+
+    For a live source the last month only has to be at or after the previous
+    snapshot's, which the caller compares; the frozen source is pinned exactly
+    by the period-range contract.
+    """
+    g = panel.groupBy(*dims).agg(F.min("ym").alias("first_ym"), F.max("ym").alias("last_ym"),
+                                 F.count_distinct("ym").alias("n_months"))
+    span = span_months(F.col("first_ym"), F.col("last_ym"))
+    return g.select(*dims, ym_text(F.col("first_ym")).alias("first_ym"), ym_text(F.col("last_ym")).alias("last_ym"),
+                    "n_months", span.alias("span"),
+                    (F.col("first_ym") == F.lit(_ym(*first))).alias("first_ok"),
+                    (F.col("n_months") == span).alias("dense"))

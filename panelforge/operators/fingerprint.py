@@ -67,3 +67,15 @@ def states_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     for e in same.values():
         allsame = allsame & e
     return u.agg(*[e.alias(f"same_{c}") for c, e in same.items()], allsame.alias("identical"))
+
+
+def row_diff(a: DataFrame, b: DataFrame, cols) -> DataFrame:
+    """The rows that differ between two table states, with their side.
+
+    ``exceptAll`` both ways keeps duplicates (multiset difference); it
+    shuffles both states by all columns, so run it only after the
+    fingerprints disagree.
+    """
+    x, y = a.select(*cols), b.select(*cols)
+    return (x.exceptAll(y).withColumn("side", F.lit("only_in_a"))
+            .unionByName(y.exceptAll(x).withColumn("side", F.lit("only_in_b"))))

@@ -581,3 +581,14 @@ SELECT event_type, CAST(COUNT(*) AS BIGINT) AS n,
        CAST(COUNT(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS n_with_k,
        CAST(SUM(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k
 FROM events GROUP BY event_type"""
+
+ORACLE["source_invariants"] = with_(PANEL, SOURCES) + """,
+inv AS (
+  SELECT 'live' AS source, tech_code, MIN(ym) AS f, MAX(ym) AS l, COUNT(DISTINCT ym) AS n, DATE '1997-01-01' AS want
+  FROM la GROUP BY tech_code
+  UNION ALL
+  SELECT 'legacy', tech_code, MIN(ym), MAX(ym), COUNT(DISTINCT ym), DATE '1995-01-01' FROM lb GROUP BY tech_code)
+SELECT tech_code, strftime(f, '%Y-%m') AS first_ym, strftime(l, '%Y-%m') AS last_ym, CAST(n AS BIGINT) AS n_months,
+       CAST(date_diff('month', f, l) + 1 AS INTEGER) AS span, f = want AS first_ok,
+       n = date_diff('month', f, l) + 1 AS dense, source
+FROM inv"""

@@ -671,3 +671,15 @@ def json_path(spark, sf_dir):
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(k).alias("n_with_k"),
                                        F.sum(k).cast("bigint").alias("sum_k"))
+
+
+@register("source_invariants")
+def source_invariants_q(spark, sf_dir):
+    """Per source and code: first month fixed, months dense (== span)."""
+    from pyspark.sql import functions as F
+
+    from ..operators.contracts import source_invariants
+    a, b = _sources(spark, sf_dir)
+    la = source_invariants(a, (1997, 1), dims=["tech_code"]).withColumn("source", F.lit(P.SRC_LIVE))
+    lb = source_invariants(b, (1995, 1), dims=["tech_code"]).withColumn("source", F.lit(P.SRC_LEGACY))
+    return la.unionByName(lb)
