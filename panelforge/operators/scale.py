@@ -36,7 +36,10 @@ def blocked_cumsum(df: DataFrame, order_col: str, value_col: str, out: str,
     d = df.withColumn("__blk", blk)
     w_in = Window.partitionBy(*dims, "__blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     inner = d.withColumn("__in", F.sum(value_col).over(w_in))
-    totals = d.groupBy(*dims, "__blk").agg(F.sum(value_col).alias("__t"))
+    # a block's total is its last running sum (NULL only if all its values are),
+    # read from the windowed side: that side is already hash-partitioned by
+    # block, so the aggregate needs no exchange and the scan + shuffle are reused
+    totals = inner.groupBy(*dims, "__blk").agg(F.max_by("__in", order_col).alias("__t"))
     w_blk = Window.partitionBy(*dims).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*dims, "__blk", F.sum("__t").over(w_blk).alias("__off"))
     j = inner.join(offsets, [*dims, "__blk"], "left")
