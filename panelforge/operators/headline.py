@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import parse_ym, years_between
+from .joins import bounded_broadcast
 
 
 def _share(spec) -> str:
@@ -85,13 +86,15 @@ def annotations(spark: SparkSession, events, breaks) -> DataFrame:
     return spark.createDataFrame(rows, "date date, label string, source string, kind string")
 
 
-def annotated_series(metrics: DataFrame, notes: DataFrame, spec) -> DataFrame:
+def annotated_series(metrics: DataFrame, notes: DataFrame, spec, n_notes: int | None = None) -> DataFrame:
     """Attach annotations to their month (a mid-month date lands on its month).
 
-    ``notes`` is a literal list fixed in the spec (bounded), so it is broadcast.
+    ``notes`` is a literal list fixed in the spec; pass its length as
+    ``n_notes`` and it is broadcast when under the row limit.
     """
     n = notes.select(F.date_format(F.trunc("date", "MM"), "yyyy-MM").alias("ym"), "label", "kind")
-    return metrics.select("ym", f"{spec.p}_share").join(F.broadcast(n), "ym", "left")
+    side = bounded_broadcast(n, n_notes) if n_notes is not None else n
+    return metrics.select("ym", f"{spec.p}_share").join(side, "ym", "left")
 
 
 def gap_series(metrics: DataFrame, spec, anchor_ym: str, dims=()) -> DataFrame:

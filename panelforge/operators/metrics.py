@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import ym_text
 from ..spec import MA_WINDOW, PanelSpec
+from .joins import bounded_broadcast
 
 
 def group_dim(spark: SparkSession, spec: PanelSpec) -> DataFrame:
@@ -29,7 +30,7 @@ def group_dim(spark: SparkSession, spec: PanelSpec) -> DataFrame:
 def with_group(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     """Attach the group by a broadcast join on ``tech_code``."""
     dim = group_dim(panel.sparkSession, spec).select("tech_code", "camp")
-    return panel.join(F.broadcast(dim), "tech_code")
+    return panel.join(bounded_broadcast(dim, len(spec.groups)), "tech_code")
 
 
 def group_levels(panel: DataFrame, spec: PanelSpec, dims=(), measure: str = "accounts") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..spec import SCALE_MOD
+from .joins import bounded_broadcast
 
 
 def blocked_cumsum(df: DataFrame, order_col: str, value_col: str, out: str,
@@ -73,7 +74,7 @@ def scale_table(spark: SparkSession, periods: DataFrame, codes: DataFrame, n_reg
                       r.cast("int").alias("r"), o.cast("int").alias("operator_id"))
     p = indexed(periods, "year_month", "__pi")
     c = indexed(codes, "tech_code", "__ci")
-    j = base.join(F.broadcast(p), "__pi").join(F.broadcast(c), "__ci")
+    j = base.join(bounded_broadcast(p, n_periods), "__pi").join(bounded_broadcast(c, n_codes), "__ci")
     accounts = ((F.unix_date("year_month").cast("bigint") * 7 + F.col("r") * 131 + F.col("operator_id") * 17
                  + F.length("tech_code") * 991) % SCALE_MOD).cast("bigint")
     return j.select(

@@ -429,8 +429,9 @@ def summary_by_camp(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from ..operators.metrics import group_dim
+    from ..operators.joins import bounded_broadcast
     f = _spliced_fact(spark, sf_dir)
-    j = f.join(F.broadcast(group_dim(spark, S).select("tech_code", "camp")), "tech_code")
+    j = f.join(bounded_broadcast(group_dim(spark, S).select("tech_code", "camp"), len(S.groups)), "tech_code")
     g = j.groupBy("camp").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("tech_code").alias("n_tech"),
                               F.min("year_month").alias("first_ym"), F.max("year_month").alias("last_ym"))
     return _txt_ym(g, "first_ym", "last_ym")
@@ -492,7 +493,7 @@ def annotated_series(spark, sf_dir):
     from ..operators.headline import annotations
     breaks = [(dt.date(int(b[:4]), int(b[5:]), 1), b) for b in P.BREAK_MONTHS]
     notes = annotations(spark, P.ANNOTATIONS, breaks)
-    return an(_metrics(spark, sf_dir), notes, S)
+    return an(_metrics(spark, sf_dir), notes, S, n_notes=len(P.ANNOTATIONS) + len(breaks))
 
 
 @register("gap_series")
