@@ -88,3 +88,46 @@ def subtotal_class(total: Column, parts: Column, tolerance: float) -> Column:
 def thousands(x: Column) -> Column:
     """integer with thousands separators ("1,234,567")."""
     return F.format_number(x, 0)
+
+
+# --- the same rules as Spark SQL expression text -------------------------------
+# Used where many columns are parsed at once (contracts): one expression string
+# per column is one call into the JVM instead of one per expression node. The
+# rules are identical to the Column versions above (tests check both).
+
+def ident(name: str) -> str:
+    """A column name as a quoted SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_cleaned(x: str) -> str:
+    return r"regexp_replace(regexp_replace(" + x + r", ',', ''), '(?U)^\\s+|\\s+$', '')"
+
+
+def sql_over_bigint(c: str) -> str:
+    d = f"regexp_replace({c}, '^0+(?=[0-9])', '')"
+    n = len(_BIGINT_MAX)
+    return f"(length({d}) > {n} OR (length({d}) = {n} AND {d} > '{_BIGINT_MAX}'))"
+
+
+def sql_strict_int(c: str) -> str:
+    """``c`` holds cleaned text."""
+    return f"CASE WHEN {c} RLIKE '^[0-9]+$' AND NOT {sql_over_bigint(c)} THEN CAST({c} AS BIGINT) END"
+
+
+def sql_parse_reason(raw: str, c: str) -> str:
+    """``raw`` is the cell, ``c`` its cleaned text."""
+    return (f"CASE WHEN {raw} IS NULL OR {c} = '' THEN '{BLANK}' "
+            f"WHEN NOT ({c} RLIKE '^[0-9]+$') THEN '{NOT_DIGITS}' "
+            f"WHEN {sql_over_bigint(c)} THEN '{OVERFLOW}' END")
+
+
+def sql_has_comma(raw: str) -> str:
+    return f"coalesce(contains({raw}, ','), false)"
+
+
+def sql_subtotal_class(total: str, parts: str, tolerance: float) -> str:
+    t, p = f"CAST({total} AS DECIMAL(38,0))", f"CAST({parts} AS DECIMAL(38,0))"
+    return (f"CASE WHEN {t} IS NULL OR {p} IS NULL THEN 'unparsed' WHEN {t} = {p} THEN 'exact' "
+            f"WHEN {t} <> 0 AND abs({t} - {p}) / abs({t}) <= CAST({float(tolerance)!r} AS DOUBLE) "
+            f"THEN 'within_tolerance' ELSE 'mismatch' END")

@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.parse import cleaned, has_comma, parse_reason, strict_int, subtotal_class
+from ..functions.parse import (ident, sql_cleaned, sql_has_comma, sql_parse_reason, sql_strict_int,
+                               sql_subtotal_class)
 from ..functions.periods import span_months, ym_text
 from ..sources.csv_strict import StrictScan
 from ..spec import TOLERANCE, SourceSpec
@@ -55,91 +56,90 @@ def content_checks(wide: DataFrame, spec: SourceSpec, allow_growth: bool = False
 
     ``wide`` holds the spec's text columns, optionally ``_width_ok`` from the
     strict CSV scan (T11: short and long records fail the parse check).
+    Expressions are written as SQL text: one JVM call per expression.
     """
     growth = bool(allow_growth and spec.live)
     numeric = spec.numeric_cols
     df, v, r = parsed_columns(period_columns(wide, spec), numeric)
-    width_ok = F.col("_width_ok") if "_width_ok" in wide.columns else F.lit(True)
-    bad_cells = reduce(lambda a, b: a + b, [F.col(r[c]).isNotNull().cast("int") for c in numeric])
-    comma_row = reduce(lambda a, b: a | b, [has_comma(F.col(f"`{c}`")) for c in numeric])
-    df = df.withColumn("__cls", _class_col(spec, v, tolerance))
-    cls = F.col("__cls")
-
+    width_ok = "`_width_ok`" if "_width_ok" in wide.columns else "true"
+    bad_cells = " + ".join(f"CAST({ident(r[c])} IS NOT NULL AS INT)" for c in numeric)
+    comma_row = " OR ".join(sql_has_comma(ident(c)) for c in numeric)
+    df = df.selectExpr("ym", f"{bad_cells} AS __bad", f"{comma_row} AS __comma", f"{width_ok} AS __wok",
+                       f"{_class_sql(spec, v, tolerance)} AS __cls")
     # one shuffle by month (bounded by the number of periods): per-month
     # partial counts, then a one-row fold. Duplicates and distinct months come
     # from the month groups, so no count(distinct) expansion is needed.
-    per = df.groupBy("ym").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(bad_cells), F.lit(0)).alias("bad_cells"),
-        F.count_if(comma_row).alias("comma_rows"),
-        F.count_if(~width_ok).alias("bad_width"),
-        F.count_if(cls == "exact").alias("exact"),
-        F.count_if(cls == "within_tolerance").alias("within"),
-        F.count_if(cls.isin("mismatch", "unparsed")).alias("mismatch"),
-    )
-    a = per.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("bad_cells"), F.lit(0)).alias("bad_cells"),
-        F.coalesce(F.sum("comma_rows"), F.lit(0)).alias("comma_rows"),
-        F.coalesce(F.sum("bad_width"), F.lit(0)).alias("bad_width"),
-        F.coalesce(F.sum(F.when(F.col("ym").isNull(), F.col("n"))), F.lit(0)).alias("bad_period"),
-        F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"),
-        F.coalesce(F.sum("within"), F.lit(0)).alias("within"),
-        F.coalesce(F.sum("mismatch"), F.lit(0)).alias("mismatch"),
-        F.count("ym").alias("n_months"),
-        F.min("ym").alias("first"),
-        F.max("ym").alias("last"),
-    )
-    n, months = F.col("n"), F.col("n_months")
-    exp_first, exp_last = F.lit(_ym(*spec.first)), F.lit(_ym(*spec.last))
-    rows_ok = (n >= spec.rows) if growth else (n == spec.rows)
-    span = F.coalesce(span_months(F.col("first"), F.col("last")), F.lit(0))
-    last_ok = (F.col("last") >= exp_last) if growth else (F.col("last") == exp_last)
-    range_ok = F.coalesce((F.col("first") == exp_first) & last_ok, F.lit(False))
-    dup_extra = n - F.col("bad_period") - months
-    checks = [
-        _row(spec.tag, "row_count", rows_ok, n, F.when(rows_ok, 0).otherwise(F.abs(n - spec.rows)),
-             F.concat(F.lit("rows="), _txt(n), F.lit(" expected" + (">=" if growth else "=") + str(spec.rows)))),
-        _row(spec.tag, "row_width", F.col("bad_width") == 0, n, F.col("bad_width"),
-             F.concat(F.lit("short_or_long_rows="), _txt(F.col("bad_width")))),
-        _row(spec.tag, "period_parse", F.col("bad_period") == 0, n, F.col("bad_period"),
-             F.concat(F.lit("unparsed_periods="), _txt(F.col("bad_period")))),
-        _row(spec.tag, "numerics_parse", F.col("bad_cells") == 0, n * len(numeric), F.col("bad_cells"),
-             F.concat(F.lit("comma_rows="), _txt(F.col("comma_rows")))),
-        _row(spec.tag, "subtotal_arithmetic", F.col("mismatch") == 0, n, F.col("mismatch"),
-             F.concat(F.lit("exact="), _txt(F.col("exact")), F.lit(";within_tolerance="),
-                      _txt(F.col("within")), F.lit(";mismatch="), _txt(F.col("mismatch")))),
-        _row(spec.tag, "no_duplicate_months", dup_extra == 0, n, dup_extra,
-             F.concat(F.lit("distinct_months="), _txt(months))),
-        _row(spec.tag, "no_missing_months", span == months, span, span - months,
-             F.concat(F.lit("span="), _txt(span), F.lit(";months="), _txt(months))),
-        _row(spec.tag, "period_range", range_ok, F.lit(1), F.when(range_ok, 0).otherwise(1),
-             F.concat(_txt(ym_text(F.col("first"))), F.lit("~"), _txt(ym_text(F.col("last"))))),
+    per = df.groupBy("ym").agg(*[F.expr(e) for e in (
+        "count(1) AS n", "coalesce(sum(__bad), 0) AS bad_cells", "count_if(__comma) AS comma_rows",
+        "count_if(NOT __wok) AS bad_width", "count_if(__cls = 'exact') AS exact",
+        "count_if(__cls = 'within_tolerance') AS within",
+        "count_if(__cls IN ('mismatch', 'unparsed')) AS mismatch")])
+    a = per.agg(*[F.expr(e) for e in (
+        "coalesce(sum(n), 0) AS n", "coalesce(sum(bad_cells), 0) AS bad_cells",
+        "coalesce(sum(comma_rows), 0) AS comma_rows", "coalesce(sum(bad_width), 0) AS bad_width",
+        "coalesce(sum(CASE WHEN ym IS NULL THEN n END), 0) AS bad_period",
+        "coalesce(sum(exact), 0) AS exact", "coalesce(sum(within), 0) AS within",
+        "coalesce(sum(mismatch), 0) AS mismatch", "count(ym) AS n_months", "min(ym) AS first",
+        "max(ym) AS last")])
+    first, last = _ym(*spec.first).isoformat(), _ym(*spec.last).isoformat()
+    rows_ok = f"n >= {spec.rows}" if growth else f"n = {spec.rows}"
+    last_ok = f"last >= DATE'{last}'" if growth else f"last = DATE'{last}'"
+    a = a.selectExpr(
+        "*", f"coalesce(CAST(months_between(last, first) + 1 AS INT), 0) AS span",
+        f"coalesce(first = DATE'{first}' AND {last_ok}, false) AS range_ok",
+        "n - bad_period - n_months AS dup_extra", f"{rows_ok} AS rows_ok")
+
+    def txt(x: str) -> str:
+        return f"coalesce(CAST({x} AS STRING), 'NULL')"
+
+    def row(check: str, passed: str, n_total: str, n_bad: str, detail: str) -> str:
+        return (f"named_struct('source', '{spec.tag}', 'check', '{check}', 'passed', {passed}, "
+                f"'n_total', CAST({n_total} AS BIGINT), 'n_bad', CAST({n_bad} AS BIGINT), "
+                f"'detail', CAST({detail} AS STRING))")
+    first_txt, last_txt = "date_format(first, 'yyyy-MM')", "date_format(last, 'yyyy-MM')"
+    expected = f"' expected{'>=' if growth else '='}{spec.rows}'"
+    rows = [
+        row("row_count", "rows_ok", "n", f"CASE WHEN rows_ok THEN 0 ELSE abs(n - {spec.rows}) END",
+            f"concat('rows=', {txt('n')}, {expected})"),
+        row("row_width", "bad_width = 0", "n", "bad_width", f"concat('short_or_long_rows=', {txt('bad_width')})"),
+        row("period_parse", "bad_period = 0", "n", "bad_period",
+            f"concat('unparsed_periods=', {txt('bad_period')})"),
+        row("numerics_parse", "bad_cells = 0", f"n * {len(numeric)}", "bad_cells",
+            f"concat('comma_rows=', {txt('comma_rows')})"),
+        row("subtotal_arithmetic", "mismatch = 0", "n", "mismatch",
+            f"concat('exact=', {txt('exact')}, ';within_tolerance=', {txt('within')}, ';mismatch=', "
+            f"{txt('mismatch')})"),
+        row("no_duplicate_months", "dup_extra = 0", "n", "dup_extra",
+            f"concat('distinct_months=', {txt('n_months')})"),
+        row("no_missing_months", "span = n_months", "span", "span - n_months",
+            f"concat('span=', {txt('span')}, ';months=', {txt('n_months')})"),
+        row("period_range", "range_ok", "1", "CASE WHEN range_ok THEN 0 ELSE 1 END",
+            f"concat({txt(first_txt)}, '~', {txt(last_txt)})"),
     ]
-    return a.select(F.inline(F.array(*checks)))
+    return a.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def parsed_columns(df: DataFrame, cols) -> tuple[DataFrame, dict, dict]:
     """Add cleaned text, value and reject reason per column as plain columns.
 
-    Three projections on purpose: the parsed value and the reason read the
+    Two projections on purpose: the parsed value and the reason read the
     cleaned text as a column instead of repeating the regex work inside one
     generated expression.
     """
     cl = {c: f"__c{i}" for i, c in enumerate(cols)}
     v = {c: f"__v{i}" for i, c in enumerate(cols)}
     r = {c: f"__r{i}" for i, c in enumerate(cols)}
-    out = df.select("*", *[cleaned(F.col(f"`{c}`")).alias(cl[c]) for c in cols])
-    out = out.select("*", *[strict_int(F.col(f"`{c}`"), F.col(cl[c])).alias(v[c]) for c in cols],
-                     *[parse_reason(F.col(f"`{c}`"), F.col(cl[c])).alias(r[c]) for c in cols])
+    out = df.selectExpr("*", *[f"{sql_cleaned(ident(c))} AS {cl[c]}" for c in cols])
+    out = out.selectExpr("*", *[f"{sql_strict_int(cl[c])} AS {v[c]}" for c in cols],
+                         *[f"{sql_parse_reason(ident(c), cl[c])} AS {r[c]}" for c in cols])
     return out.drop(*cl.values()), v, r
 
 
-def _class_col(spec: SourceSpec, v: dict, tolerance: float) -> Column:
+def _class_sql(spec: SourceSpec, v: dict, tolerance: float) -> str:
     if spec.sums is None:
-        return F.lit("exact")
-    parts = reduce(lambda a, b: a + b, [F.col(v[c]) for c in spec.sums.parts])
-    return subtotal_class(F.col(v[spec.sums.total]), parts, tolerance)
+        return "'exact'"
+    parts = " + ".join(v[c] for c in spec.sums.parts)
+    return sql_subtotal_class(v[spec.sums.total], f"({parts})", tolerance)
 
 
 def file_checks(spark: SparkSession, scan: StrictScan, spec: SourceSpec) -> tuple[DataFrame, bool]:
@@ -219,7 +219,7 @@ def contract_evidence(wide: DataFrame, spec: SourceSpec, n: int = 3,
     failures alone, never the table.
     """
     df, v, r = parsed_columns(period_columns(wide, spec), spec.numeric_cols)
-    df = df.withColumn("__cls", _class_col(spec, v, tolerance))
+    df = df.withColumn("__cls", F.expr(_class_sql(spec, v, tolerance)))
     period_txt = F.coalesce(ym_text(F.col("ym")), F.concat_ws("/", *[F.col(f"`{c}`") for c in spec.period_cols]))
     # every candidate (cell or subtotal) becomes an item; the filter runs after
     # the explode, so it cannot be pushed (and inlined) below the generator

@@ -63,3 +63,19 @@ def test_roc_period_and_month_math(spark):
                  PR.years_between(PR.parse_ym(F.col("a")), PR.parse_ym(F.col("b"))).alias("yrs")).collect()
     assert str(r[0].n) == "2020-01-01" and r[0].s == 2
     assert r[1].s == 88 and r[1].yrs == 7
+
+
+def test_sql_text_rules_equal_column_rules(spark):
+    cases = ["346,192", " 1276 ", "0", "", None, "   ", "-5", "1.5", "12a", "1_000", "１２３",
+             "12345678901234567890", "9223372036854775808", "9223372036854775807", "00042", "　 7,000 "]
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    a = df.select(PZ.strict_int(F.col("x")).alias("v"), PZ.parse_reason(F.col("x")).alias("r"),
+                  PZ.has_comma(F.col("x")).alias("c")).collect()
+    c = PZ.sql_cleaned("x")
+    b = df.selectExpr(f"{PZ.sql_strict_int(c)} AS v", f"{PZ.sql_parse_reason('x', c)} AS r",
+                      f"{PZ.sql_has_comma('x')} AS c").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+    t = spark.createDataFrame([(1000, 1000), (100000, 99950), (100000, 99000), (0, 5), (None, 3)], "t long, p long")
+    x = [r[0] for r in t.select(PZ.subtotal_class(F.col("t"), F.col("p"), 0.001)).collect()]
+    y = [r[0] for r in t.selectExpr(PZ.sql_subtotal_class("t", "p", 0.001)).collect()]
+    assert x == y
