@@ -58,8 +58,25 @@ ORDERS_SPEC = PanelSpec(
 
 
 def cents(price_col: str) -> F.Column:
-    """Money as exact integer cents (decimal arithmetic, half-up)."""
-    return F.round(F.col(price_col).cast("decimal(18,2)") * 100, 0).cast("bigint")
+    """Money as exact integer cents: the value rounded half-up to 2 decimals.
+
+    DECIMAL(14,2) × 100 stays within 18 digits, so Spark keeps it as a 64-bit
+    compact decimal (no BigDecimal per row).
+    """
+    return (F.col(price_col).cast("decimal(14,2)") * 100).cast("bigint")
+
+
+def line_amount_cents() -> F.Column:
+    """round(extendedprice × (1 + tax) × (1 − discount), 2) in cents, half-up.
+
+    Exact integer arithmetic: cents × (100 + tax%) × (100 − discount%) is the
+    amount in 1/10000 cents, then divided with half-up rounding. Equal by
+    construction to the same product in decimals, without 30-digit decimals.
+    """
+    x = ("CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * 100 AS BIGINT)"
+         " * (100 + CAST(CAST(l_tax AS DECIMAL(4,2)) * 100 AS INT))"
+         " * (100 - CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS INT))")
+    return F.expr(f"CASE WHEN {x} >= 0 THEN ({x} + 5000) div 10000 ELSE -((5000 - {x}) div 10000) END")
 
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

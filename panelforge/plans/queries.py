@@ -147,10 +147,7 @@ def subtotal_classes(spark, sf_dir):
     from ..sources.tables import read_table
     from ..spec import TOLERANCE
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_tax", "l_discount")
-    amount = F.round(F.col("l_extendedprice").cast("decimal(18,2)")
-                     * (1 + F.col("l_tax").cast("decimal(4,2)"))
-                     * (1 - F.col("l_discount").cast("decimal(4,2)")) * 100, 0).cast("bigint")
-    parts = li.groupBy("l_orderkey").agg(F.sum(amount).alias("parts"))
+    parts = li.groupBy("l_orderkey").agg(F.sum(P.line_amount_cents()).alias("parts"))
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     j = o.join(parts, o.o_orderkey == parts.l_orderkey, "left")
     cls = subtotal_class(P.cents("o_totalprice"), F.coalesce(F.col("parts"), F.lit(0)), TOLERANCE)
