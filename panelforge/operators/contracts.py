@@ -38,14 +38,6 @@ def _ym(y: int, m: int) -> dt.date:
     return dt.date(y, m, 1)
 
 
-def _row(source: str, check: str, passed: Column, n_total: Column, n_bad: Column, detail: Column) -> Column:
-    return F.struct(
-        F.lit(source).alias("source"), F.lit(check).alias("check"),
-        passed.alias("passed"), n_total.cast("bigint").alias("n_total"),
-        n_bad.cast("bigint").alias("n_bad"), detail.cast("string").alias("detail"),
-    )
-
-
 def _txt(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("NULL"))
 

@@ -38,8 +38,7 @@ from ..operators import warehouse as W
 from ..operators.normalize import records
 from ..session import checkpoint_dir
 from ..sources import ledger
-from ..sources.csv_strict import (CORRUPT, StrictScan, read_header, read_text_csv, strict_csv, text_schema,
-                                  with_scan_columns)
+from ..sources.csv_strict import CORRUPT, StrictScan, read_header, strict_csv, text_schema, with_scan_columns
 from ..spec import PanelSpec, SourceSpec
 
 
@@ -204,4 +203,4 @@ def landing_stream(spark: SparkSession, landing: str, cfg: RefreshConfig, checkp
             .trigger(availableNow=True).start())
 
 
-__all__ = ["RefreshConfig", "refresh", "refresh_rows", "landing_stream", "committed_latest", "read_text_csv"]
+__all__ = ["RefreshConfig", "refresh", "refresh_rows", "landing_stream", "committed_latest"]
