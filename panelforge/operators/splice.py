@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import pct_diff
+from .scale import exact_median
 
 KEY = ["ym", "tech_code"]
 
@@ -62,19 +63,33 @@ def overlap_detail(a: DataFrame, b: DataFrame, comparable, dims=()) -> DataFrame
     )
 
 
-def _stats(pct: Column, delta: Column) -> list[Column]:
-    return [
-        F.count(pct).alias("n_pairs"),
-        F.median(pct).alias("median_pct"),
-        F.max(pct).alias("max_pct"),
-        F.count_if(delta == 0).alias("n_exact"),
-    ]
-
-
 def overlap_stats(detail: DataFrame, by=()) -> DataFrame:
-    """Median, max and exact-equal count of pct, overall or by ``by``."""
+    """Median, max and exact-equal count of pct, overall or by ``by``.
+
+    The median is exact and comes from a sorted (spillable) histogram, not
+    from an in-memory percentile buffer.
+    """
     ok = detail.filter(F.col("status") == "both")
-    return ok.groupBy(*by).agg(*_stats(F.col("pct"), F.col("delta")))
+    basic = ok.groupBy(*by).agg(F.count("pct").alias("n_pairs"), F.max("pct").alias("max_pct"),
+                                F.count_if(F.col("delta") == 0).alias("n_exact"))
+    med = exact_median(ok, list(by), "pct", "median_pct")
+    if by:
+        j = basic.join(med, list(by), "left")
+    else:
+        j = one_row(basic, med)
+    return j.select(*by, "n_pairs", "median_pct", "max_pct", "n_exact")
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Put one-row aggregates side by side without a join (union + fold)."""
+    cols: list[str] = []
+    parts = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols]
+    for f in frames:
+        parts.append(f.select(*[F.col(c) if c in f.columns else F.lit(None).alias(c) for c in cols]))
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return u.agg(*[F.max(c).alias(c) for c in cols])
 
 
 def splice_verdict(detail: DataFrame, threshold_pct: float) -> DataFrame:
@@ -95,7 +110,6 @@ def splice_verdict(detail: DataFrame, threshold_pct: float) -> DataFrame:
         F.count_if(pct > thr).alias("n_above"),
         F.max(F.when(pct <= thr, pct)).alias("lo_mid"),
         F.min(F.when(pct > thr, pct)).alias("hi_mid"),
-        F.median(pct).alias("median_pct"),
         F.max(pct).alias("max_pct"),
         F.count_if(both & (F.col("delta") == 0)).alias("n_exact"),
     )
@@ -114,6 +128,7 @@ def splice_verdict(detail: DataFrame, threshold_pct: float) -> DataFrame:
               .when(n == 0, "no_overlap")
               .when(above, "median_above_threshold")
               .otherwise("median_within_threshold"))
+    a = one_row(a, exact_median(detail.filter(both), [], "pct", "median_pct"))
     return a.select(
         "n_pairs", "n_missing", "n_dup_keys", "median_pct", "max_pct", "n_exact",
         verdict.alias("verdict"), reason.alias("reason"),

@@ -138,14 +138,29 @@ def read_fact(spark: SparkSession, warehouse: str) -> DataFrame:
     return spark.read.parquet(os.path.join(warehouse, "fact_subscriptions_monthly"))
 
 
-def snapshot(fact: DataFrame) -> DataFrame:
+def snapshot(fact: DataFrame, ordered: bool = True) -> DataFrame:
     """Count, sum, first / last month, distinct codes, fingerprint.
 
     One shuffle by month: each month yields its row count, sum, code set
     (bounded by the code domain) and ordered md5; a final one-row aggregate
     folds the months. ``loaded_at`` is excluded (T14).
+
+    ``ordered=False`` is for facts with extra dimensions, where one month is no
+    longer bounded by the code list: the fingerprint is then the unordered
+    hash sum (partial aggregation only) and the code count a plain
+    ``count(distinct)``.
     """
     from ..functions.rowcode import row_text
+    if not ordered:
+        from .fingerprint import unordered_fingerprint
+        from .splice import one_row
+        stats = fact.agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.coalesce(F.sum("accounts"), F.lit(0)).cast("bigint").alias("sum_accounts"),
+            ym_text(F.min("year_month")).alias("min_ym"), ym_text(F.max("year_month")).alias("max_ym"),
+            F.count_distinct("tech_code").alias("n_tech"))
+        fp = unordered_fingerprint(fact, FACT_COLS).select(F.col("hash_sum").alias("md5"))
+        return one_row(stats, fp)
     enc = fact.select("year_month", "tech_code", "accounts",
                       row_text(*[F.col(c) for c in FACT_COLS]).alias("__t"))
     per_month = enc.groupBy("year_month").agg(

@@ -83,3 +83,14 @@ def test_fingerprints_see_row_content_not_just_sums(spark):
         FP.unordered_fingerprint(n2, ["x", "y", "z"]).first().hash_sum   # T7: no concat_ws collision
     eq = FP.states_equal(FP.unordered_fingerprint(a, ["m"]), FP.unordered_fingerprint(a, ["m"])).first()
     assert eq.identical
+
+
+def test_unordered_snapshot_detects_changes(spark, spliced):
+    from panelforge.operators.fingerprint import states_equal
+    f = W.fact_rows(spliced)
+    a = W.snapshot(f, ordered=False)
+    b = W.snapshot(f.withColumn("accounts", F.when(F.col("tech_code") == "ADSL", F.col("accounts") + 1)
+                                .otherwise(F.col("accounts") - 1)), ordered=False)
+    eq = states_equal(a, b).first()
+    assert eq.same_n_rows and eq.same_n_tech and not eq.same_md5 and not eq.identical
+    assert W.snapshot(f, ordered=False).first().n_rows == 1160
