@@ -272,3 +272,10 @@ def source_invariants(panel: DataFrame, first, dims=()) -> DataFrame:
                     "n_months", span.alias("span"),
                     (F.col("first_ym") == F.lit(_ym(*first))).alias("first_ok"),
                     (F.col("n_months") == span).alias("dense"))
+
+
+def comma_periods(rows: DataFrame, spec: SourceSpec) -> DataFrame:
+    """P10: the period text of every row where any numeric cell has a separator."""
+    any_comma = " OR ".join(sql_has_comma(ident(c)) for c in spec.numeric_cols)
+    period = " || '/' || ".join(ident(c) for c in spec.period_cols)
+    return rows.where(F.expr(any_comma)).select(F.expr(period).alias("period"))

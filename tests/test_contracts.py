@@ -145,3 +145,8 @@ def test_keyed_contracts(spark):
     assert C.orphans(df, parent, "k", "k").count() == 1
     v = {r.rule: r.n_bad for r in C.violation_counts(df, {"k_le_1": df.k > 1, **C.not_null_rules(["c"])}).collect()}
     assert v == {"k_le_1": 1, "c_not_null": 0}
+
+
+def test_comma_rows_are_exactly_the_two_known_ones(spark, tmp):
+    scan = strict_csv(spark, FX.write_live(os.path.join(tmp, "a.csv")), S.LIVE.columns)
+    assert {r.period for r in C.comma_periods(scan.rows, S.LIVE).collect()} == {"109/1", "109/2"}

@@ -43,3 +43,14 @@ def test_no_python_udf_nodes(spark, name):
 
 def test_every_query_has_an_oracle():
     assert set(E.oracle_sql()) == set(E.queries())
+
+
+def test_evidence_ranking_limits_before_the_shuffle(spark):
+    p = plan(E.queries()["evidence_top_n"](spark, SF_CHECK))
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_blocked_cumsum_reuses_its_shuffle(spark):
+    df = E.queries()["cumulative_blocked"](spark, SF_CHECK)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

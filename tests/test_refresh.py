@@ -61,3 +61,18 @@ def test_landing_stream_processes_each_snapshot_once(spark, tmp):
     q = landing_stream(spark, land, c, checkpoint=os.path.join(tmp, "ckpt"))
     q.awaitTermination(300)
     assert len([r for r in ledger.read(spark, c.ledger_path).collect() if r.step == "done"]) == 2
+
+
+def test_anchor_self_check(spark, tmp):
+    frozen = FX.write_frozen(os.path.join(tmp, "src", "b.csv"))
+    v = {c: FX.value(2019, 1, c) for c in S.CAMP}
+    telco, cable = v["ADSL"] + v["FTTX"], v["CABLE_MODEM"]
+    good = {"2019-01": {"telco": telco, "cable": cable, "share": round(telco / (telco + cable) * 100, 2)}}
+    c = cfg(tmp, frozen)
+    c.anchors, c.verify_idempotence = good, False
+    live = FX.write_live(os.path.join(tmp, "in", "a.csv"))
+    assert refresh(spark, live, c)["status"] == "published"
+    bad = cfg(os.path.join(tmp, "other"), frozen)
+    bad.anchors = {"2019-01": {**good["2019-01"], "telco": telco + 1}}
+    out = refresh(spark, live, bad)
+    assert out["status"] == "failed" and out["step"] == "metrics" and len(out["detail"]) == 1
