@@ -592,3 +592,10 @@ SELECT tech_code, strftime(f, '%Y-%m') AS first_ym, strftime(l, '%Y-%m') AS last
        CAST(date_diff('month', f, l) + 1 AS INTEGER) AS span, f = want AS first_ok,
        n = date_diff('month', f, l) + 1 AS dense, source
 FROM inv"""
+
+ORACLE["missing_months_by_region"] = with_(REGION_PANEL) + """,
+s AS (SELECT r_name, tech_code, ym, LEAD(ym) OVER (PARTITION BY r_name, tech_code ORDER BY ym) AS nx
+      FROM (SELECT DISTINCT r_name, tech_code, ym FROM p))
+SELECT r_name, tech_code, strftime(ym, '%Y-%m') AS ym, strftime(nx, '%Y-%m') AS next_ym,
+       CAST(date_diff('month', ym, nx) - 1 AS INTEGER) AS n_missing
+FROM s WHERE nx IS NOT NULL AND nx <> ym + INTERVAL 1 MONTH"""

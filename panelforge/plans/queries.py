@@ -681,3 +681,15 @@ def source_invariants_q(spark, sf_dir):
     la = source_invariants(a, (1997, 1), dims=["tech_code"]).withColumn("source", F.lit(P.SRC_LIVE))
     lb = source_invariants(b, (1995, 1), dims=["tech_code"]).withColumn("source", F.lit(P.SRC_LEGACY))
     return la.unionByName(lb)
+
+
+@register("missing_months_by_region")
+def missing_months_by_region(spark, sf_dir):
+    """C7 W6 with dims: breaks in every (region, code) monthly series."""
+    from pyspark.sql import functions as F
+
+    from ..functions.periods import ym_text
+    from ..operators.contracts import month_gaps
+    g = month_gaps(P.orders_panel_by_region(spark, sf_dir), dims=["r_name", "tech_code"])
+    return g.select("r_name", "tech_code", ym_text(F.col("ym")).alias("ym"),
+                    ym_text(F.col("next_ym")).alias("next_ym"), "n_missing")
