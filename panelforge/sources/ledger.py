@@ -1,14 +1,17 @@
 """Append-only run ledger ``(run_id, step, status, ts, detail)``.
 
-Rows are appended as small Parquet files. A replayed micro-batch may append
-the same ``(run_id, step)`` twice, so readers de-duplicate by keeping the
+Each step appends one small JSON-lines file through the Hadoop FileSystem API
+(any shared file system the cluster uses), so logging a step costs no Spark
+job. Readers load the folder with ``spark.read.json``. A replayed
+micro-batch may append the same ``(run_id, step)`` twice, so readers keep the
 last row per key.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,14 +19,29 @@ from pyspark.sql import functions as F
 SCHEMA = "run_id string, step string, status string, ts timestamp, detail string"
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def append(spark: SparkSession, path: str, run_id: str, step: str, status: str, detail: str = "") -> None:
-    row = [(run_id, step, status, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), detail)]
-    spark.createDataFrame(row, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    line = json.dumps({"run_id": run_id, "step": step, "status": status,
+                       "ts": now.isoformat(timespec="microseconds"), "detail": detail}, ensure_ascii=False)
+    name = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}.json"
+    p, fs = _fs(spark, f"{path.rstrip('/')}/{name}")
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray((line + "\n").encode("utf-8")))
+    finally:
+        out.close()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    if not os.path.exists(path) and "://" not in path:
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], SCHEMA)
-    df = spark.read.parquet(path)
+    df = spark.read.schema(SCHEMA).json(path)
     w = Window.partitionBy("run_id", "step").orderBy(F.col("ts").desc())
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
