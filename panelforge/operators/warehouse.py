@@ -82,12 +82,6 @@ def merge_frames(old: DataFrame, batch: DataFrame, keys, policy: str = "update")
     raise ValueError(f"unknown merge policy {policy!r}")
 
 
-def assert_unique(batch: DataFrame, keys) -> None:
-    dup = batch.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise DuplicateBatchKeys(f"batch repeats key {dup[0].asDict()}")
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
