@@ -97,3 +97,17 @@ def test_month_of_ntz_timestamp_is_a_date(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2026-03-18 23:30:00' AS ts")
     out = df.select(month_of(F.col("ts")).alias("m"))
     assert dict(out.dtypes)["m"] == "date" and out.first().m == dt.date(2026, 3, 1)   # T16
+
+
+def test_exact_median_hot_group_continuous_values(spark):
+    rnd = random.Random(7)
+    hot = [("hot", rnd.random() * 1000) for _ in range(30_000)] + [("hot", 500.0)] * 5_000
+    rows = hot + [("small", float(x)) for x in (1, 2)] + [("inf", float("inf")), ("inf", 1.0), ("inf", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in X.exact_median(df, ["g"], "v").collect()}
+    for g in got:
+        assert got[g] == statistics.median([v for k, v in rows if k == g])
+    whole = X.exact_median(df.select("v"), [], "v").collect()
+    assert len(whole) == 1 and whole[0].median == statistics.median([v for _, v in rows])
+    empty = X.exact_median(df.where("v < 0").select("v"), [], "v").collect()
+    assert len(empty) == 1 and empty[0].median is None
