@@ -150,3 +150,9 @@ def test_keyed_contracts(spark):
 def test_comma_rows_are_exactly_the_two_known_ones(spark, tmp):
     scan = strict_csv(spark, FX.write_live(os.path.join(tmp, "a.csv")), S.LIVE.columns)
     assert {r.period for r in C.comma_periods(scan.rows, S.LIVE).collect()} == {"109/1", "109/2"}
+
+
+def test_header_only_file_fails_with_reasons_not_a_crash(spark, tmp):
+    res = checks(spark, FX.write_frozen(os.path.join(tmp, "b.csv"), rows=[]), S.FROZEN)
+    assert {"row_count", "period_range"} <= set(failed(res))          # T12
+    assert res["row_count"]["n_total"] == 0 and res["period_range"]["detail"] == "NULL~NULL"

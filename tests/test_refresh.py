@@ -76,3 +76,9 @@ def test_anchor_self_check(spark, tmp):
     bad.anchors = {"2019-01": {**good["2019-01"], "telco": telco + 1}}
     out = refresh(spark, live, bad)
     assert out["status"] == "failed" and out["step"] == "metrics" and len(out["detail"]) == 1
+
+
+def test_missing_staged_file_fails_at_contracts(spark, tmp):
+    frozen = FX.write_frozen(os.path.join(tmp, "src", "b.csv"))
+    out = refresh(spark, os.path.join(tmp, "in", "nope.csv"), cfg(tmp, frozen))
+    assert out["status"] == "failed" and out["step"] == "contracts"
