@@ -24,6 +24,7 @@ from ..functions.periods import span_months, ym_text
 from ..sources.csv_strict import StrictScan
 from ..spec import TOLERANCE, SourceSpec
 from .normalize import period_columns
+from ..sources.literal import literal_table
 
 CHECK_SCHEMA = "source string, check string, passed boolean, n_total bigint, n_bad bigint, detail string"
 
@@ -139,7 +140,7 @@ def file_checks(spark: SparkSession, scan: StrictScan, spec: SourceSpec) -> tupl
     rows = []
     if not scan.exists:
         rows.append((spec.tag, "file_exists", False, 1, 1, f"missing {scan.path}"))
-        return spark.createDataFrame(rows, CHECK_SCHEMA), False
+        return literal_table(spark, rows, CHECK_SCHEMA), False
     rows.append((spec.tag, "file_exists", True, 1, 0, scan.path))
     want, got = list(spec.columns), list(scan.header)
     ok = want == got
@@ -147,7 +148,7 @@ def file_checks(spark: SparkSession, scan: StrictScan, spec: SourceSpec) -> tupl
     extra = [c for c in got if c not in want]
     detail = "matches" if ok else f"missing={missing} extra={extra} order_differs={not missing and not extra}"
     rows.append((spec.tag, "column_list", ok, len(want), 0 if ok else max(1, len(missing) + len(extra)), detail))
-    return spark.createDataFrame(rows, CHECK_SCHEMA), ok
+    return literal_table(spark, rows, CHECK_SCHEMA), ok
 
 
 def validate_file(spark: SparkSession, scan: StrictScan, spec: SourceSpec,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import parse_ym, years_between
 from .joins import bounded_broadcast
+from ..sources.literal import literal_table
 
 
 def _share(spec) -> str:
@@ -83,7 +84,7 @@ def annotations(spark: SparkSession, events, breaks) -> DataFrame:
     """Events (date, label, source) and breaks (date, label) as one small table."""
     rows = [(d, label, src, "event") for d, label, src in events]
     rows += [(d, label, None, "break") for d, label in breaks]
-    return spark.createDataFrame(rows, "date date, label string, source string, kind string")
+    return literal_table(spark, rows, "date date, label string, source string, kind string")
 
 
 def annotated_series(metrics: DataFrame, notes: DataFrame, spec, n_notes: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import ym_text
 from ..spec import MA_WINDOW, PanelSpec
 from .joins import bounded_broadcast
+from ..sources.literal import literal_table
 
 
 def group_dim(spark: SparkSession, spec: PanelSpec) -> DataFrame:
@@ -24,7 +25,7 @@ def group_dim(spark: SparkSession, spec: PanelSpec) -> DataFrame:
     broadcasting it is bounded by construction.
     """
     rows = [(c, spec.names.get(c, c), g) for c, g in sorted(spec.groups.items())]
-    return spark.createDataFrame(rows, "tech_code string, tech_name string, camp string")
+    return literal_table(spark, rows, "tech_code string, tech_name string, camp string")
 
 
 def with_group(panel: DataFrame, spec: PanelSpec) -> DataFrame:

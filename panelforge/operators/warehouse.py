@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import ad_to_roc, ym_text
 from ..session import checkpoint_dir
 from ..spec import PanelSpec
+from ..sources.literal import literal_table
 
 FACT_KEY = ["year_month", "tech_code"]
 FACT_COLS = ["year_month", "tech_code", "accounts", "source"]
@@ -44,7 +45,7 @@ class DuplicateBatchKeys(ValueError):
 
 def dim_technology(spark: SparkSession, spec: PanelSpec) -> DataFrame:
     rows = [(c, spec.names.get(c, c), g) for c, g in sorted(spec.groups.items())]
-    return spark.createDataFrame(rows, "tech_code string, tech_name string, camp string")
+    return literal_table(spark, rows, "tech_code string, tech_name string, camp string")
 
 
 def dim_period(records: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .literal import literal_table
+
 SCHEMA = "run_id string, step string, status string, ts timestamp, detail string"
 
 
@@ -41,7 +43,7 @@ def append(spark: SparkSession, path: str, run_id: str, step: str, status: str,
 def read(spark: SparkSession, path: str) -> DataFrame:
     p, fs = _fs(spark, path)
     if not fs.exists(p):
-        return spark.createDataFrame([], SCHEMA)
+        return literal_table(spark, [], SCHEMA)
     df = spark.read.schema(SCHEMA).json(path)
     w = Window.partitionBy("run_id", "step").orderBy(F.col("ts").desc())
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
