@@ -60,3 +60,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 128 << 20) -> dict:
+    """Suggested session settings for a run reading ``input_bytes`` on ``cores``.
+
+    * Initial shuffle partitions: enough for ~``partition_bytes`` per
+      partition if a stage shuffled its whole input, and at least 3 waves of
+      tasks; AQE coalesces the small ones afterwards, so over-sizing is cheap.
+    * File splits of 256 MB keep scan tasks long enough to amortise overhead.
+    * AQE skew join splits a partition that is 5× the median and over 256 MB,
+      so a key holding a third of the rows is spread over many tasks.
+    Apply with ``for k, v in scale_conf(...).items(): spark.conf.set(k, v)``.
+    """
+    shuffle = max(3 * cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }

@@ -111,3 +111,11 @@ def test_exact_median_hot_group_continuous_values(spark):
     assert len(whole) == 1 and whole[0].median == statistics.median([v for _, v in rows])
     empty = X.exact_median(df.where("v < 0").select("v"), [], "v").collect()
     assert len(empty) == 1 and empty[0].median is None
+
+
+def test_scale_conf_sizes_partitions():
+    from panelforge.session import scale_conf
+    big = scale_conf(100 * (1 << 40), 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 819200        # 100 TB / 128 MB
+    small = scale_conf(10 << 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24          # 3 waves of 8 cores
