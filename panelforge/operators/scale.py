@@ -108,9 +108,9 @@ def exact_median(df: DataFrame, groups, value: str, out: str = "median",
     ``percentile_approx`` bracket ``[lo, hi]`` around the middle ranks; the
     sketch's rank error is at most ``n / accuracy``, and the bracket is five
     times that wide on each side. Pass 2: per group, the count of values below
-    ``lo`` and a histogram ``(value, count)`` of the values inside the bracket
-    — at most about ``10 n / accuracy`` distinct values, and a hot repeated
-    value is one row. The two middle ranks ``floor((n+1)/2)`` and
+    ``lo`` (one flagged row) and a histogram ``(value, count)`` of the values
+    inside the bracket, in one aggregate — at most about ``10 n / accuracy``
+    distinct values, and a hot repeated value is one row. The two middle ranks ``floor((n+1)/2)`` and
     ``floor(n/2)+1`` are read off that small histogram, offset by the count
     below. Exact, including ties and infinities; NULLs are ignored. With no
     groups the result is one row (NULL for empty input).
@@ -127,13 +127,15 @@ def exact_median(df: DataFrame, groups, value: str, out: str = "median",
     # one row per group; with no groups it is exactly one row, so broadcast it
     bracket = pass1 if groups else bounded_broadcast(pass1, 1)
     j = v.join(bracket, keys, "inner")
-    below = j.groupBy(*keys).agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"),
-                                 F.first("__n").alias("__n"))
-    inside = (j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-              .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    h = inside.join(below, keys, "inner")
-    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("__cum", F.col("__below") + F.sum("__c").over(w))
+    # one histogram: a single flagged row carries the count below the bracket
+    # and sorts first; values above the bracket are dropped
+    is_below = F.col("__v") < F.col("__lo")
+    h = (j.where(F.col("__v") <= F.col("__hi"))
+         .groupBy(*keys, is_below.alias("__b"), F.when(~is_below, F.col("__v")).alias("__x"))
+         .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n")))
+    w = Window.partitionBy(*keys).orderBy(F.col("__b").desc(), F.col("__x").asc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    h = h.withColumn("__cum", F.sum("__c").over(w)).withColumn("__v", F.col("__x"))
     k1 = F.floor((F.col("__n") + 1) / 2)
     k2 = F.floor(F.col("__n") / 2) + 1
     g = h.groupBy(*keys).agg(
