@@ -586,7 +586,7 @@ def _scale_inputs(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderpriority")
     periods = o.select(month_of(F.col("o_orderdate")).alias("year_month")).distinct()
     codes = o.select(F.col("o_orderpriority").alias("tech_code")).distinct()
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SIZES:
         n_supp = read_table(spark, sf_dir, "supplier", "s_suppkey").count()
         sizes = o.agg(F.count_distinct(month_of(F.col("o_orderdate"))).alias("m"),

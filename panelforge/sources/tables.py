@@ -26,11 +26,11 @@ _SCANS: dict = {}
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Scan of a read-only driver table; the relation (file listing, footers,
     schema) is resolved once per session and path, then only projected."""
-    key = (id(spark), table_path(sf_dir, name))
-    df = _SCANS.get(key)
-    if df is None:
-        df = spark.read.parquet(key[1])
-        _SCANS[key] = df
+    path = table_path(sf_dir, name)
+    df = _SCANS.get(path)
+    if df is None or df.sparkSession is not spark:   # rebuilt for a new session
+        df = spark.read.parquet(path)
+        _SCANS[path] = df
     return df.select(*cols) if cols else df
 
 
