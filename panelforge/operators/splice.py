@@ -49,9 +49,10 @@ def overlap_detail(a: DataFrame, b: DataFrame, comparable, dims=()) -> DataFrame
                 .groupBy(*keys).agg(F.max("accounts").alias(v), F.count(F.lit(1)).alias(n)))
 
     j = expected.join(side(a, "v_a", "n_a"), keys, "left").join(side(b, "v_b", "n_b"), keys, "left")
-    status = (F.when(F.col("n_a").isNull() & F.col("n_b").isNull(), "missing_both")
-              .when(F.col("n_a").isNull(), "missing_a")
-              .when(F.col("n_b").isNull(), "missing_b")
+    # a key whose only values are NULL (unparsed) counts as missing on that side
+    status = (F.when(F.col("v_a").isNull() & F.col("v_b").isNull(), "missing_both")
+              .when(F.col("v_a").isNull(), "missing_a")
+              .when(F.col("v_b").isNull(), "missing_b")
               .otherwise("both"))
     return j.select(
         *keys, "v_a", "v_b",

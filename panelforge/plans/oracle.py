@@ -349,11 +349,11 @@ sb AS (SELECT ym, tech_code, MAX(accounts) AS v_b, COUNT(*) AS n_b FROM lb
        WHERE tech_code IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ym, tech_code),
 d AS (
   SELECT ex.ym, ex.tech_code, v_a, v_b, v_a - v_b AS delta,
-         CASE WHEN n_a IS NOT NULL AND n_b IS NOT NULL THEN
+         CASE WHEN v_a IS NOT NULL AND v_b IS NOT NULL THEN
            CASE WHEN v_a <> 0 THEN abs(CAST(v_a AS DOUBLE) - v_b) / v_a * 100
                 WHEN v_a = v_b THEN 0.0 ELSE CAST('inf' AS DOUBLE) END END AS pct,
-         CASE WHEN n_a IS NULL AND n_b IS NULL THEN 'missing_both' WHEN n_a IS NULL THEN 'missing_a'
-              WHEN n_b IS NULL THEN 'missing_b' ELSE 'both' END AS status,
+         CASE WHEN v_a IS NULL AND v_b IS NULL THEN 'missing_both' WHEN v_a IS NULL THEN 'missing_a'
+              WHEN v_b IS NULL THEN 'missing_b' ELSE 'both' END AS status,
          CAST(coalesce(n_a, 0) AS BIGINT) AS n_a, CAST(coalesce(n_b, 0) AS BIGINT) AS n_b
   FROM ex LEFT JOIN sa USING (ym, tech_code) LEFT JOIN sb USING (ym, tech_code))"""
 

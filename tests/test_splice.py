@@ -90,3 +90,13 @@ def test_count_based_verdict_equals_exact_median(spark, vals):
     med = statistics.median(vals)
     assert v.median_pct == med                                      # T6: exact, interpolated
     assert (v.verdict == "abandon") == (med > 5.0)
+
+
+def test_unparsed_value_counts_as_missing(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "ym date, tech_code string, accounts long, source string")
+    d0 = dt.date(2019, 1, 1)
+    a = mk([(d0, "ADSL", None, "a"), (d0, "FTTX", 5, "a"), (d0, "CABLE_MODEM", 10, "a")])
+    b = mk([(d0, "ADSL", 7, "b"), (d0, "FTTX", 5, "b"), (d0, "CABLE_MODEM", 10, "b")])
+    got = {r.tech_code: (r.status, r.pct) for r in K.overlap_detail(a, b, S.COMPARABLE).collect()}
+    assert got["ADSL"] == ("missing_a", None)
+    assert K.splice_verdict(K.overlap_detail(a, b, S.COMPARABLE), 5.0).first().verdict == "invalid"
