@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import ad_to_roc, ym_text
 from ..session import checkpoint_dir
+from ..sources.fs import exists
 from ..spec import PanelSpec
 from ..sources.literal import literal_table
 
@@ -83,13 +84,6 @@ def merge_frames(old: DataFrame, batch: DataFrame, keys, policy: str = "update")
     raise ValueError(f"unknown merge policy {policy!r}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def staging_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"staging-{name}-{uuid.uuid4().hex}")
 
@@ -116,7 +110,7 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, keys, partition_by:
     touched = batch_partitions(batch, keys, partition_by, check_unique)
     if not touched:
         return []
-    if not _exists(spark, path):
+    if not exists(spark, path):
         batch.write.mode("overwrite").partitionBy(partition_by).parquet(path)
         return touched
     old = spark.read.parquet(path).filter(F.col(partition_by).isin(touched))

@@ -14,13 +14,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.fs import exists
+
 STAR = ("fact_subscriptions_monthly", "dim_technology", "dim_period")
 
 
 def register_star(spark: SparkSession, warehouse: str, extra=("bench_subscriptions",)) -> None:
     for name in (*STAR, *extra):
         p = os.path.join(warehouse, name)
-        if "://" in p or os.path.exists(p):
+        if exists(spark, p):
             spark.read.parquet(p).createOrReplaceTempView(name)
 
 

@@ -16,23 +16,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fs import exists, hadoop_path
 from .literal import literal_table
 
 SCHEMA = "run_id string, step string, status string, ts timestamp, detail string"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def append(spark: SparkSession, path: str, run_id: str, step: str, status: str, detail: str = "") -> None:
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     line = json.dumps({"run_id": run_id, "step": step, "status": status,
                        "ts": now.isoformat(timespec="microseconds"), "detail": detail}, ensure_ascii=False)
     name = f"{now:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}.json"
-    p, fs = _fs(spark, f"{path.rstrip('/')}/{name}")
+    p, fs = hadoop_path(spark, f"{path.rstrip('/')}/{name}")
     out = fs.create(p, False)
     try:
         out.write(bytearray((line + "\n").encode("utf-8")))
@@ -41,8 +36,7 @@ def append(spark: SparkSession, path: str, run_id: str, step: str, status: str,
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    p, fs = _fs(spark, path)
-    if not fs.exists(p):
+    if not exists(spark, path):
         return literal_table(spark, [], SCHEMA)
     df = spark.read.schema(SCHEMA).json(path)
     w = Window.partitionBy("run_id", "step").orderBy(F.col("ts").desc())

@@ -10,6 +10,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fs import exists
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -38,5 +40,5 @@ def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> Non
     """Expose the driver tables as temp views (for SQL users)."""
     for n in names:
         p = table_path(sf_dir, n)
-        if os.path.exists(p):
+        if exists(spark, p):
             spark.read.parquet(p).createOrReplaceTempView(n)

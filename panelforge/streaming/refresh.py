@@ -38,6 +38,7 @@ from ..operators import warehouse as W
 from ..operators.normalize import records
 from ..session import checkpoint_dir
 from ..sources import ledger
+from ..sources.fs import exists
 from ..sources.csv_strict import CORRUPT, StrictScan, read_header, strict_csv, text_schema, with_scan_columns
 from ..spec import PanelSpec, SourceSpec
 
@@ -60,8 +61,7 @@ class RefreshConfig:
 
 
 def committed_latest(spark: SparkSession, warehouse: str):
-    path = os.path.join(warehouse, "fact_subscriptions_monthly")
-    if not os.path.exists(path) and "://" not in path:
+    if not exists(spark, os.path.join(warehouse, "fact_subscriptions_monthly")):
         return None
     return W.read_fact(spark, warehouse).agg(F.max("year_month")).first()[0]
 
