@@ -1,7 +1,7 @@
 """Group levels, share, net change, trailing average, cumulative net.
 
 Input is a long panel ``(ym DATE, tech_code, accounts, *dims)``. Output has one
-row per ``(ym, *dims)``. The reference's windows are global; here every window
+row per ``(ym, *dims)``. The original windows are global; here every window
 is ``partitionBy(*dims)``, so with extra dimensions the work spreads over
 partitions, and with ``dims=[]`` the input to the window is already at month
 grain (a few hundred rows) after a partial + final aggregate.
