@@ -151,8 +151,8 @@ def snapshot(fact: DataFrame, ordered: bool = True) -> DataFrame:
 
     ``ordered=False`` is for facts with extra dimensions, where one month is no
     longer bounded by the code list: the fingerprint is then the unordered
-    hash sum (partial aggregation only) and the code count a plain
-    ``count(distinct)``.
+    ``xxhash64`` sum (partial aggregation only, no per-row strings) and the
+    code count a plain ``count(distinct)``.
     """
     from ..functions.rowcode import row_text
     if not ordered:
@@ -163,7 +163,7 @@ def snapshot(fact: DataFrame, ordered: bool = True) -> DataFrame:
             F.coalesce(F.sum("accounts"), F.lit(0)).cast("bigint").alias("sum_accounts"),
             ym_text(F.min("year_month")).alias("min_ym"), ym_text(F.max("year_month")).alias("max_ym"),
             F.count_distinct("tech_code").alias("n_tech"))
-        fp = unordered_fingerprint(fact, FACT_COLS).select(F.col("hash_sum").alias("md5"))
+        fp = unordered_fingerprint(fact, FACT_COLS, "xxhash64").select(F.col("hash_sum").alias("md5"))
         return one_row(stats, fp)
     from .splice import one_row
     enc = fact.select("year_month", "tech_code", "accounts",

@@ -94,3 +94,15 @@ def test_unordered_snapshot_detects_changes(spark, spliced):
     eq = states_equal(a, b).first()
     assert eq.same_n_rows and eq.same_n_tech and not eq.same_md5 and not eq.identical
     assert W.snapshot(f, ordered=False).first().n_rows == 1160
+
+
+def test_xxhash_fingerprint(spark):
+    a = spark.createDataFrame([(1, "x", 10), (2, "y", 20)], "m long, c string, v long")
+    b = spark.createDataFrame([(1, "x", 20), (2, "y", 10)], "m long, c string, v long")
+    fa = FP.unordered_fingerprint(a, ["m", "c", "v"], "xxhash64").first().hash_sum
+    assert fa != FP.unordered_fingerprint(b, ["m", "c", "v"], "xxhash64").first().hash_sum
+    assert fa == FP.unordered_fingerprint(a.repartition(5), ["m", "c", "v"], "xxhash64").first().hash_sum
+    n1 = spark.createDataFrame([("a", None, "b")], "x string, y string, z string")
+    n2 = spark.createDataFrame([("a", "b", None)], "x string, y string, z string")
+    assert FP.unordered_fingerprint(n1, ["x", "y", "z"], "xxhash64").first().hash_sum != \
+        FP.unordered_fingerprint(n2, ["x", "y", "z"], "xxhash64").first().hash_sum
