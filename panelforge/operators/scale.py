@@ -100,49 +100,67 @@ def rollup(df: DataFrame, group: str, value: str, total: str = "total", avg: str
 MEDIAN_ACCURACY = 10_000
 
 
-def exact_median(df: DataFrame, groups, value: str, out: str = "median",
-                 accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
-    """Exact interpolated median per group, without one task per group.
+def median_bracket(value: Column, accuracy: int = MEDIAN_ACCURACY) -> Column:
+    """Pass-1 sketch of :func:`exact_median`: ``[lo, hi]`` around the middle ranks.
 
-    Pass 1 (partial aggregates only): per group the count ``n`` and a
-    ``percentile_approx`` bracket ``[lo, hi]`` around the middle ranks; the
-    sketch's rank error is at most ``n / accuracy``, and the bracket is five
-    times that wide on each side. Pass 2: per group, the count of values below
-    ``lo`` (one flagged row) and a histogram ``(value, count)`` of the values
-    inside the bracket, in one aggregate — at most about ``10 n / accuracy``
-    distinct values, and a hot repeated value is one row. The two middle ranks ``floor((n+1)/2)`` and
-    ``floor(n/2)+1`` are read off that small histogram, offset by the count
-    below. Exact, including ties and infinities; NULLs are ignored. With no
-    groups the result is one row (NULL for empty input).
+    ``percentile_approx`` has rank error at most ``n / accuracy``; the bracket
+    is five times that wide on each side. Usable inside any aggregate.
     """
-    keys = list(groups) or ["__g"]
-    v = df.where(F.col(value).isNotNull())
-    v = (v.select(*keys, F.col(value).cast("double").alias("__v")) if groups
-         else v.select(F.lit(0).alias("__g"), F.col(value).cast("double").alias("__v")))
     margin = 5.0 / accuracy
     qs = F.array(F.lit(max(0.0, 0.5 - margin)), F.lit(min(1.0, 0.5 + margin)))
-    pass1 = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                 F.percentile_approx("__v", qs, accuracy).alias("__q"))
-    pass1 = pass1.select(*keys, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
-    # one row per group; with no groups it is exactly one row, so broadcast it
-    bracket = pass1 if groups else bounded_broadcast(pass1, 1)
-    j = v.join(bracket, keys, "inner")
-    # one histogram: a single flagged row carries the count below the bracket
-    # and sorts first; values above the bracket are dropped
+    return F.percentile_approx(value.cast("double"), qs, accuracy)
+
+
+def median_in_bracket(values: DataFrame, bracket: DataFrame, keys, out: str = "median") -> DataFrame:
+    """Pass 2 of :func:`exact_median`.
+
+    ``values`` has ``keys`` + ``__v``; ``bracket`` has ``keys`` + ``__n`` (the
+    count of non-NULL values), ``__lo``, ``__hi``. One histogram aggregate: a
+    single flagged row carries the count below the bracket and sorts first;
+    values above the bracket are dropped; the two middle ranks are read off.
+    """
+    keys = list(keys)
+    j = values.join(bracket, keys, "inner")
     is_below = F.col("__v") < F.col("__lo")
     h = (j.where(F.col("__v") <= F.col("__hi"))
          .groupBy(*keys, is_below.alias("__b"), F.when(~is_below, F.col("__v")).alias("__x"))
          .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n")))
     w = Window.partitionBy(*keys).orderBy(F.col("__b").desc(), F.col("__x").asc()).rowsBetween(
         Window.unboundedPreceding, 0)
-    h = h.withColumn("__cum", F.sum("__c").over(w)).withColumn("__v", F.col("__x"))
+    h = h.withColumn("__cum", F.sum("__c").over(w))
     k1 = F.floor((F.col("__n") + 1) / 2)
     k2 = F.floor(F.col("__n") / 2) + 1
     g = h.groupBy(*keys).agg(
-        F.min(F.when(F.col("__cum") >= k1, F.col("__v"))).alias("__x1"),
-        F.min(F.when(F.col("__cum") >= k2, F.col("__v"))).alias("__x2"),
+        F.min(F.when(F.col("__cum") >= k1, F.col("__x"))).alias("__x1"),
+        F.min(F.when(F.col("__cum") >= k2, F.col("__x"))).alias("__x2"),
     )
-    res = g.select(*keys, ((F.col("__x1") + F.col("__x2")) / 2).alias(out))
+    return g.select(*keys, ((F.col("__x1") + F.col("__x2")) / 2).alias(out))
+
+
+def exact_median(df: DataFrame, groups, value: str, out: str = "median",
+                 accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
+    """Exact interpolated median per group, without one task per group.
+
+    Pass 1 (partial aggregates only): per group the count ``n`` and a
+    ``percentile_approx`` bracket ``[lo, hi]`` around the middle ranks
+    (:func:`median_bracket`). Pass 2 (:func:`median_in_bracket`): the count of
+    values below ``lo`` (one flagged row) and a histogram ``(value, count)`` of
+    the values inside the bracket, in one aggregate — at most about
+    ``10 n / accuracy`` distinct values, and a hot repeated value is one row.
+    The two middle ranks ``floor((n+1)/2)`` and ``floor(n/2)+1`` are read off
+    that small histogram. Exact, including ties and infinities; NULLs are
+    ignored. With no groups the result is one row (NULL for empty input).
+    """
+    keys = list(groups) or ["__g"]
+    v = df.where(F.col(value).isNotNull())
+    v = (v.select(*keys, F.col(value).cast("double").alias("__v")) if groups
+         else v.select(F.lit(0).alias("__g"), F.col(value).cast("double").alias("__v")))
+    pass1 = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                                 median_bracket(F.col("__v"), accuracy).alias("__q"))
+    pass1 = pass1.select(*keys, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
+    # one row per group; with no groups it is exactly one row, so broadcast it
+    bracket = pass1 if groups else bounded_broadcast(pass1, 1)
+    res = median_in_bracket(v, bracket, keys, out)
     if groups:
         return res
     # global: fold to exactly one row (NULL when there was no value at all)

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import pct_diff
-from .scale import exact_median
+from .joins import bounded_broadcast
+from .scale import exact_median, median_bracket, median_in_bracket
 
 KEY = ["ym", "tech_code"]
 
@@ -113,6 +114,7 @@ def splice_verdict(detail: DataFrame, threshold_pct: float) -> DataFrame:
         F.min(F.when(pct > thr, pct)).alias("hi_mid"),
         F.max(pct).alias("max_pct"),
         F.count_if(both & (F.col("delta") == 0)).alias("n_exact"),
+        median_bracket(pct).alias("__q"),      # exact median, pass 1, in the same aggregate
     )
     n, k = F.col("n_pairs"), F.col("n_above")
     # exact "median > threshold" from counts (see module doc)
@@ -129,7 +131,11 @@ def splice_verdict(detail: DataFrame, threshold_pct: float) -> DataFrame:
               .when(n == 0, "no_overlap")
               .when(above, "median_above_threshold")
               .otherwise("median_within_threshold"))
-    a = one_row(a, exact_median(detail.filter(both), [], "pct", "median_pct"))
+    bracket = bounded_broadcast(a.select(F.lit(0).alias("__g"), F.col("n_pairs").alias("__n"),
+                                         F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi")), 1)
+    values = detail.where(both).select(F.lit(0).alias("__g"), F.col("pct").cast("double").alias("__v"))
+    med = median_in_bracket(values, bracket, ["__g"], "median_pct").select("median_pct")
+    a = one_row(a.drop("__q"), med)
     return a.select(
         "n_pairs", "n_missing", "n_dup_keys", "median_pct", "max_pct", "n_exact",
         verdict.alias("verdict"), reason.alias("reason"),
