@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: A private-use character between words that are encoded together; its ids mark the borders.
 BORDER = "\ue000"
 BORDER_BYTES = BORDER.encode()
+#: A run of these after a letter is a token of its own to the splitter.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Bytes of text that are split into words at once.
 PIECE = 1 << 20
@@ -26,6 +30,13 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     """``words`` bounds the cache: two generations of that many words each."""
 
@@ -56,25 +67,51 @@ class WordTokenizer:
         flat = ids.astype("<u4").tobytes()
         return [flat[4 * a: 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
+    def _known(self, word: bytes) -> bytes | None:
+        if (x := self.new.get(word)) is None and (x := self.old.get(word)) is not None:
+            self.new[word] = x
+        return x
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all of ``words``; the cache keeps the short ones."""
-        known, missing = {}, []
+        """Ids of all of ``words``; the cache keeps the short ones.
+
+        A new word is taken apart where the splitter would: punctuation after a last letter. Letters of ASCII are
+        lower-cased, as the vocabulary does, so that one entry serves every form.
+        """
+        known, parts, missing = {}, {}, set()
+        new, old = self.new.get, self.old.get
         for w in words:
-            if (x := self.new.get(w)) is None and (x := self.old.get(w)) is not None:
-                self.new[w] = x
-            if x is None:
-                missing.append(w)
-            else:
+            if (x := new(w)) is not None:
                 known[w] = x
-        odd = [w for w in missing if BORDER_BYTES in w or len(w) > 4096]
-        usual = [w for w in missing if not (BORDER_BYTES in w or len(w) > 4096)]
-        for w in odd:
-            known[w] = np.array(self._plain(w.decode()), dtype="<u4").tobytes()
+                continue
+            if (x := old(w)) is not None:
+                known[w] = self.new[w] = x
+                continue
+            core = w.rstrip(TAIL)
+            if core[-1:].isalpha() and b"<|" not in w:
+                tail = w[len(core):]
+                core = core.lower() if core.isascii() else core
+                parts[w] = (core, tail) if tail else (core,)
+            else:
+                parts[w] = (w,)
+            missing.update(parts[w])
+        pieces = {w: x for w in missing if (x := self._known(w)) is not None}
+        missing = [w for w in missing if w not in pieces]
+        usual, model = [], self.model.model
+        for w in missing:
+            if len(w) <= 4096 and w.isascii() and w.isalpha():  # one token of the splitter, lower case already
+                pieces[w] = little([x.id for x in model.tokenize(w.decode())])
+            elif BORDER_BYTES in w or len(w) > 4096:
+                pieces[w] = np.array(self._plain(w.decode()), dtype="<u4").tobytes()
+            else:
+                usual.append(w)
         for i in range(0, len(usual), 2000):
-            known.update(zip(part := usual[i: i + 2000], self._encode_words(part), strict=True))
-        for w in usual:
+            pieces.update(zip(part := usual[i: i + 2000], self._encode_words(part), strict=True))
+        for w in missing:
             if len(w) <= self.longest:
-                self.new[w] = known[w]
+                self.new[w] = pieces[w]
+        for w, made in parts.items():
+            known[w] = b"".join([pieces[x] for x in made])
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
         return known
