@@ -150,17 +150,16 @@ def identify(df: DataFrame, text: Column, declared: Column, address: Column | No
     base = df.select(*evidence)
     base = base.withColumn("domain", F.coalesce("domain", "host"))
     langs, model = fit(base, sample)
-    size = len(langs)
     keyed = base.select("*", *row_key("text", "declared", "address", "host", "domain"))
-    scored = written(text_scores(keyed, langs, model, "_k1", "_k2", "declared", "address", "host", "domain"), "language-scores")
-    posts = _posteriors(scored, langs, least_posterior, ["declared"] + ["address"] * (address is not None)).select("_k1", "_k2", "lang", "posterior", "text_lang", "kept")
-    posts = written(posts.groupBy("_k1", "_k2").agg(*[F.first(c).alias(c) for c in ("lang", "posterior", "text_lang", "kept")]),
-                    "language-decisions") if size else None
     rows = df.select(F.struct("*").alias("row"), *evidence)
     rows = rows.withColumn("domain", F.coalesce("domain", "host"))
     rows = rows.select("row", *row_key("text", "declared", "address", "host", "domain"))
-    if posts is None:
+    if not langs:
         return rows.select("row", none.alias("lang"), F.lit(0.0).alias("posterior"), none.alias("text_lang"), F.lit(False).alias("kept"))
+    scored = written(text_scores(keyed, langs, model, "_k1", "_k2", "declared", "address", "host", "domain"), "language-scores")
+    posts = _posteriors(scored, langs, least_posterior, ["declared"] + ["address"] * (address is not None))
+    posts = posts.groupBy("_k1", "_k2").agg(*[F.first(c).alias(c) for c in ("lang", "posterior", "text_lang", "kept")])
+    posts = written(posts, "language-decisions")
     return rows.join(posts, ["_k1", "_k2"], "left").select("row", "lang", "posterior", "text_lang", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bind, row_key
 
@@ -52,7 +53,7 @@ def windows(docs: DataFrame, text: Column) -> DataFrame:
     return spread.select("_id", "_k1", "_k2", "w.pos", "w.h1", "w.h2")
 
 
-@F.pandas_udf("text string, n_removed long")
+@F.pandas_udf(T.StructType().add("text", "string").add("n_removed", "long"))  # no DDL: a session may not exist yet
 def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """The text without the lines that the windows at the given positions cover."""
     for texts, starts in parts:
