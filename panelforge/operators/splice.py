@@ -176,7 +176,3 @@ def provenance_violations(panel: DataFrame, cutover, primary_source: str, second
     """Predicate of a row on the wrong side of the cutover."""
     return (((F.col("ym") >= F.lit(cutover)) & (F.col("source") != primary_source))
             | ((F.col("ym") < F.lit(cutover)) & (F.col("source") != secondary_source)))
-
-
-def union_all(dfs) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)

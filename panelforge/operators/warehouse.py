@@ -7,9 +7,10 @@ loaded_at)`` is partitioned by ``year`` (or by month, see R7) and keyed by
 
 Merge protocol (``upsert``):
 1-2. In one job: reject a batch that repeats a key (the database would refuse
-   to touch a row twice in one statement) and collect the batch's partition
+   to touch a row twice in one statement) or has a null key, and collect the batch's partition
    values — bounded by the number of partitions it touches, never by rows.
-3. Read only those partitions of the target (partition pruning), merge with
+3. Read only those partitions of the target (partition pruning) and those
+   where the batch's keys lay before, merge with
    the batch by anti join + union (policy ``update``: batch wins and gets a
    fresh ``loaded_at``; policy ``ignore``: existing rows win). Rows absent
    from the batch stay: the merge never deletes.
@@ -25,14 +26,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import ad_to_roc, ym_text
 from ..session import checkpoint_dir
-from ..sources.fs import exists
+from ..sources.fs import delete, exists
 from ..spec import PanelSpec
 from ..sources.literal import literal_table
 
@@ -44,6 +44,14 @@ class DuplicateBatchKeys(ValueError):
     pass
 
 
+class NullBatchKeys(ValueError):
+    pass
+
+
+class BadRecords(ValueError):
+    pass
+
+
 def dim_technology(spark: SparkSession, spec: PanelSpec) -> DataFrame:
     rows = [(c, spec.names.get(c, c), g) for c, g in sorted(spec.groups.items())]
     return literal_table(spark, rows, "tech_code string, tech_name string, camp string")
@@ -89,52 +97,93 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 
 def batch_partitions(batch: DataFrame, keys, partition_by: str, check_unique: bool = True) -> list:
-    """One job: the partition values a batch touches, and (optionally) a check
-    that no key repeats — per key counts, folded per partition value."""
-    if not check_unique:
-        return [r[0] for r in batch.select(partition_by).distinct().collect()]
-    per_key = batch.groupBy(*keys, partition_by).agg(F.count(F.lit(1)).alias("__n"))
-    rows = per_key.groupBy(partition_by).agg(F.max("__n").alias("__max")).collect()
+    """One job: the partition values a batch touches. Null keys or partition values are refused, and (optionally)
+    keys that repeat — per key counts, folded per partition value."""
+    null = F.lit(False)
+    for c in (*keys, partition_by):
+        null = null | F.col(c).isNull()
+    rows = batch.withColumn("__null", null.cast("int"))
+    if check_unique:
+        rows = rows.groupBy(*keys, partition_by).agg(F.count(F.lit(1)).alias("__n"), F.max("__null").alias("__null"))
+        rows = rows.groupBy(partition_by).agg(F.max("__n").alias("__max"), F.max("__null").alias("__null")).collect()
+    else:
+        rows = rows.groupBy(partition_by).agg(F.lit(1).alias("__max"), F.max("__null").alias("__null")).collect()
+    if any(r["__null"] for r in rows):
+        raise NullBatchKeys(f"batch has null in {[*keys, partition_by]}")
     dup = [r[partition_by] for r in rows if r["__max"] > 1]
     if dup:
         raise DuplicateBatchKeys(f"batch repeats keys in partition(s) {dup[:5]}")
     return [r[partition_by] for r in rows]
 
 
+def _moved(old: DataFrame, batch: DataFrame, keys, partition_by: str) -> dict:
+    """Partitions (value: folder) that hold a key of the batch which the batch has under another value."""
+    here = old.select(*keys, F.col(partition_by).alias("__was"), F.input_file_name().alias("__file"))
+    both = here.join(batch.select(*keys, partition_by), list(keys)).where(F.col("__was") != F.col(partition_by))
+    folder = F.regexp_replace("__file", "/[^/]*$", "")
+    return {r[0]: r[1] for r in both.groupBy("__was").agg(F.min(folder)).collect()}
+
+
 def upsert(spark: SparkSession, path: str, batch: DataFrame, keys, partition_by: str,
-           policy: str = "update", check_unique: bool = True) -> list:
+           policy: str = "update", check_unique: bool = True, moves: bool = True) -> list:
     """Merge ``batch`` into the Parquet table at ``path``; returns touched partitions.
 
     ``check_unique=False`` only for batches unique by construction (a
-    ``distinct`` or a spec's literal list)."""
+    ``distinct`` or a spec's literal list); ``moves=False`` only where the
+    partition is a function of the key, else a key may come back under another
+    partition value and its old row is looked up over the whole table."""
     touched = batch_partitions(batch, keys, partition_by, check_unique)
     if not touched:
         return []
     if not exists(spark, path):
-        batch.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        batch.repartition(partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
         return touched
-    old = spark.read.parquet(path).filter(F.col(partition_by).isin(touched))
-    merged = merge_frames(old.select(*batch.columns), batch, keys, policy)
+    # The batch's own types: Spark would infer a partition '01' as 1.
+    old = spark.read.schema(batch.schema).parquet(path)
+    gone = _moved(old, batch, keys, partition_by) if moves else {}
+    all_parts = [*touched, *(v for v in gone if v not in touched)]
+    near = old.filter(F.col(partition_by).isin(all_parts))
+    merged = merge_frames(near.select(*batch.columns), batch, keys, policy)
     stage = staging_path(spark, os.path.basename(path.rstrip("/")))
-    merged.write.mode("overwrite").partitionBy(partition_by).parquet(stage)
-    (spark.read.parquet(stage).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
-    return touched
+    try:
+        merged.write.mode("overwrite").partitionBy(partition_by).parquet(stage)
+        staged = spark.read.schema(batch.schema).parquet(stage)
+        (staged.repartition(partition_by).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+        if gone:
+            left = {r[0] for r in staged.where(F.col(partition_by).isin([*gone])).select(partition_by).distinct().collect()}
+            for value, folder in gone.items():
+                if value not in left:  # every row of it moved away; an overwrite leaves such a folder as it was
+                    delete(spark, folder)
+    finally:
+        delete(spark, stage)
+    return all_parts
+
+
+def check_fact(records: DataFrame, spec: PanelSpec) -> None:
+    """C9-C12 on records about to be loaded: nothing null, negative, of an unknown code or with a key twice."""
+    rows = records.select("ym", "tech_code", F.col("accounts").cast("bigint").alias("accounts"), "source")
+    bad = F.col("ym").isNull() | F.col("tech_code").isNull() | F.col("accounts").isNull() | F.col("source").isNull() | (
+        F.col("accounts") < 0) | ~F.col("tech_code").isin(*spec.groups)
+    n = rows.agg(F.sum(F.coalesce(bad, F.lit(True)).cast("bigint")).alias("n")).first()["n"]
+    if n:
+        raise BadRecords(f"{n} records break NOT NULL, CHECK or a foreign key")
 
 
 def load_star(spark: SparkSession, warehouse: str, records: DataFrame, spec: PanelSpec,
               partition: str = "year") -> dict:
     """Write / merge the three star tables from validated records."""
+    check_fact(records, spec)
     # both dims are unique by construction (spec dict keys; distinct months)
     tech = dim_technology(spark, spec).withColumn("_p", F.lit(0))
-    upsert(spark, os.path.join(warehouse, "dim_technology"), tech, ["tech_code"], "_p", "update", False)
+    upsert(spark, os.path.join(warehouse, "dim_technology"), tech, ["tech_code"], "_p", "update", False, moves=False)
     per = dim_period(records).withColumn("_p", F.lit(0))
-    upsert(spark, os.path.join(warehouse, "dim_period"), per, ["year_month"], "_p", "ignore", False)
+    upsert(spark, os.path.join(warehouse, "dim_period"), per, ["year_month"], "_p", "ignore", False, moves=False)
     fact = fact_rows(records)
     part_col = F.year("year_month") if partition == "year" else ym_text(F.col("year_month"))
     fact = fact.withColumn(partition, part_col)
     touched = upsert(spark, os.path.join(warehouse, "fact_subscriptions_monthly"), fact, FACT_KEY,
-                     partition, "update")
+                     partition, "update", moves=False)
     return {"touched": sorted(touched)}
 
 
@@ -186,7 +235,10 @@ def snapshot(fact: DataFrame, ordered: bool = True) -> DataFrame:
 
 def bad_rows(fact: DataFrame) -> DataFrame:
     """Rows violating NOT NULL / CHECK on the fact."""
-    return fact.filter(F.col("loaded_at").isNull() | (F.col("accounts") < 0)).agg(
+    null = F.lit(False)
+    for c in (*FACT_COLS, "loaded_at"):
+        null = null | F.col(c).isNull()
+    return fact.filter(null | (F.col("accounts") < 0)).agg(
         F.count(F.lit(1)).alias("n_bad"))
 
 
@@ -200,7 +252,3 @@ def verify_idempotent(spark: SparkSession, warehouse: str, records: DataFrame, s
     second = snapshot(fact).first().asDict()
     nbad = bad_rows(fact).first()["n_bad"]
     return {"identical": first == second, "bad_rows": int(nbad), "first": first, "second": second}
-
-
-def union_all(dfs) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)

@@ -20,30 +20,38 @@ GROUPS = """g AS (
                         ('4-NOT SPECIFIED','4-NOT SPECIFIED','EXCLUDED'), ('5-LOW','5-LOW','EXCLUDED'))
          AS t(tech_code, tech_name, camp))"""
 
-LEVELS = """cm AS (
-  SELECT ym,
-         CAST(SUM(accounts) FILTER (WHERE camp = 'A') AS BIGINT) AS a,
-         CAST(SUM(accounts) FILTER (WHERE camp = 'B') AS BIGINT) AS b
-  FROM p JOIN g USING (tech_code)
-  WHERE camp IN ('A', 'B')
-  GROUP BY ym)"""
-
-METRICS_BODY = """base AS (
-  SELECT ym, a, b, a + b AS total,
-         ROW_NUMBER() OVER (ORDER BY ym) AS rn,
-         a - LAG(a) OVER (ORDER BY ym) AS a_net,
-         b - LAG(b) OVER (ORDER BY ym) AS b_net
-  FROM cm),
+def levels(*dims: str) -> str:
+    """Both groups' sums side by side: one row for each month that either of them has."""
+    on = " AND ".join(f"x.{d} = y.{d}" for d in (*dims, "ym"))
+    keys = ", ".join(f"COALESCE(x.{d}, y.{d}) AS {d}" for d in (*dims, "ym"))
+    cols = ", ".join(f"p.{d}" for d in (*dims, "ym"))
+    one = f"SELECT {cols}, SUM(p.accounts) AS v FROM p, g WHERE p.tech_code = g.tech_code AND g.camp = '%s' GROUP BY ALL"
+    return f"""cm AS (
+  SELECT {keys}, CAST(x.v AS BIGINT) AS a, CAST(y.v AS BIGINT) AS b
+  FROM ({one % 'A'}) x FULL JOIN ({one % 'B'}) y ON {on})"""
+
+
+def metrics_body(*dims: str) -> str:
+    """Everything from months numbered by how many come before: joins on that number instead of windows."""
+    same = "".join(f" AND e.{d} = c.{d}" for d in dims)
+    prior = "".join(f" AND q.{d} = n.{d}" for d in dims)
+    span = "".join(f" AND t.{d} = n.{d}" for d in dims)
+    step = "".join(f" AND s.{d} = t.{d}" for d in dims)
+    out = "".join(f"n.{d}, " for d in dims)
+    mean = "(SELECT CAST(ROUND(AVG(t.%s), 1) AS DOUBLE) FROM num t WHERE n.k > 10 AND t.k BETWEEN n.k - 11 AND n.k" + span + ")"
+    grown = ("(SELECT CAST(SUM(t.%s - s.%s) AS BIGINT) FROM num t JOIN num s ON s.k + 1 = t.k" + step
+             + " WHERE t.k <= n.k" + span + ")")
+    return f"""num AS (SELECT c.*, (SELECT COUNT(*) FROM cm e WHERE e.ym < c.ym{same}) AS k FROM cm c),
 m AS (
-  SELECT strftime(ym, '%Y-%m') AS ym, a, b, total,
-         CAST(ROUND(a * 100.0 / NULLIF(total, 0), 4) AS DOUBLE) AS a_share,
-         a_net, b_net,
-         CASE WHEN rn >= 12 THEN CAST(ROUND(AVG(a) OVER w12, 1) AS DOUBLE) END AS a_ma12,
-         CASE WHEN rn >= 12 THEN CAST(ROUND(AVG(b) OVER w12, 1) AS DOUBLE) END AS b_ma12,
-         CAST(SUM(a_net) OVER (ORDER BY ym) AS BIGINT) AS a_cum_net,
-         CAST(SUM(b_net) OVER (ORDER BY ym) AS BIGINT) AS b_cum_net
-  FROM base
-  WINDOW w12 AS (ORDER BY ym ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
+  SELECT {out}strftime(n.ym, '%Y-%m') AS ym, n.a, n.b, n.a + n.b AS total,
+         CAST(ROUND(n.a * 100.0 / NULLIF(n.a + n.b, 0), 4) AS DOUBLE) AS a_share,
+         n.a - q.a AS a_net, n.b - q.b AS b_net,
+         {mean % 'a'} AS a_ma12, {mean % 'b'} AS b_ma12,
+         {grown % ('a', 'a')} AS a_cum_net, {grown % ('b', 'b')} AS b_cum_net
+  FROM num n LEFT JOIN num q ON q.k + 1 = n.k{prior})"""
+
+
+LEVELS, METRICS_BODY = levels(), metrics_body()
 
 
 def with_(*ctes: str) -> str:
@@ -67,26 +75,7 @@ SELECT strftime(ym, '%Y-%m') AS ym, a, b, a + b AS total FROM cm"""
 
 ORACLE["panel_metrics"] = METRICS + "SELECT * FROM m ORDER BY ym"
 
-ORACLE["panel_metrics_by_region"] = with_(REGION_PANEL, GROUPS) + """,
-cm AS (
-  SELECT r_name, ym,
-         CAST(SUM(accounts) FILTER (WHERE camp = 'A') AS BIGINT) AS a,
-         CAST(SUM(accounts) FILTER (WHERE camp = 'B') AS BIGINT) AS b
-  FROM p JOIN g USING (tech_code) WHERE camp IN ('A', 'B') GROUP BY r_name, ym),
-base AS (
-  SELECT r_name, ym, a, b, a + b AS total,
-         ROW_NUMBER() OVER (PARTITION BY r_name ORDER BY ym) AS rn,
-         a - LAG(a) OVER (PARTITION BY r_name ORDER BY ym) AS a_net,
-         b - LAG(b) OVER (PARTITION BY r_name ORDER BY ym) AS b_net
-  FROM cm)
-SELECT r_name, strftime(ym, '%Y-%m') AS ym, a, b, total,
-       CAST(ROUND(a * 100.0 / NULLIF(total, 0), 4) AS DOUBLE) AS a_share, a_net, b_net,
-       CASE WHEN rn >= 12 THEN CAST(ROUND(AVG(a) OVER w12, 1) AS DOUBLE) END AS a_ma12,
-       CASE WHEN rn >= 12 THEN CAST(ROUND(AVG(b) OVER w12, 1) AS DOUBLE) END AS b_ma12,
-       CAST(SUM(a_net) OVER (PARTITION BY r_name ORDER BY ym) AS BIGINT) AS a_cum_net,
-       CAST(SUM(b_net) OVER (PARTITION BY r_name ORDER BY ym) AS BIGINT) AS b_cum_net
-FROM base
-WINDOW w12 AS (PARTITION BY r_name ORDER BY ym ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""
+ORACLE["panel_metrics_by_region"] = with_(REGION_PANEL, GROUPS, levels("r_name"), metrics_body("r_name")) + "SELECT * FROM m"
 
 
 # --- wide text sources, unpivot, parse, contracts ----------------------------

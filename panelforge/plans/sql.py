@@ -1,11 +1,8 @@
-"""Spark SQL over the star schema, for users who query with SQL.
+"""SQL access to the star schema: its tables and the operators' results as temp views.
 
 ``register_star`` exposes the three star tables (and, if present, the scale
-table) as temp views; the statements below are written against them with the
-same shapes as the original SQL, adjusted where Spark's semantics differ:
-share on DECIMAL(20,0) operands (T5), ``round`` before integer casts (T4), and
-the ordered fingerprint in two levels (per month, then over months).
-They plan to the same physical operators as the DataFrame versions.
+table). The functions run the DataFrame operators on them and register each
+result as a view, so that SQL users query the same numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +10,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import spec as S
+from ..functions.periods import ym_text
+from ..operators import metrics as M
+from ..operators import warehouse as W
 from ..sources.fs import exists
 
 STAR = ("fact_subscriptions_monthly", "dim_technology", "dim_period")
@@ -26,104 +28,38 @@ def register_star(spark: SparkSession, warehouse: str, extra=("bench_subscriptio
             spark.read.parquet(p).createOrReplaceTempView(name)
 
 
-METRICS = """
-WITH camp_monthly AS (
-  SELECT f.year_month,
-         SUM(f.accounts) FILTER (WHERE d.camp = '{p}') AS {pl},
-         SUM(f.accounts) FILTER (WHERE d.camp = '{s}') AS {sl}
-  FROM fact_subscriptions_monthly f
-  JOIN dim_technology d USING (tech_code)
-  WHERE d.camp IN ('{p}', '{s}')
-  GROUP BY f.year_month
-),
-base AS (
-  SELECT year_month, {pl}, {sl},
-         {pl} + {sl} AS total,
-         ROW_NUMBER() OVER (ORDER BY year_month) AS rn,
-         {pl} - LAG({pl}) OVER (ORDER BY year_month) AS {pl}_net,
-         {sl} - LAG({sl}) OVER (ORDER BY year_month) AS {sl}_net
-  FROM camp_monthly
-)
-SELECT date_format(year_month, 'yyyy-MM') AS ym,
-       {pl}, {sl}, total,
-       CAST(ROUND(CAST({pl} AS DECIMAL(20,0)) / CAST(NULLIF(total, 0) AS DECIMAL(20,0)) * 100, 4) AS DOUBLE)
-         AS {pl}_share,
-       {pl}_net, {sl}_net,
-       CAST(CASE WHEN rn >= 12 THEN ROUND(AVG(CAST({pl} AS DECIMAL(20,0))) OVER w12, 1) END AS DOUBLE) AS {pl}_ma12,
-       CAST(CASE WHEN rn >= 12 THEN ROUND(AVG(CAST({sl} AS DECIMAL(20,0))) OVER w12, 1) END AS DOUBLE) AS {sl}_ma12,
-       SUM({pl}_net) OVER (ORDER BY year_month) AS {pl}_cum_net,
-       SUM({sl}_net) OVER (ORDER BY year_month) AS {sl}_cum_net
-FROM base
-WINDOW w12 AS (ORDER BY year_month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)
-ORDER BY year_month
-"""
+def _view(df: DataFrame, name: str) -> DataFrame:
+    df.createOrReplaceTempView(name)
+    return df
 
-SNAPSHOT = """
-WITH per_month AS (
-  SELECT year_month, COUNT(*) AS n, SUM(accounts) AS s,
-         md5(listagg(concat(coalesce(CAST(year_month AS STRING), '\\\\N'), '|', coalesce(tech_code, '\\\\N'), '|',
-                            coalesce(CAST(accounts AS STRING), '\\\\N'), '|', coalesce(source, '\\\\N')), '\\n')
-             WITHIN GROUP (ORDER BY tech_code)) AS h
-  FROM fact_subscriptions_monthly GROUP BY year_month)
-SELECT CAST(coalesce(SUM(n), 0) AS BIGINT) AS n_rows,
-       CAST(coalesce(SUM(s), 0) AS BIGINT) AS sum_accounts,
-       date_format(MIN(year_month), 'yyyy-MM') AS min_ym,
-       date_format(MAX(year_month), 'yyyy-MM') AS max_ym,
-       (SELECT COUNT(DISTINCT tech_code) FROM fact_subscriptions_monthly) AS n_tech,
-       md5(listagg(h, '\\n') WITHIN GROUP (ORDER BY year_month)) AS md5
-FROM per_month
-"""
 
-REPORT_BY_CAMP = """
-SELECT d.camp, COUNT(*) AS rows, COUNT(DISTINCT f.tech_code) AS techs,
-       date_format(MIN(f.year_month), 'yyyy-MM') AS first_ym,
-       date_format(MAX(f.year_month), 'yyyy-MM') AS last_ym
-FROM fact_subscriptions_monthly f JOIN dim_technology d USING (tech_code)
-GROUP BY d.camp ORDER BY d.camp
-"""
+def _fact(spark: SparkSession) -> DataFrame:
+    return spark.table("fact_subscriptions_monthly")
 
-REPORT_BY_SOURCE = """
-SELECT source, COUNT(*) AS rows,
-       date_format(MIN(year_month), 'yyyy-MM') AS first_ym,
-       date_format(MAX(year_month), 'yyyy-MM') AS last_ym
-FROM fact_subscriptions_monthly GROUP BY source ORDER BY source
-"""
 
-BAD_ROWS = """
-SELECT COUNT(*) AS n_bad FROM fact_subscriptions_monthly WHERE loaded_at IS NULL OR accounts < 0
-"""
+def metrics(spark: SparkSession, spec=S.BROADBAND) -> DataFrame:
+    panel = _fact(spark).select(F.col("year_month").alias("ym"), "tech_code", "accounts")
+    return _view(M.panel_metrics(M.group_levels(panel, spec), spec).orderBy("ym"), "panel_metrics")
 
-REGION_ROLLUP = """
-SELECT region_code,
-       SUM(accounts) AS total,
-       CAST(ROUND(AVG(CAST(accounts AS DECIMAL(20,0)))) AS BIGINT) AS avg_accounts
-FROM bench_subscriptions
-WHERE tech_code = '{code}'
-  AND year_month BETWEEN DATE '{lo}' AND DATE '{hi}'
-GROUP BY region_code
-ORDER BY total DESC
-"""
 
-
-def metrics(spark: SparkSession, primary: str = "TELCO", secondary: str = "CABLE") -> DataFrame:
-    return spark.sql(METRICS.format(p=primary, s=secondary, pl=primary.lower(), sl=secondary.lower()))
+def snapshot(spark: SparkSession) -> DataFrame:
+    return _view(W.snapshot(_fact(spark)), "fact_snapshot")
 
 
-def snapshot(spark: SparkSession) -> DataFrame:
-    return spark.sql(SNAPSHOT)
+def _months() -> list:
+    return [ym_text(F.min("year_month")).alias("first_ym"), ym_text(F.max("year_month")).alias("last_ym")]
 
 
 def report_by_camp(spark: SparkSession) -> DataFrame:
-    return spark.sql(REPORT_BY_CAMP)
+    camps = _fact(spark).join(spark.table("dim_technology"), "tech_code").groupBy("camp").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("tech_code").alias("techs"), *_months())
+    return _view(camps.orderBy("camp"), "report_by_camp")
 
 
 def report_by_source(spark: SparkSession) -> DataFrame:
-    return spark.sql(REPORT_BY_SOURCE)
+    sources = _fact(spark).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *_months())
+    return _view(sources.orderBy("source"), "report_by_source")
 
 
 def bad_rows(spark: SparkSession) -> DataFrame:
-    return spark.sql(BAD_ROWS)
-
-
-def region_rollup(spark: SparkSession, code: str, lo: str, hi: str) -> DataFrame:
-    return spark.sql(REGION_ROLLUP.format(code=code, lo=lo, hi=hi))
+    return _view(W.bad_rows(_fact(spark)), "fact_bad_rows")

@@ -3,8 +3,8 @@
 * Every column is read as STRING from an explicit schema; nothing is inferred,
   so commas, blanks and leading zeros reach the contract checks untouched.
 * The UTF-8 BOM is stripped by Spark's CSV reader.
-* The header is read as data (first record only) and compared with the spec
-  in order by the contract, so a reordered header fails instead of being
+* The header of every file is read as data and compared with the spec in
+  order by the contract, so a reordered header fails instead of being
   silently re-mapped by name.
 * Short and long records are kept: PERMISSIVE mode fills / drops cells and
   sets ``_corrupt_record``, which we turn into ``_width_ok = false``.
@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -47,10 +48,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """First CSV record of the file, parsed with CSV rules (quotes, BOM)."""
-    first = spark.read.option("header", "false").csv(path).limit(1).collect()
-    return [("" if v is None else v) for v in first[0]] if first else []
+def read_headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """Two different first records of the files at most, parsed with CSV rules (quotes, BOM): one, if all agree."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("i")).where("at = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "i").alias("line")).select("line").distinct()
+    return [next(csv.reader([r.line.removeprefix("\ufeff")]), []) for r in first.limit(2).collect()]
+
+
+def read_header(spark: SparkSession, path: str, columns=()) -> list[str]:
+    """The header of the files; where they differ, one that is not ``columns``, so that the contract fails."""
+    headers = read_headers(spark, path)
+    return next((h for h in headers if h != list(columns)), headers[0] if headers else [])
 
 
 def read_text_csv(spark: SparkSession, path, columns) -> DataFrame:
@@ -78,6 +88,6 @@ def with_scan_columns(df: DataFrame) -> DataFrame:
 def strict_csv(spark: SparkSession, path: str, columns) -> StrictScan:
     if not path_exists(spark, path):
         return StrictScan(path, False, [], None)
-    header = read_header(spark, path)
+    header = read_header(spark, path, columns)
     rows = with_scan_columns(read_text_csv(spark, path, columns))
     return StrictScan(path, True, header, rows)

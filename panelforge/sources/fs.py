@@ -13,3 +13,11 @@ def hadoop_path(spark: SparkSession, path: str):
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = hadoop_path(spark, path)
     return bool(fs.exists(p))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this package wrote, if it is there; the name may be a URI with escapes."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path)) if "://" in path or path.startswith("file:") else (
+        jvm.org.apache.hadoop.fs.Path(path))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -106,3 +106,46 @@ def test_xxhash_fingerprint(spark):
     n2 = spark.createDataFrame([("a", "b", None)], "x string, y string, z string")
     assert FP.unordered_fingerprint(n1, ["x", "y", "z"], "xxhash64").first().hash_sum != \
         FP.unordered_fingerprint(n2, ["x", "y", "z"], "xxhash64").first().hash_sum
+
+
+def _merged(spark, path, first, second, schema, **more):
+    W.upsert(spark, path, spark.createDataFrame(first, schema), ["k"], "p", **more)
+    W.upsert(spark, path, spark.createDataFrame(second, schema), ["k"], "p", **more)
+    return sorted((r.k, r.p, r.v) for r in spark.read.schema(schema).parquet(path).collect())
+
+
+def test_upsert_refuses_null_partition_and_keeps_the_table(spark, tmp):
+    path = tmp + "/t"
+    W.upsert(spark, path, spark.createDataFrame([(1, "a", 1)], "k int, p string, v int"), ["k"], "p")
+    for bad in [(2, None, 2)], [(None, "a", 2)]:
+        with pytest.raises(W.NullBatchKeys):
+            W.upsert(spark, path, spark.createDataFrame(bad, "k int, p string, v int"), ["k"], "p")
+    assert [tuple(r) for r in spark.read.parquet(path).select("k", "p", "v").collect()] == [(1, "a", 1)]
+
+
+def test_upsert_keeps_the_partition_type(spark, tmp):
+    got = _merged(spark, tmp + "/t", [(1, "01", 1), (2, "01", 2)], [(1, "01", 9)], "k int, p string, v int")
+    assert got == [(1, "01", 9), (2, "01", 2)]
+
+
+def test_upsert_of_a_key_that_moves(spark, tmp):
+    got = _merged(spark, tmp + "/t", [(1, 2020, 1), (2, 2020, 2), (3, 2019, 3)], [(1, 2021, 9), (3, 2021, 8)], "k int, p int, v int")
+    assert got == [(1, 2021, 9), (2, 2020, 2), (3, 2021, 8)]
+
+
+def test_upsert_leaves_no_staging(spark, tmp):
+    import glob
+
+    from panelforge.session import checkpoint_dir
+    before = set(glob.glob(checkpoint_dir(spark).removeprefix("file://") + "/staging-*"))
+    _merged(spark, tmp + "/t", [(1, 1, 1)], [(1, 1, 2)], "k int, p int, v int")
+    assert set(glob.glob(checkpoint_dir(spark).removeprefix("file://") + "/staging-*")) == before
+
+
+def test_load_refuses_records_that_break_the_schema(spark, tmp):
+    import datetime as dt
+    schema = "ym date, tech_code string, accounts bigint, source string"
+    for row in [(dt.date(2020, 1, 1), "ADSL", None, "x"), (None, "ADSL", 1, "x"), (dt.date(2020, 1, 1), "NOPE", 1, "x"),
+                (dt.date(2020, 1, 1), "ADSL", -1, "x")]:
+        with pytest.raises(W.BadRecords):
+            W.load_star(spark, tmp + "/wh", spark.createDataFrame([row], schema), S.BROADBAND)
