@@ -4,7 +4,7 @@
     python -m panelforge.cli splice   --live A.csv --frozen B.csv
     python -m panelforge.cli load     --live A.csv --frozen B.csv --warehouse W [--verify]
     python -m panelforge.cli metrics  --warehouse W [--check-anchors]
-    python -m panelforge.cli refresh  --live A.csv --frozen B.csv --warehouse W [--dry-run]
+    python -m panelforge.cli refresh  --live A.csv --frozen B.csv --warehouse W [--dry-run] [--no-anchors]
 
 Exit code 0 means the step passed; 1 means a gate stopped it (contract
 failure, splice abandoned, load not idempotent, anchors not reproduced). Each
@@ -80,7 +80,19 @@ def cmd_splice(spark, a) -> int:
 
 
 def cmd_load(spark, a) -> int:
-    ra, rb = _records(spark, a)
+    """Contracts and verdict first: nothing is stored from a file that fails them."""
+    live, frozen = strict_csv(spark, a.live, S.LIVE.columns), strict_csv(spark, a.frozen, S.FROZEN.columns)
+    try:
+        C.gate(C.validate_file(spark, live, S.LIVE, allow_growth=True).unionByName(
+            C.validate_file(spark, frozen, S.FROZEN, allow_growth=True)))
+    except C.ContractFailed as e:
+        _print_checks(e.failed)
+        return 1
+    ra, rb = records(live.rows, S.LIVE), records(frozen.rows, S.FROZEN)
+    verdict = K.splice_verdict(K.overlap_detail(ra, rb, S.COMPARABLE), S.THRESHOLD_PCT).first()
+    if verdict["verdict"] != "accept":
+        print(f"  verdict {verdict['verdict']} ({verdict['reason']})")
+        return 1
     panel = K.splice(ra, rb, S.BROADBAND.cutover)
     if a.verify:
         res = W.verify_idempotent(spark, a.warehouse, panel, S.BROADBAND)
@@ -106,7 +118,8 @@ def cmd_metrics(spark, a) -> int:
 
 
 def cmd_refresh(spark, a) -> int:
-    cfg = RefreshConfig(S.LIVE, S.FROZEN, S.BROADBAND, a.warehouse, a.frozen)
+    cfg = RefreshConfig(S.LIVE, S.FROZEN, S.BROADBAND, a.warehouse, a.frozen,
+                        anchors=None if a.no_anchors else S.GROUND_TRUTH)
     res = refresh(spark, a.live, cfg, dry_run=a.dry_run)
     print(f"  {res}")
     return 0 if res["status"] in ("published", "unchanged", "dry_run") else 1
@@ -127,6 +140,7 @@ def main(argv=None) -> int:
             s.add_argument("--verify", action="store_true")
         if name == "refresh":
             s.add_argument("--dry-run", action="store_true")
+            s.add_argument("--no-anchors", action="store_true")
     m = sub.add_parser("metrics")
     m.add_argument("--warehouse", required=True)
     m.add_argument("--check-anchors", action="store_true")

@@ -184,10 +184,30 @@ def month_gaps(df: DataFrame, dims=(), ym: str = "ym") -> DataFrame:
         (span_months(F.col("ym"), F.col("next_ym")) - 2).alias("n_missing"))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose key has no parent (left anti join)."""
-    p = parent.select(F.col(parent_key).alias("__k")).distinct()
-    return child.join(p, child[child_key] == p["__k"], "left_anti")
+def orphan_counts(table, relations) -> DataFrame:
+    """Per relation ``(child, child key, parent, parent key)`` the child rows and those without a parent.
+
+    ``table(name, *columns)`` reads a table. Each child table is read once for
+    all its relations, and its keys are counted before the join, so a key that
+    many rows share is one row of the join. A null key has no parent.
+    """
+    def side(at: int, key: int) -> DataFrame:
+        frames = []
+        for name in dict.fromkeys(r[at] for r in relations):
+            own = [(i, r[key]) for i, r in enumerate(relations) if r[at] == name]
+            pairs = F.array(*[F.struct(F.lit(i).alias("rel"), F.col(c).cast("string").alias("key")) for i, c in own])
+            frames.append(table(name, *dict.fromkeys(c for _, c in own)).select(F.inline(pairs)))
+        return reduce(DataFrame.unionByName, frames)
+
+    counted = side(0, 1).groupBy("rel", "key").agg(F.count(F.lit(1)).alias("n"))
+    parents = side(2, 3).distinct().withColumn("hit", F.lit(True))
+    found = counted.join(parents, ["rel", "key"], "left").groupBy("rel").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("n"))), F.lit(0)).alias("bad"))
+    names = [F.struct(F.lit(i).alias("rel"), F.lit(f"{c}.{ck}->{p}.{pk}").alias("relation"))
+             for i, (c, ck, p, pk) in enumerate(relations)]
+    every = table(relations[0][0]).sparkSession.range(1).select(F.inline(F.array(*names)))
+    return every.join(found, "rel", "left").select("relation", F.coalesce("n", F.lit(0)).alias("n_child"),
+                                                   F.coalesce("bad", F.lit(0)).alias("n_orphans"))
 
 
 def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -6,13 +6,13 @@
   order. It shuffles by block only, and no task ever holds more than one
   block. (A single md5 over the whole ordered table would put the table in
   one task, so the value intentionally differs from a flat md5.)
-* ``unordered_fingerprint`` — for any table: per-row md5 folded to 60 bits,
-  summed as DECIMAL(38,0), plus the row count. Order-insensitive, needs only
-  partial aggregation, and is stable under any partitioning or retry.
+* ``unordered_fingerprint`` — for any table: a 64-bit hash of each row (or its
+  md5 folded to 60 bits), summed exactly, plus the row count. Order-insensitive,
+  needs only partial aggregation, and is stable under any partitioning or retry.
 
 Technical columns (``loaded_at``) are left out by the caller (T14); doubles
-should be cast to DECIMAL before encoding, since text forms of doubles differ
-between engines.
+should be cast to whole units (cents) before encoding, since text forms of
+doubles differ between engines.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rowcode import hash60, row_text
+from ..functions.rowcode import hash60, row_text, whole_sum
 
 
 def ordered_fingerprint(df: DataFrame, block: str, order_keys, cols) -> DataFrame:
     """Two-level ordered md5. Returns ``(n_blocks, n_rows, fingerprint)``."""
     enc = df.select(F.col(block).alias("__b"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(order_keys)],
-                    row_text(*[c if isinstance(c, Column) else F.col(c) for c in cols]).alias("__t"))
+                    row_text(df, cols).alias("__t"))
     order = ", ".join(f"__k{i}" for i in range(len(order_keys)))
     per_block = enc.groupBy("__b").agg(
         F.expr(f"md5(listagg(__t, '\\n') WITHIN GROUP (ORDER BY {order}))").alias("__h"),
@@ -37,34 +37,23 @@ def ordered_fingerprint(df: DataFrame, block: str, order_keys, cols) -> DataFram
         F.expr("md5(listagg(__h, '\\n') WITHIN GROUP (ORDER BY __b))").alias("fingerprint"))
 
 
-def block_hashes(df: DataFrame, block: str, order_keys, cols) -> DataFrame:
-    """Per-block hashes (for locating which block of two states differs)."""
-    enc = df.select(F.col(block).alias("block"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(order_keys)],
-                    row_text(*[c if isinstance(c, Column) else F.col(c) for c in cols]).alias("__t"))
-    order = ", ".join(f"__k{i}" for i in range(len(order_keys)))
-    return enc.groupBy("block").agg(
-        F.expr(f"md5(listagg(__t, '\\n') WITHIN GROUP (ORDER BY {order}))").alias("md5"),
-        F.count(F.lit(1)).alias("n_rows"))
-
-
-def unordered_fingerprint(df: DataFrame, cols, algorithm: str = "md5") -> DataFrame:
+def unordered_fingerprint(df: DataFrame, cols, algorithm: str = "xxhash64") -> DataFrame:
     """Order-insensitive fingerprint ``(n_rows, hash_sum)``; ``hash_sum`` as text.
 
-    ``md5`` (default) hashes the row text and can be reproduced by other
-    engines. ``xxhash64`` hashes the typed values directly (no string built
+    ``xxhash64`` (default) hashes the typed values directly (no string built
     per row, several times cheaper at scale) with a NULL marker per column so
-    NULL positions cannot collide; use it when both states are fingerprinted
-    by Spark.
+    NULL positions cannot collide. ``md5`` hashes the row text and can be
+    reproduced by other engines.
     """
     cs = [c if isinstance(c, Column) else F.col(c) for c in cols]
     if algorithm == "xxhash64":
         h = F.xxhash64(*[x for c in cs for x in (c, c.isNull())])
     elif algorithm == "md5":
-        h = hash60(row_text(*cs))
+        h = hash60(row_text(df, cs))
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"))
+                  whole_sum(h).cast("string").alias("hash_sum"))
 
 
 def states_equal(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ Everything here is built for rows counted in billions:
 * ``blocked_cumsum`` — a running sum over a long ungrouped series without
   the single-partition window a global ``ORDER BY`` would need: in-block
   running sums (window per block), block totals (partial aggregate), block
-  offsets (window over one row per block), joined back on the block key. The
+  offsets (windows over the blocks of a super-block and over the super-blocks),
+  joined back on the block key. The
   big side is already hash-partitioned by block from its window, so only the
   small offsets table moves (and AQE broadcasts it when its measured size
   allows).
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from ..spec import SCALE_MOD
 from .joins import bounded_broadcast
 
+#: Blocks of a super-block in :func:`blocked_cumsum`.
+SUPER = 1 << 12
+
 
 def blocked_cumsum(df: DataFrame, order_col: str, value_col: str, out: str,
                    block_size: int = 1 << 20, dims=()) -> DataFrame:
@@ -41,8 +45,16 @@ def blocked_cumsum(df: DataFrame, order_col: str, value_col: str, out: str,
     # read from the windowed side: that side is already hash-partitioned by
     # block, so the aggregate needs no exchange and the scan + shuffle are reused
     totals = inner.groupBy(*dims, "__blk").agg(F.max_by("__in", order_col).alias("__t"))
-    w_blk = Window.partitionBy(*dims).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*dims, "__blk", F.sum("__t").over(w_blk).alias("__off"))
+    # offsets in two levels: blocks within a super-block, then the super-blocks (N / block / SUPER rows at most)
+    totals = totals.withColumn("__sup", F.floor(F.col("__blk") / SUPER).cast("bigint"))
+    w_blk = Window.partitionBy(*dims, "__sup").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    w_sup = Window.partitionBy(*dims).orderBy("__sup").rowsBetween(Window.unboundedPreceding, -1)
+    supers = totals.groupBy(*dims, "__sup").agg(F.sum("__t").alias("__t")).select(
+        *dims, "__sup", F.sum("__t").over(w_sup).alias("__o2"))
+    near = totals.select(*dims, "__sup", "__blk", F.sum("__t").over(w_blk).alias("__o1"))
+    offsets = near.join(supers, [*dims, "__sup"]).select(*dims, "__blk", F.when(
+        F.col("__o1").isNotNull() | F.col("__o2").isNotNull(),
+        F.coalesce("__o1", F.lit(0)) + F.coalesce("__o2", F.lit(0))).alias("__off"))
     j = inner.join(offsets, [*dims, "__blk"], "left")
     res = F.when(F.col("__in").isNull() & F.col("__off").isNull(), F.lit(None)).otherwise(
         F.coalesce(F.col("__in"), F.lit(0)) + F.coalesce(F.col("__off"), F.lit(0)))
@@ -117,7 +129,9 @@ def median_in_bracket(values: DataFrame, bracket: DataFrame, keys, out: str = "m
     ``values`` has ``keys`` + ``__v``; ``bracket`` has ``keys`` + ``__n`` (the
     count of non-NULL values), ``__lo``, ``__hi``. One histogram aggregate: a
     single flagged row carries the count below the bracket and sorts first;
-    values above the bracket are dropped; the two middle ranks are read off.
+    values above the bracket are dropped; the two middle ranks are read off. A
+    bracket that does not hold both of them (a sketch beyond its error bound)
+    raises an error instead of giving a wrong value.
     """
     keys = list(keys)
     j = values.join(bracket, keys, "inner")
@@ -133,8 +147,12 @@ def median_in_bracket(values: DataFrame, bracket: DataFrame, keys, out: str = "m
     g = h.groupBy(*keys).agg(
         F.min(F.when(F.col("__cum") >= k1, F.col("__x"))).alias("__x1"),
         F.min(F.when(F.col("__cum") >= k2, F.col("__x"))).alias("__x2"),
+        (F.coalesce(F.max(F.when(F.col("__b"), F.col("__cum"))), F.lit(0)) < F.min(k1)).alias("__above"),
+        (F.max("__cum") >= F.max(k2)).alias("__within"),
     )
-    return g.select(*keys, ((F.col("__x1") + F.col("__x2")) / 2).alias(out))
+    middle = F.when(F.col("__above") & F.col("__within"), (F.col("__x1") + F.col("__x2")) / 2).otherwise(
+        F.raise_error(F.lit("the median bracket does not hold the middle ranks")).cast("double"))
+    return g.select(*keys, middle.alias(out))
 
 
 def exact_median(df: DataFrame, groups, value: str, out: str = "median",

@@ -214,23 +214,24 @@ def snapshot(fact: DataFrame, ordered: bool = True) -> DataFrame:
             F.count_distinct("tech_code").alias("n_tech"))
         fp = unordered_fingerprint(fact, FACT_COLS, "xxhash64").select(F.col("hash_sum").alias("md5"))
         return one_row(stats, fp)
-    from .splice import one_row
     enc = fact.select("year_month", "tech_code", "accounts",
-                      row_text(*[F.col(c) for c in FACT_COLS]).alias("__t"))
+                      row_text(fact, FACT_COLS).alias("__t"))
     per_month = enc.groupBy("year_month").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("accounts").alias("s"),
         F.expr("md5(listagg(__t, '\\n') WITHIN GROUP (ORDER BY tech_code))").alias("h"),
+        F.collect_set("tech_code").alias("codes"),
     )
-    folded = per_month.agg(
+    # a key never repeats, so a month's set of codes is no longer than the code list
+    all_codes = F.aggregate(F.collect_set("codes"), F.array().cast("array<string>"), F.array_union)
+    return per_month.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"),
         F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("sum_accounts"),
         ym_text(F.min("year_month")).alias("min_ym"),
         ym_text(F.max("year_month")).alias("max_ym"),
+        F.size(all_codes).cast("bigint").alias("n_tech"),
         F.expr("md5(listagg(h, '\\n') WITHIN GROUP (ORDER BY year_month))").alias("md5"),
     )
-    codes = fact.select("tech_code").distinct().agg(F.count("tech_code").alias("n_tech"))
-    return one_row(folded, codes).select("n_rows", "sum_accounts", "min_ym", "max_ym", "n_tech", "md5")
 
 
 def bad_rows(fact: DataFrame) -> DataFrame:

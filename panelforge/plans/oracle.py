@@ -133,23 +133,28 @@ def _reason(x: str) -> str:
             f"WHEN TRY_CAST({c} AS BIGINT) IS NULL THEN 'overflow' END)")
 
 
-ORACLE["unpivot_cells"] = with_(PANEL, _wide_cte(True)) + ",\ncells AS (\n" + "\n  UNION ALL\n".join(
-    f"  SELECT ym, '{c}' AS tech_code, {_q(c)} AS raw FROM wl" for c in CODES) + """)
+ORACLE["unpivot_cells"] = with_(PANEL, _wide_cte(True), _wide_cte(False)) + ",\ncells AS (\n" + "\n  UNION ALL\n".join(
+    f"  SELECT '{s}' AS source, ym, '{c}' AS tech_code, {_q(c)} AS raw FROM {w}"
+    for s, w in (("live", "wl"), ("legacy", "wg")) for c in CODES) + """)
 SELECT strftime(ym, '%Y-%m') AS ym, tech_code, raw, """ + _val("raw") + " AS accounts, " + _reason("raw") + \
-    " AS reason, 'live' AS source FROM cells"
+    " AS reason, source FROM cells"
 
 ORACLE["parse_thousands"] = with_(PANEL) + """, t AS (SELECT ym, tech_code, cents, format('{:,}', cents) AS text FROM p)
 SELECT strftime(ym, '%Y-%m') AS ym, tech_code, text, """ + _val("text") + " AS value, " + _reason("text") + \
     " AS reason, contains(text, ',') AS has_comma, " + _val("text") + " = cents AS roundtrip_ok FROM t"
 
-ORACLE["roc_period"] = with_(PANEL, _wide_cte(True)) + """
-SELECT period,
-       CAST(CAST(split_part(period, '/', 1) AS INTEGER) + 1911 AS INTEGER) AS year,
-       CAST(split_part(period, '/', 2) AS INTEGER) AS month,
-       CAST(split_part(period, '/', 1) AS INTEGER) AS roc_year,
+def _roc(source: str, table: str, period: str, sep: str) -> str:
+    return f"""SELECT '{source}' AS source, {period} AS period,
+       CAST(CAST(split_part({period}, '{sep}', 1) AS INTEGER) + 1911 AS INTEGER) AS year,
+       CAST(split_part({period}, '{sep}', 2) AS INTEGER) AS month,
+       CAST(split_part({period}, '{sep}', 1) AS INTEGER) AS roc_year,
        CAST(quarter(ym) AS INTEGER) AS quarter,
        strftime(ym, '%Y-%m') AS ym
-FROM wl"""
+FROM {table}"""
+
+
+ORACLE["roc_period"] = with_(PANEL, _wide_cte(True), _wide_cte(False)) + "\n" + _roc("live", "wl", "period", "/") + (
+    "\nUNION ALL\n") + _roc("legacy", "wg", "(roc_year || ' ' || month)", " ")
 
 
 def _checks_sql(live: bool) -> str:
@@ -400,7 +405,9 @@ FROM sp GROUP BY source"""
 # --- star schema, merge, fingerprints ------------------------------------------
 
 def _rt(*cols: str) -> str:
-    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols)
+    def field(c: str) -> str:
+        return f"regexp_replace(CAST({c} AS VARCHAR), '([\\\\|\\n])', '\\\\\\1', 'g')"
+    return " || '|' || ".join(f"coalesce({field(c)}, '\\N')" for c in cols)
 
 
 ORACLE["upsert_result"] = with_(PANEL, SOURCES) + """
@@ -431,9 +438,9 @@ SELECT CAST(COUNT(*) AS BIGINT) AS n_blocks, CAST(SUM(n) AS BIGINT) AS n_rows,
        md5(string_agg(h, chr(10) ORDER BY year_month)) AS fingerprint
 FROM pm"""
 
-_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "CAST(l_quantity AS DECIMAL(18,2))",
-       "CAST(l_extendedprice AS DECIMAL(18,2))", "CAST(l_discount AS DECIMAL(4,2))", "CAST(l_tax AS DECIMAL(4,2))",
-       "l_returnflag", "l_linestatus", "CAST(l_shipdate AS DATE)"]
+_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+       *[f"CAST(floor({c} * 100 + 0.5) AS BIGINT)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+       "l_returnflag", "l_linestatus", "CAST(l_shipdate AS DATE) - DATE '1970-01-01'"]
 ORACLE["fingerprint_unkeyed"] = f"""
 SELECT CAST(COUNT(*) AS BIGINT) AS n_rows,
        CAST(SUM(CAST('0x' || substr(md5({_rt(*_LI)}), 1, 15) AS BIGINT)) AS VARCHAR) AS hash_sum

@@ -8,6 +8,7 @@ twin in :mod:`panelforge.plans.oracle` unless noted there.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,13 +68,14 @@ def _wide(spark, sf_dir, spec):
 
 @register("unpivot_cells")
 def unpivot_cells(spark, sf_dir):
-    """Live wide text → one parsed row per (month, code)."""
+    """Both wide texts → one parsed row per (source, month, code)."""
     from pyspark.sql import functions as F
 
     from ..functions.periods import ym_text
     from ..operators.normalize import parse_cells
     from ..operators.normalize import unpivot_cells as unpivot
-    cells = parse_cells(unpivot(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE))
+    live, legacy = (unpivot(_wide(spark, sf_dir, s), s) for s in (P.ORDERS_LIVE, P.ORDERS_LEGACY))
+    cells = parse_cells(live.unionByName(legacy))
     return cells.select(ym_text(F.col("ym")).alias("ym"), "tech_code", "raw", "accounts",
                         "reason", "source")
 
@@ -98,14 +100,20 @@ def parse_thousands(spark, sf_dir):
 
 @register("roc_period")
 def roc_period(spark, sf_dir):
-    """F3-F7 P11: 'ROC/month' text → year, month, ROC year, quarter, 'yyyy-MM'."""
+    """F3-F7 P11: 'ROC/month' text, or ROC year and month texts → year, month, ROC year, quarter, 'yyyy-MM'."""
     from pyspark.sql import functions as F
 
     from ..functions.periods import ad_to_roc, ym_text
     from ..operators.normalize import period_columns
-    w = period_columns(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE)
+    live = period_columns(_wide(spark, sf_dir, P.ORDERS_LIVE), P.ORDERS_LIVE)
+    legacy = period_columns(_wide(spark, sf_dir, P.ORDERS_LEGACY).withColumnRenamed("month", "roc_month"),
+                            replace(P.ORDERS_LEGACY, period_cols=("roc_year", "roc_month")))
+    legacy = legacy.withColumn("period", F.concat_ws(" ", "roc_year", "roc_month"))
+    cols = ["period", "year", "month", "ym"]
+    w = live.select(F.lit(P.SRC_LIVE).alias("source"), *cols).unionByName(
+        legacy.select(F.lit(P.SRC_LEGACY).alias("source"), *cols))
     return w.select(
-        "period", "year", "month",
+        "source", "period", "year", "month",
         ad_to_roc(F.col("year")).alias("roc_year"),
         F.quarter("ym").alias("quarter"),
         ym_text(F.col("ym")).alias("ym"),
@@ -188,27 +196,10 @@ FK_RELATIONS = [
 
 @register("fk_orphans")
 def fk_orphans(spark, sf_dir):
-    """Child rows without a parent, one left-join pass per relation.
-
-    The join strategy is Catalyst's: a parent below the broadcast threshold
-    (by its file size) is broadcast, a large one is sort-merge joined.
-    """
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-    from pyspark.sql import functions as F
-
+    """Child rows without a parent, all relations in one pass over each table."""
+    from ..operators.contracts import orphan_counts
     from ..sources.tables import read_table
-    out = []
-    for child, ck, parent, pk in FK_RELATIONS:
-        c = read_table(spark, sf_dir, child, ck)
-        p = read_table(spark, sf_dir, parent, pk).distinct().withColumn("__hit", F.lit(True))
-        j = c.join(p, c[ck] == p[pk], "left")
-        out.append(j.agg(F.count(F.lit(1)).alias("n_child"),
-                         F.count_if(F.col("__hit").isNull()).alias("n_orphans"))
-                   .select(F.lit(f"{child}.{ck}->{parent}.{pk}").alias("relation"),
-                           "n_child", "n_orphans"))
-    return reduce(DataFrame.unionByName, out)
+    return orphan_counts(lambda t, *cols: read_table(spark, sf_dir, t, *cols), FK_RELATIONS)
 
 
 @register("domain_violations")
@@ -401,11 +392,9 @@ def fingerprint_keyed(spark, sf_dir):
     return ordered_fingerprint(_spliced_fact(spark, sf_dir), "year_month", FACT_KEY, FACT_COLS)
 
 
-LINEITEM_FP_COLS = [
-    ("l_orderkey", None), ("l_partkey", None), ("l_suppkey", None), ("l_linenumber", None),
-    ("l_quantity", "decimal(18,2)"), ("l_extendedprice", "decimal(18,2)"), ("l_discount", "decimal(4,2)"),
-    ("l_tax", "decimal(4,2)"), ("l_returnflag", None), ("l_linestatus", None), ("l_shipdate", "date"),
-]
+LINEITEM_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+LINEITEM_HUNDREDTHS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_TEXTS = ["l_returnflag", "l_linestatus"]
 
 
 @register("fingerprint_unkeyed")
@@ -415,9 +404,10 @@ def fingerprint_unkeyed(spark, sf_dir):
 
     from ..operators.fingerprint import unordered_fingerprint
     from ..sources.tables import read_table
-    li = read_table(spark, sf_dir, "lineitem", *[c for c, _ in LINEITEM_FP_COLS])
-    cols = [F.col(c).cast(t) if t else F.col(c) for c, t in LINEITEM_FP_COLS]
-    return unordered_fingerprint(li, cols)
+    li = read_table(spark, sf_dir, "lineitem", *LINEITEM_KEYS, *LINEITEM_HUNDREDTHS, *LINEITEM_TEXTS, "l_shipdate")
+    hundredths = [F.floor(F.col(c) * 100 + 0.5) for c in LINEITEM_HUNDREDTHS]
+    days = F.unix_date(F.col("l_shipdate").cast("date"))
+    return unordered_fingerprint(li, [*LINEITEM_KEYS, *hundredths, *LINEITEM_TEXTS, days], "md5")
 
 
 @register("summary_by_camp")
@@ -573,12 +563,9 @@ def region_rollup(spark, sf_dir):
 SCALE_REGIONS = 22
 
 
-_SIZES: dict = {}
-
-
 def _scale_inputs(spark, sf_dir):
-    """Periods and codes from orders, operators = suppliers; the sizes are one
-    small aggregate (memoised per session and folder: the tables are read-only)."""
+    """Periods and codes from orders, operators = suppliers; the sizes are two
+    small aggregates, taken anew for each call."""
     from pyspark.sql import functions as F
 
     from ..functions.periods import month_of
@@ -586,14 +573,10 @@ def _scale_inputs(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", "o_orderdate", "o_orderpriority")
     periods = o.select(month_of(F.col("o_orderdate")).alias("year_month")).distinct()
     codes = o.select(F.col("o_orderpriority").alias("tech_code")).distinct()
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SIZES:
-        n_supp = read_table(spark, sf_dir, "supplier", "s_suppkey").count()
-        sizes = o.agg(F.count_distinct(month_of(F.col("o_orderdate"))).alias("m"),
-                      F.count_distinct("o_orderpriority").alias("c")).first()
-        _SIZES[key] = (int(sizes["m"]), int(sizes["c"]), int(n_supp))
-    m, c, n_supp = _SIZES[key]
-    return periods, codes, m, c, n_supp
+    n_supp = read_table(spark, sf_dir, "supplier", "s_suppkey").count()
+    sizes = o.agg(F.count_distinct(month_of(F.col("o_orderdate"))).alias("m"),
+                  F.count_distinct("o_orderpriority").alias("c")).first()
+    return periods, codes, int(sizes["m"]), int(sizes["c"]), n_supp
 
 
 def _scale_table(spark, sf_dir):

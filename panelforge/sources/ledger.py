@@ -2,9 +2,8 @@
 
 Each step appends one small JSON-lines file through the Hadoop FileSystem API
 (any shared file system the cluster uses), so logging a step costs no Spark
-job. Readers load the folder with ``spark.read.json``. A replayed
-micro-batch may append the same ``(run_id, step)`` twice, so readers keep the
-last row per key.
+job. Readers load the folder with ``spark.read.json``. A run id never repeats;
+should a step of a run be written twice, readers keep its last row.
 """
 
 from __future__ import annotations

@@ -1,17 +1,10 @@
-"""Writers for result tables (Parquet, partitioned) and JSON measurements."""
+"""Writer for JSON measurements."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def write_parquet(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist measurement / result rows as JSON lines (one file per task)."""
     df.write.mode(mode).json(path)

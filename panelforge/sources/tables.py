@@ -22,17 +22,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_SCANS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Scan of a read-only driver table; the relation (file listing, footers,
-    schema) is resolved once per session and path, then only projected."""
-    path = table_path(sf_dir, name)
-    df = _SCANS.get(path)
-    if df is None or df.sparkSession is not spark:   # rebuilt for a new session
-        df = spark.read.parquet(path)
-        _SCANS[path] = df
+    """Scan of a driver table, listed anew for each call, so that new files are never missed."""
+    df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*cols) if cols else df
 
 

@@ -111,15 +111,6 @@ GROUND_TRUTH = {
 GROUND_TRUTH_DELTA_PP = -9.01
 SHARE_TOLERANCE = 0.005
 
-EVENTS = [
-    (dt.date(2022, 5, 1), "2022-05　MSO 價格戰", "工商時報 2022-05-23"),
-    (dt.date(2026, 3, 18), "2026-03-18　中華電信降價", "經濟日報／MoneyDJ"),
-]
-BREAKS = [
-    (dt.date(2009, 4, 1), "2009-04"),
-    (dt.date(2020, 1, 1), "2020-01"),
-]
-
 # scale generator: accounts = (epoch_days*7 + r*131 + o*17 + len(code)*991) % 500000
 SCALE_REGIONS = 22
 SCALE_MOD = 500_000

@@ -8,22 +8,29 @@ A refresh takes one staged snapshot of the live source (a whole file) and:
    frozen source (strict). Any failure stops the run before any write.
 3. K1-K3 — compares the overlap; anything but ``accept`` stops the run.
 4. R3 — a dry run stops here.
-5. S7/R4 — merges the spliced records into the star schema (staged merge,
-   touched partitions only), optionally re-applies the same batch and checks
-   the snapshot is unchanged, and checks for bad rows.
-6. H4 — optional anchor self-check on the metrics recomputed from the fact.
+5. C9-C12/R4/H4 — checks the merged fact as a DataFrame: NOT NULL, CHECK and
+   foreign keys, keys that repeat, idempotence (merging the batch again gives
+   the same snapshot) and the anchors on metrics computed from it. Any failure
+   stops the run before any write, so the next run meets the same gates again.
+6. S7 — merges the rows that are new or changed into the star schema (staged
+   merge, touched partitions only) and compares what was written with the
+   checked frame. ``loaded_at`` is the time a row last changed.
 
 Every step appends a ledger row. Because the staged data is validated as a
-DataFrame before anything is written, no backup / restore is needed (S13).
+DataFrame before anything is written, no backup / restore is needed (S13). A
+run that began its commit and did not publish (a lost driver) is not taken for
+"unchanged": the next run goes through although the fact may hold the month.
 
 R8 runs the same function from ``foreachBatch`` over a landing folder, one
 file per micro-batch (``maxFilesPerTrigger=1``, honoured by ``availableNow``),
-since each file is a whole snapshot. A replayed batch is harmless: the merge
-is idempotent and the ledger de-duplicates on read.
+since each file is a whole snapshot. The stream's checkpoint lies in the
+warehouse by default, so a restart processes new files only. A replayed batch
+is harmless: the merge is idempotent, and each run has an id of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from dataclasses import dataclass
@@ -66,6 +73,25 @@ def committed_latest(spark: SparkSession, warehouse: str):
     return W.read_fact(spark, warehouse).agg(F.max("year_month")).first()[0]
 
 
+def interrupted(spark: SparkSession, cfg: RefreshConfig) -> bool:
+    """Whether the last run that began a commit did not publish it."""
+    runs = ledger.read(spark, cfg.ledger_path).groupBy("run_id").agg(
+        F.max(F.when(F.col("step") == "commit", F.col("ts"))).alias("began"),
+        F.max((F.col("step") == "done") & (F.col("status") == "published")).alias("published"))
+    last = runs.where("began IS NOT NULL").agg(F.max_by("published", "began").alias("published")).first()
+    return last["published"] is False
+
+
+def merged_fact(spark: SparkSession, batch: DataFrame, cfg: RefreshConfig) -> tuple[DataFrame, DataFrame]:
+    """The fact as it would be after the merge of ``batch``, and the rows of it that are new or changed."""
+    if not exists(spark, os.path.join(cfg.warehouse, "fact_subscriptions_monthly")):
+        return batch, batch
+    old = W.read_fact(spark, cfg.warehouse).select(*batch.columns)
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in W.FACT_COLS]
+    changed = batch.alias("n").join(old.alias("o"), same, "left_anti")
+    return W.merge_frames(old, batch, W.FACT_KEY), changed
+
+
 def _failed_detail(checks: DataFrame) -> str:
     rows = checks.filter(~F.col("passed")).select("source", "check", "detail").collect()
     return "; ".join(f"{r['source']}:{r['check']} ({r['detail']})" for r in rows)
@@ -80,13 +106,15 @@ def refresh_rows(spark: SparkSession, staged_rows: DataFrame, staged_header: lis
         ledger.append(spark, cfg.ledger_path, run_id, step, status, detail)
 
     staged_rows = staged_rows.cache()
+    spliced = checks = None
     try:
         # 1. latest-period gate against the committed fact
         from ..operators.normalize import period_columns
         new_latest = period_columns(staged_rows, cfg.live).agg(F.max("ym")).first()[0]
         cur_latest = committed_latest(spark, cfg.warehouse)
         log("latest_period", "ok", f"committed={cur_latest} staged={new_latest}")
-        if new_latest is None or (cur_latest is not None and new_latest <= cur_latest):
+        seen = cur_latest is not None and new_latest is not None and new_latest <= cur_latest
+        if new_latest is None or (seen and not interrupted(spark, cfg)):
             log("done", "unchanged", "no new period")
             return {"run_id": run_id, "status": "unchanged", "committed": cur_latest, "staged": new_latest}
 
@@ -117,38 +145,50 @@ def refresh_rows(spark: SparkSession, staged_rows: DataFrame, staged_header: lis
             log("done", "dry_run", "validated only, nothing written")
             return {"run_id": run_id, "status": "dry_run", "verdict": verdict.asDict()}
 
-        # 5. merge into the star schema, then prove idempotence and clean rows
-        spliced = K.splice(a, b, cfg.panel.cutover)
-        W.load_star(spark, cfg.warehouse, spliced, cfg.panel, cfg.partition)
-        snap = W.snapshot(W.read_fact(spark, cfg.warehouse)).first().asDict()
+        # 5. the merged fact must pass every check before anything is written
+        spliced = K.splice(a, b, cfg.panel.cutover).cache()
+        try:
+            W.check_fact(spliced, cfg.panel)
+        except W.BadRecords as e:
+            log("load", "failed", str(e))
+            return {"run_id": run_id, "status": "failed", "step": "load", "detail": str(e)}
+        batch = W.fact_rows(spliced)
+        merged, changed = merged_fact(spark, batch, cfg)
+        repeated = C.duplicate_keys(merged, W.FACT_KEY).count()
+        nbad = W.bad_rows(merged).first()["n_bad"]
+        if repeated or nbad:
+            log("load", "failed", f"repeated keys={repeated} bad rows={nbad}")
+            return {"run_id": run_id, "status": "failed", "step": "load"}
+        snap = W.snapshot(merged).first().asDict()
         if cfg.verify_idempotence:
-            W.load_star(spark, cfg.warehouse, spliced, cfg.panel, cfg.partition)
-            again = W.snapshot(W.read_fact(spark, cfg.warehouse)).first().asDict()
+            again = W.snapshot(W.merge_frames(merged, batch, W.FACT_KEY)).first().asDict()
             if again != snap:
                 log("load", "failed", f"not idempotent: {snap} vs {again}")
                 return {"run_id": run_id, "status": "failed", "step": "load"}
-        nbad = W.bad_rows(W.read_fact(spark, cfg.warehouse)).first()["n_bad"]
-        if nbad:
-            log("load", "failed", f"bad rows={nbad}")
-            return {"run_id": run_id, "status": "failed", "step": "load"}
-        log("load", "ok", f"rows={snap['n_rows']} md5={snap['md5']}")
-
-        # 6. anchor self-check on metrics recomputed from the fact
         if cfg.anchors:
-            fact = W.read_fact(spark, cfg.warehouse).select(
-                F.col("year_month").alias("ym"), "tech_code", "accounts")
-            met = M.panel_metrics(M.group_levels(fact, cfg.panel), cfg.panel)
-            bad = anchor_failures(met, cfg)
+            fact = merged.select(F.col("year_month").alias("ym"), "tech_code", "accounts")
+            bad = anchor_failures(M.panel_metrics(M.group_levels(fact, cfg.panel), cfg.panel), cfg)
             if bad:
                 log("metrics", "failed", "; ".join(bad))
                 return {"run_id": run_id, "status": "failed", "step": "metrics", "detail": bad}
             log("metrics", "ok", f"{len(cfg.anchors)} anchors")
 
+        # 6. commit the rows that differ
+        log("commit", "started", f"{cur_latest} -> {new_latest}")
+        W.load_star(spark, cfg.warehouse, changed.withColumnRenamed("year_month", "ym"), cfg.panel, cfg.partition)
+        stored = W.snapshot(W.read_fact(spark, cfg.warehouse)).first().asDict()
+        if stored != snap:
+            log("load", "failed", f"stored {stored} is not {snap}")
+            return {"run_id": run_id, "status": "failed", "step": "load"}
+        log("load", "ok", f"rows={snap['n_rows']} md5={snap['md5']}")
+
         log("done", "published", f"{cur_latest} -> {new_latest}")
         return {"run_id": run_id, "status": "published", "snapshot": snap,
                 "committed": cur_latest, "staged": new_latest}
     finally:
-        staged_rows.unpersist()
+        for kept in (staged_rows, spliced, checks):
+            if kept is not None:
+                kept.unpersist()
 
 
 def anchor_failures(met: DataFrame, cfg: RefreshConfig) -> list[str]:
@@ -184,9 +224,12 @@ def landing_stream(spark: SparkSession, landing: str, cfg: RefreshConfig, checkp
     """Process every snapshot dropped into ``landing`` once, in arrival order.
 
     Returns the started query (``trigger(availableNow=True)``); call
-    ``awaitTermination()`` on it.
+    ``awaitTermination()`` on it. ``checkpoint`` is a folder of the warehouse
+    that only depends on ``landing``, unless given.
     """
-    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "landing-" + uuid.uuid4().hex[:8])
+    checkpoint_dir(spark)
+    folder = hashlib.md5(landing.rstrip("/").encode()).hexdigest()[:12]
+    checkpoint = checkpoint or os.path.join(cfg.warehouse, "_streams", f"landing-{folder}")
     schema = text_schema(cfg.live.columns).add(CORRUPT, "string")
     stream = (spark.readStream.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", "UTF-8")
@@ -197,7 +240,8 @@ def landing_stream(spark: SparkSession, landing: str, cfg: RefreshConfig, checkp
         files = [r[0] for r in rows.select("__file").distinct().collect()]   # one file per batch
         for f in sorted(files):
             staged = with_scan_columns(rows.filter(F.col("__file") == f).drop("__file"))
-            refresh_rows(spark, staged, read_header(spark, f), cfg, dry_run, run_id=f"batch-{batch_id}")
+            refresh_rows(spark, staged, read_header(spark, f), cfg, dry_run,
+                         run_id=f"batch-{batch_id}-{uuid.uuid4().hex[:8]}")
 
     return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -142,7 +142,10 @@ def test_keyed_contracts(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, c string")
     assert [tuple(r) for r in C.duplicate_keys(df, ["k", "c"]).collect()] == [(1, "a", 2)]
     parent = spark.createDataFrame([(1,)], "k long")
-    assert C.orphans(df, parent, "k", "k").count() == 1
+    tables = {"child": df.unionByName(spark.createDataFrame([(None, "z")], df.schema)), "parent": parent}
+    got = C.orphan_counts(lambda t, *cols: tables[t].select(*cols) if cols else tables[t],
+                          [("child", "k", "parent", "k"), ("parent", "k", "child", "k")]).collect()
+    assert {tuple(r) for r in got} == {("child.k->parent.k", 4, 2), ("parent.k->child.k", 1, 0)}
     v = {r.rule: r.n_bad for r in C.violation_counts(df, {"k_le_1": df.k > 1, **C.not_null_rules(["c"])}).collect()}
     assert v == {"k_le_1": 1, "c_not_null": 0}
 

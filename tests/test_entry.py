@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from panelforge.plans.queries import REGISTRY
 
 from .conftest import SF_SMOKE
 
@@ -19,7 +20,11 @@ def test_entry_flagship(spark):
     assert [r.ym for r in rows] == sorted(r.ym for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+#: Series without gaps at this size have no rows.
+NONE_FOUND = {"missing_months", "duplicate_keys", "evidence_top_n"}
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF_SMOKE)
-    assert df.count() >= 0 and len(df.columns) > 0
+    assert len(df.columns) > 0 and (df.count() > 0 or name in NONE_FOUND)

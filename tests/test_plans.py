@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as E
+from panelforge.plans.oracle import ORACLE
+from panelforge.plans.queries import REGISTRY
 
 from .conftest import SF_CHECK
 
@@ -14,7 +15,7 @@ def plan(df) -> str:
 
 
 def test_region_rollup_pushes_filters_and_prunes_columns(spark):
-    p = plan(E.queries()["region_rollup"](spark, SF_CHECK))
+    p = plan(REGISTRY["region_rollup"](spark, SF_CHECK))
     assert "PushedFilters: [IsNotNull(o_orderpriority), IsNotNull(o_orderdate), " \
            "EqualTo(o_orderpriority,1-URGENT)" in p
     import re
@@ -25,32 +26,47 @@ def test_region_rollup_pushes_filters_and_prunes_columns(spark):
 
 
 def test_group_dimension_is_broadcast(spark):
-    p = plan(E.queries()["camp_monthly"](spark, SF_CHECK))
+    p = plan(REGISTRY["camp_monthly"](spark, SF_CHECK))
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
 
 
 def test_region_metrics_window_is_partitioned(spark):
-    p = plan(E.queries()["panel_metrics_by_region"](spark, SF_CHECK))
+    p = plan(REGISTRY["panel_metrics_by_region"](spark, SF_CHECK))
     assert "SinglePartition" not in p and "hashpartitioning(r_name" in p
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_python_udf_nodes(spark, name):
-    p = plan(E.queries()[name](spark, SF_CHECK))
+    p = plan(REGISTRY[name](spark, SF_CHECK))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
         assert node not in p, (name, node)
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(ORACLE) == set(REGISTRY)
 
 
 def test_evidence_ranking_limits_before_the_shuffle(spark):
-    p = plan(E.queries()["evidence_top_n"](spark, SF_CHECK))
+    p = plan(REGISTRY["evidence_top_n"](spark, SF_CHECK))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
 def test_blocked_cumsum_reuses_its_shuffle(spark):
-    df = E.queries()["cumulative_blocked"](spark, SF_CHECK)
+    df = REGISTRY["cumulative_blocked"](spark, SF_CHECK)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return plan(df)
+
+
+def test_orphan_counts_read_each_table_once_for_each_role(spark):
+    p = final_plan(REGISTRY["fk_orphans"](spark, SF_CHECK)).split("Initial Plan")[0]
+    assert p.count("lineitem.parquet") == 1
+
+
+def test_running_sum_has_no_window_over_all_blocks(spark):
+    p = plan(REGISTRY["cumulative_blocked"](spark, SF_CHECK))
+    assert p.count("SinglePartition") <= 2 and "hashpartitioning(__sup" in p

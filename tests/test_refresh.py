@@ -76,6 +76,33 @@ def test_anchor_self_check(spark, tmp):
     bad.anchors = {"2019-01": {**good["2019-01"], "telco": telco + 1}}
     out = refresh(spark, live, bad)
     assert out["status"] == "failed" and out["step"] == "metrics" and len(out["detail"]) == 1
+    # nothing was written, so the next try meets the same gate
+    assert not os.path.exists(os.path.join(bad.warehouse, "fact_subscriptions_monthly"))
+    assert refresh(spark, live, bad)["status"] == "failed"
+
+
+def test_an_interrupted_commit_is_not_unchanged(spark, tmp):
+    c = cfg(tmp, FX.write_frozen(os.path.join(tmp, "src", "b.csv")))
+    live = FX.write_live(os.path.join(tmp, "in", "a.csv"))
+    assert refresh(spark, live, c, run_id="first")["status"] == "published"
+    ledger.append(spark, c.ledger_path, "lost", "commit", "started")
+    assert refresh(spark, live, c, run_id="again")["status"] == "published"
+    assert refresh(spark, live, c)["status"] == "unchanged"
+
+
+def test_landing_stream_keeps_its_place_on_default_settings(spark, tmp):
+    c = cfg(tmp, FX.write_frozen(os.path.join(tmp, "src", "b.csv")))
+    land = os.path.join(tmp, "landing")
+    os.makedirs(land)
+    FX.write_live(os.path.join(land, "snap-2026-04.csv"))
+    landing_stream(spark, land, c).awaitTermination(300)
+    before = {tuple(r) for r in ledger.read(spark, c.ledger_path).collect()}
+    landing_stream(spark, land, c).awaitTermination(300)
+    assert {tuple(r) for r in ledger.read(spark, c.ledger_path).collect()} == before and before
+    FX.write_live(os.path.join(land, "snap-2026-05.csv"), rows=[FX.live_row(2026, 5)] + FX.live_rows())
+    landing_stream(spark, land, c).awaitTermination(300)
+    done = [r for r in ledger.read(spark, c.ledger_path).collect() if r.step == "done"]
+    assert sorted(r.status for r in done) == ["published", "published"]
 
 
 def test_missing_staged_file_fails_at_contracts(spark, tmp):

@@ -119,3 +119,24 @@ def test_scale_conf_sizes_partitions():
     assert int(big["spark.sql.shuffle.partitions"]) == 819200        # 100 TB / 128 MB
     small = scale_conf(10 << 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 24          # 3 waves of 8 cores
+
+
+def test_a_bracket_that_misses_the_middle_raises(spark):
+    v = spark.createDataFrame([("g", float(x)) for x in range(9)], "g string, __v double")
+    n = "g string, __n long, __lo double, __hi double"
+    good = X.median_in_bracket(v, spark.createDataFrame([("g", 9, 3.0, 5.0)], n), ["g"]).collect()
+    assert good[0].median == 4.0
+    for lo, hi in ((5.0, 8.0), (0.0, 3.0)):
+        with pytest.raises(Exception, match="bracket"):
+            X.median_in_bracket(v, spark.createDataFrame([("g", 9, lo, hi)], n), ["g"]).collect()
+
+
+def test_blocked_cumsum_over_several_super_blocks(spark, monkeypatch):
+    monkeypatch.setattr(X, "SUPER", 3)
+    rows = [(i, None if i < 7 or i % 5 == 0 else i) for i in range(60)]
+    got = {r.k: r.c for r in X.blocked_cumsum(spark.createDataFrame(rows, "k long, v long"), "k", "v", "c", 4).collect()}
+    total, want = None, {}
+    for k, x in rows:
+        total = total if x is None else (total or 0) + x
+        want[k] = total
+    assert got == want

@@ -149,3 +149,10 @@ def test_load_refuses_records_that_break_the_schema(spark, tmp):
                 (dt.date(2020, 1, 1), "ADSL", -1, "x")]:
         with pytest.raises(W.BadRecords):
             W.load_star(spark, tmp + "/wh", spark.createDataFrame([row], schema), S.BROADBAND)
+
+
+def test_row_text_tells_rows_apart(spark):
+    def mark(*row):
+        return FP.unordered_fingerprint(spark.createDataFrame([row], "x string, y string"), ["x", "y"], "md5").first().hash_sum
+    rows = [("a|", "b"), ("a", "|b"), ("\\N", "b"), (None, "b"), ("a\\", "b"), ("a\\|", "b"), ("a\n", "b")]
+    assert len({mark(*r) for r in rows}) == len(rows)
