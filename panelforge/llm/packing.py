@@ -182,6 +182,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     left = staged.where("is_open")
     tokens = left.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-tokens // MERGE_TOKENS))
-    spread = left.repartition(tasks, F.xxhash64("doc_id", "start", "sequence_id"))
+    # in a fixed order, so that a task that is run again after a loss cuts the same sequences
+    spread = left.repartition(tasks, F.xxhash64("doc_id", "start", "sequence_id")).sortWithinPartitions(
+        "sequence_id", "doc_id", "start", "ids")
     names = [n for n, _ in FIELDS]
     return staged.where("not is_open").select(*names).unionByName(spread.select(*names).mapInArrow(merge, PIECES))
