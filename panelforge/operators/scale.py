@@ -127,14 +127,19 @@ def median_in_bracket(values: DataFrame, bracket: DataFrame, keys, out: str = "m
     """Pass 2 of :func:`exact_median`.
 
     ``values`` has ``keys`` + ``__v``; ``bracket`` has ``keys`` + ``__n`` (the
-    count of non-NULL values), ``__lo``, ``__hi``. One histogram aggregate: a
+    count of non-NULL values), ``__lo``, ``__hi``; without keys it is one row,
+    read as a scalar, and the result is one row. One histogram aggregate: a
     single flagged row carries the count below the bracket and sorts first;
     values above the bracket are dropped; the two middle ranks are read off. A
     bracket that does not hold both of them (a sketch beyond its error bound)
     raises an error instead of giving a wrong value.
     """
     keys = list(keys)
-    j = values.join(bracket, keys, "inner")
+    if keys:
+        j = values.join(bracket, keys, "inner")
+    else:
+        one = bracket.select(F.struct("__n", "__lo", "__hi")).scalar()
+        j = values.select("__v", one.alias("__one")).select("__v", "__one.*")
     is_below = F.col("__v") < F.col("__lo")
     h = (j.where(F.col("__v") <= F.col("__hi"))
          .groupBy(*keys, is_below.alias("__b"), F.when(~is_below, F.col("__v")).alias("__x"))
@@ -152,6 +157,8 @@ def median_in_bracket(values: DataFrame, bracket: DataFrame, keys, out: str = "m
     )
     middle = F.when(F.col("__above") & F.col("__within"), (F.col("__x1") + F.col("__x2")) / 2).otherwise(
         F.raise_error(F.lit("the median bracket does not hold the middle ranks")).cast("double"))
+    if not keys:                            # NULL when there was no value at all
+        middle = F.when(F.col("__above").isNotNull(), middle)
     return g.select(*keys, middle.alias(out))
 
 
@@ -169,20 +176,12 @@ def exact_median(df: DataFrame, groups, value: str, out: str = "median",
     that small histogram. Exact, including ties and infinities; NULLs are
     ignored. With no groups the result is one row (NULL for empty input).
     """
-    keys = list(groups) or ["__g"]
-    v = df.where(F.col(value).isNotNull())
-    v = (v.select(*keys, F.col(value).cast("double").alias("__v")) if groups
-         else v.select(F.lit(0).alias("__g"), F.col(value).cast("double").alias("__v")))
+    keys = list(groups)
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     pass1 = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
                                  median_bracket(F.col("__v"), accuracy).alias("__q"))
-    pass1 = pass1.select(*keys, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
-    # one row per group; with no groups it is exactly one row, so broadcast it
-    bracket = pass1 if groups else bounded_broadcast(pass1, 1)
-    res = median_in_bracket(v, bracket, keys, out)
-    if groups:
-        return res
-    # global: fold to exactly one row (NULL when there was no value at all)
-    return res.agg(F.max(out).alias(out))
+    bracket = pass1.select(*keys, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
+    return median_in_bracket(v, bracket, keys, out)
 
 
 def sample_stats(df: DataFrame, groups, value: str) -> DataFrame:

@@ -4,10 +4,10 @@
 are long records ``(ym, tech_code, accounts, source, *dims)``.
 
 * The expected overlap keys are the months both sources cover (U1) times the
-  comparable codes, generated by ``explode`` of the fixed code list (no cross
-  join). Both sides are left-joined onto them, so a key missing on either side
-  is reported instead of silently dropped (T1), and duplicate keys are counted
-  instead of fanning out.
+  comparable codes. Both sources are grouped by month in one aggregate with one
+  value per side and code, so a key missing on either side is reported instead
+  of silently dropped (T1), and duplicate keys are counted instead of fanning
+  out. There is no join.
 * The verdict ``median(pct) > threshold`` is decided from counts (one partial
   aggregate, no values held in memory): with n values and k above the
   threshold the median is above it iff k > n/2, except when n is even and
@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import pct_diff
-from .joins import bounded_broadcast
 from .scale import exact_median, median_bracket, median_in_bracket
 
 KEY = ["ym", "tech_code"]
@@ -40,28 +39,32 @@ def overlap_detail(a: DataFrame, b: DataFrame, comparable, dims=()) -> DataFrame
     ``v_a``, ``v_b``, ``delta = v_a - v_b``, ``pct`` (denominator ``v_a``),
     ``status`` ∈ {both, missing_a, missing_b, missing_both},
     ``n_a``/``n_b`` = how many rows each side has for the key (1 when clean).
-    """
-    periods = overlap_periods(a, b, dims)
-    expected = periods.select(*dims, "ym", F.explode(F.array(*[F.lit(c) for c in comparable])).alias("tech_code"))
-    keys = [*dims, *KEY]
-
-    def side(df: DataFrame, v: str, n: str) -> DataFrame:
-        return (df.filter(F.col("tech_code").isin(*comparable))
-                .groupBy(*keys).agg(F.max("accounts").alias(v), F.count(F.lit(1)).alias(n)))
 
-    j = expected.join(side(a, "v_a", "n_a"), keys, "left").join(side(b, "v_b", "n_b"), keys, "left")
+    One pass: the union of both sources, tagged by side, is grouped by month
+    with one value and count per side and code; months that only one side has
+    are left out (U1), and the rest become one row per code.
+    """
+    keep = [*dims, *KEY, "accounts"]
+    tagged = a.select(*keep, F.lit(True).alias("__a")).unionByName(b.select(*keep, F.lit(False).alias("__a")))
+    aggs = [F.count_if("__a").alias("__in_a"), F.count_if(~F.col("__a")).alias("__in_b")]
+    for i, code in enumerate(comparable):
+        hit = (F.col("tech_code") == code) & F.col("ym").isNotNull()     # a null month matches no month
+        for side, here in (("a", hit & F.col("__a")), ("b", hit & ~F.col("__a"))):
+            aggs += [F.max(F.when(here, F.col("accounts"))).alias(f"__v_{side}{i}"), F.count_if(here).alias(f"__n_{side}{i}")]
+    months = tagged.groupBy(*dims, "ym").agg(*aggs).where("__in_a > 0 and __in_b > 0")
+    per_code = F.array(*[F.struct(F.lit(code).alias("tech_code"), *[F.col(f"__{x}{i}").alias(x) for x in ("v_a", "v_b", "n_a", "n_b")])
+                         for i, code in enumerate(comparable)])
+    j = months.select(*dims, "ym", F.inline(per_code))
     # a key whose only values are NULL (unparsed) counts as missing on that side
     status = (F.when(F.col("v_a").isNull() & F.col("v_b").isNull(), "missing_both")
               .when(F.col("v_a").isNull(), "missing_a")
               .when(F.col("v_b").isNull(), "missing_b")
               .otherwise("both"))
     return j.select(
-        *keys, "v_a", "v_b",
+        *dims, *KEY, "v_a", "v_b",
         (F.col("v_a") - F.col("v_b")).alias("delta"),
         F.when(status == "both", pct_diff(F.col("v_a"), F.col("v_b"))).alias("pct"),
-        status.alias("status"),
-        F.coalesce(F.col("n_a"), F.lit(0)).alias("n_a"),
-        F.coalesce(F.col("n_b"), F.lit(0)).alias("n_b"),
+        status.alias("status"), "n_a", "n_b",
     )
 
 
@@ -131,11 +134,10 @@ def splice_verdict(detail: DataFrame, threshold_pct: float) -> DataFrame:
               .when(n == 0, "no_overlap")
               .when(above, "median_above_threshold")
               .otherwise("median_within_threshold"))
-    bracket = bounded_broadcast(a.select(F.lit(0).alias("__g"), F.col("n_pairs").alias("__n"),
-                                         F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi")), 1)
-    values = detail.where(both).select(F.lit(0).alias("__g"), F.col("pct").cast("double").alias("__v"))
-    med = median_in_bracket(values, bracket, ["__g"], "median_pct").select("median_pct")
-    a = one_row(a.drop("__q"), med)
+    bracket = a.select(F.col("n_pairs").alias("__n"), F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
+    # Both sides have a row wherever both have a value; reading the same columns as above lets both passes share one shuffle.
+    values = detail.where(both & (F.col("n_a") > 0) & (F.col("n_b") > 0)).select(F.col("pct").cast("double").alias("__v"))
+    a = one_row(a.drop("__q"), median_in_bracket(values, bracket, [], "median_pct"))
     return a.select(
         "n_pairs", "n_missing", "n_dup_keys", "median_pct", "max_pct", "n_exact",
         verdict.alias("verdict"), reason.alias("reason"),

@@ -136,7 +136,7 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, keys, partition_by:
     if not touched:
         return []
     if not exists(spark, path):
-        batch.repartition(partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        batch.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
         return touched
     # The batch's own types: Spark would infer a partition '01' as 1.
     old = spark.read.schema(batch.schema).parquet(path)
@@ -146,9 +146,10 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, keys, partition_by:
     merged = merge_frames(near.select(*batch.columns), batch, keys, policy)
     stage = staging_path(spark, os.path.basename(path.rstrip("/")))
     try:
-        merged.write.mode("overwrite").partitionBy(partition_by).parquet(stage)
+        merged.write.mode("overwrite").parquet(stage)
         staged = spark.read.schema(batch.schema).parquet(stage)
-        (staged.repartition(partition_by).write.mode("overwrite")
+        # rows of one partition together, and a partition that is too large for one task over several
+        (staged.hint("rebalance", partition_by).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
         if gone:
             left = {r[0] for r in staged.where(F.col(partition_by).isin([*gone])).select(partition_by).distinct().collect()}

@@ -294,11 +294,19 @@ _FK = [
     ("supplier", "s_nationkey", "nation", "n_nationkey"),
     ("nation", "n_regionkey", "region", "r_regionkey"),
 ]
-ORACLE["fk_orphans"] = "\nUNION ALL\n".join(
-    f"""SELECT '{c}.{ck}->{p}.{pk}' AS relation, CAST(COUNT(*) AS BIGINT) AS n_child,
+_FK_SPARSE = [("orders", "o_orderkey", "lineitem", "l_orderkey"), ("labels", "doc_id", "pages", "page_id")]
+
+
+def _orphans(relations) -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{c}.{ck}->{p}.{pk}' AS relation, CAST(COUNT(*) AS BIGINT) AS n_child,
        CAST(count_if(k.{pk} IS NULL) AS BIGINT) AS n_orphans
 FROM {c} LEFT JOIN (SELECT DISTINCT {pk} FROM {p}) k ON {c}.{ck} = k.{pk}"""
-    for c, ck, p, pk in _FK)
+        for c, ck, p, pk in relations)
+
+
+ORACLE["fk_orphans"] = _orphans(_FK)
+ORACLE["fk_orphans_sparse"] = _orphans(_FK_SPARSE)
 
 
 def _rules(table: str, rules: list[tuple[str, str]]) -> str:
@@ -320,6 +328,13 @@ _o_cte, _o_sel = _rules("orders", [
     ("o_month_1_12", "NOT (month(o_orderdate) BETWEEN 1 AND 12)")])
 ORACLE["domain_violations"] = with_(_li_cte, _o_cte) + _li_sel + "\nUNION ALL " + _o_sel
 
+_li_cte, _li_sel = _rules("lineitem", [
+    ("l_quantity_le_45", "l_quantity > 45"), ("l_extendedprice_ge_1000", "l_extendedprice < 1000"),
+    ("l_linenumber_1_6", "NOT (l_linenumber BETWEEN 1 AND 6)")])
+_o_cte, _o_sel = _rules("orders", [
+    ("o_totalprice_ge_10000", "o_totalprice < 10000"), ("o_orderstatus_closed", "NOT (o_orderstatus IN ('F', 'O'))")])
+ORACLE["domain_violations_found"] = with_(_li_cte, _o_cte) + _li_sel + "\nUNION ALL " + _o_sel
+
 ORACLE["cell_completeness"] = with_(PANEL) + """
 SELECT strftime(ym, '%Y-%m') AS ym, CAST(COUNT(DISTINCT tech_code) AS BIGINT) AS n_codes,
        COUNT(DISTINCT tech_code) = 5 AS complete
@@ -373,13 +388,41 @@ SELECT strftime(ym, '%Y-%m') AS ym FROM (SELECT DISTINCT ym FROM la INTERSECT SE
 ORACLE["overlap_detail"] = with_(PANEL, SOURCES, DETAIL) + """
 SELECT strftime(ym, '%Y-%m') AS ym, tech_code, v_a, v_b, delta, pct, status, n_a, n_b FROM d"""
 
-ORACLE["overlap_stats"] = with_(PANEL, SOURCES, DETAIL) + """
+STATS = """
 SELECT 'ALL' AS tech_code, CAST(COUNT(pct) AS BIGINT) AS n_pairs, CAST(median(pct) AS DOUBLE) AS median_pct,
        MAX(pct) AS max_pct, CAST(count_if(delta = 0) AS BIGINT) AS n_exact FROM d WHERE status = 'both'
 UNION ALL
 SELECT tech_code, CAST(COUNT(pct) AS BIGINT), CAST(median(pct) AS DOUBLE), MAX(pct), CAST(count_if(delta = 0) AS BIGINT)
 FROM d WHERE status = 'both' GROUP BY tech_code"""
 
+LINES = """pl AS (
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ym, o_orderpriority AS tech_code, CAST(COUNT(*) AS BIGINT) AS accounts
+  FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1, 2),
+la AS (SELECT ym, tech_code, accounts FROM p WHERE ym >= DATE '1997-01-01'),
+lb AS (SELECT ym, tech_code, accounts FROM pl WHERE ym <= DATE '1998-08-01')"""
+
+ORACLE["overlap_stats"] = with_(PANEL, SOURCES, DETAIL) + STATS
+ORACLE["overlap_stats_lines"] = with_(PANEL, LINES, DETAIL) + STATS
+ORACLE["splice_verdict_lines"] = with_(PANEL, LINES, DETAIL, VERDICT)
+
+ORACLE["overlap_detail_by_nation"] = """WITH f AS (
+  SELECT n_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS ym, o_orderpriority AS code,
+         o_orderkey IN (SELECT l_orderkey FROM lineitem) AS lined
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-09-01'),
+m AS (SELECT n_name, ym FROM f GROUP BY ALL HAVING bool_or(lined)),
+w AS (
+  SELECT m.n_name, m.ym, c.code AS tech_code,
+         CAST(nullif(COUNT(f.code), 0) AS BIGINT) AS v_a, CAST(nullif(COUNT(f.code) FILTER (f.lined), 0) AS BIGINT) AS v_b
+  FROM m CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) c(code)
+  LEFT JOIN f ON f.n_name = m.n_name AND f.ym = m.ym AND f.code = c.code
+  GROUP BY ALL)
+SELECT n_name, strftime(ym, '%Y-%m') AS ym, tech_code, v_a, v_b, v_a - v_b AS delta,
+       abs(CAST(v_a AS DOUBLE) - v_b) / v_a * 100 AS pct,
+       CASE WHEN v_b IS NOT NULL THEN 'both' WHEN v_a IS NOT NULL THEN 'missing_b' ELSE 'missing_both' END AS status,
+       CAST(v_a IS NOT NULL AS BIGINT) AS n_a, CAST(v_b IS NOT NULL AS BIGINT) AS n_b
+FROM w"""
+
 ORACLE["splice_verdict"] = with_(PANEL, SOURCES, DETAIL, VERDICT)
 ORACLE["splice_verdict_perturbed"] = with_(PANEL, SOURCES_PERTURBED, DETAIL, VERDICT)
 

@@ -114,6 +114,34 @@ def orders_panel_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("accounts"))
 
 
+def orders_with_lines(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Orders that have a line: a second account of the same facts, which differs where lines are missing.
+
+    The lines' keys are made distinct before the shuffle, so an order with many lines is one row of the join.
+    """
+    lines = read_table(spark, sf_dir, "lineitem", "l_orderkey").distinct()
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", *cols)
+    return o.join(lines, o.o_orderkey == lines.l_orderkey, "left_semi")
+
+
+def lines_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long panel ``(ym, tech_code, accounts)`` of the orders that have a line."""
+    o = orders_with_lines(spark, sf_dir, "o_orderdate", "o_orderpriority")
+    return o.groupBy(month_of(F.col("o_orderdate")).alias("ym"), F.col("o_orderpriority").alias("tech_code")).agg(
+        F.count(F.lit(1)).alias("accounts"))
+
+
+def nation_panel(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Long panel by nation: so fine that months and codes are missing. Orders are counted by customer before the join."""
+    month, code = month_of(F.col("o_orderdate")).alias("ym"), F.col("o_orderpriority").alias("tech_code")
+    o = orders.groupBy("o_custkey", month, code).agg(F.count(F.lit(1)).alias("n"))
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    geo = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name")
+    return o.join(geo, o.o_custkey == geo.c_custkey).groupBy("n_name", "ym", "tech_code").agg(
+        F.sum("n").cast("bigint").alias("accounts"))
+
+
 def live_source(panel: DataFrame) -> DataFrame:
     return panel.filter(F.col("ym") >= F.lit(LIVE_FROM)).withColumn("source", F.lit(SRC_LIVE))
 

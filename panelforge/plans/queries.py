@@ -202,6 +202,41 @@ def fk_orphans(spark, sf_dir):
     return orphan_counts(lambda t, *cols: read_table(spark, sf_dir, t, *cols), FK_RELATIONS)
 
 
+SPARSE_RELATIONS = [
+    ("orders", "o_orderkey", "lineitem", "l_orderkey"),
+    ("labels", "doc_id", "pages", "page_id"),
+]
+
+
+@register("fk_orphans_sparse")
+def fk_orphans_sparse(spark, sf_dir):
+    """Relations that do not hold for all rows: orders without lines, labels without a page."""
+    from ..operators.contracts import orphan_counts
+    from ..sources.tables import read_table
+    return orphan_counts(lambda t, *cols: read_table(spark, sf_dir, t, *cols), SPARSE_RELATIONS)
+
+
+@register("domain_violations_found")
+def domain_violations_found(spark, sf_dir):
+    """Rules that some lines and orders break."""
+    from pyspark.sql import functions as F
+
+    from ..operators.contracts import violation_counts
+    from ..sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
+    a = violation_counts(li, {
+        "l_quantity_le_45": F.col("l_quantity") > 45,
+        "l_extendedprice_ge_1000": F.col("l_extendedprice") < 1000,
+        "l_linenumber_1_6": ~F.col("l_linenumber").between(1, 6),
+    })
+    o = read_table(spark, sf_dir, "orders", "o_totalprice", "o_orderstatus")
+    b = violation_counts(o, {
+        "o_totalprice_ge_10000": F.col("o_totalprice") < 10000,
+        "o_orderstatus_closed": ~F.col("o_orderstatus").isin("F", "O"),
+    })
+    return a.select(F.lit("lineitem").alias("table"), "*").unionByName(b.select(F.lit("orders").alias("table"), "*"))
+
+
 @register("domain_violations")
 def domain_violations(spark, sf_dir):
     """One aggregation pass per table, one count per rule."""
@@ -250,6 +285,19 @@ def _sources(spark, sf_dir):
     return P.live_source(panel), P.legacy_source(panel)
 
 
+def _differing(spark, sf_dir):
+    """The live source over all orders, and a legacy one over the orders that have lines."""
+    return P.live_source(P.orders_panel(spark, sf_dir)), P.legacy_source(P.lines_panel(spark, sf_dir))
+
+
+def _overlap_stats(detail):
+    from pyspark.sql import functions as F
+
+    from ..operators.splice import overlap_stats
+    overall = overlap_stats(detail).select(F.lit("ALL").alias("tech_code"), "*")
+    return overall.unionByName(overlap_stats(detail, ["tech_code"]))
+
+
 def _perturbed(b):
     """Failing variant: legacy counts inflated by ceil(6 %), so the median diff > 5 %."""
     from pyspark.sql import functions as F
@@ -284,13 +332,36 @@ def overlap_detail_q(spark, sf_dir):
 @register("overlap_stats")
 def overlap_stats_q(spark, sf_dir):
     """Median / max / exact count of pct, overall ('ALL') and per code."""
-    from pyspark.sql import functions as F
-
-    from ..operators.splice import overlap_detail, overlap_stats
+    from ..operators.splice import overlap_detail
     a, b = _sources(spark, sf_dir)
-    d = overlap_detail(a, b, S.comparable)
-    overall = overlap_stats(d).select(F.lit("ALL").alias("tech_code"), "*")
-    return overall.unionByName(overlap_stats(d, ["tech_code"]))
+    return _overlap_stats(overlap_detail(a, b, S.comparable))
+
+
+@register("overlap_stats_lines")
+def overlap_stats_lines(spark, sf_dir):
+    """K2 G6 G7 where the sources differ: all orders against the orders that have lines."""
+    from ..operators.splice import overlap_detail
+    a, b = _differing(spark, sf_dir)
+    return _overlap_stats(overlap_detail(a, b, S.comparable))
+
+
+@register("splice_verdict_lines")
+def splice_verdict_lines(spark, sf_dir):
+    """K3 where the sources differ: all orders against the orders that have lines."""
+    from ..operators.splice import overlap_detail, splice_verdict
+    a, b = _differing(spark, sf_dir)
+    return splice_verdict(overlap_detail(a, b, S.comparable), S.threshold_pct)
+
+
+@register("overlap_detail_by_nation")
+def overlap_detail_by_nation(spark, sf_dir):
+    """K1 T1 by nation, where keys are missing on one side or on both."""
+    from ..operators.splice import overlap_detail
+    from ..sources.tables import read_table
+    cols = ("o_custkey", "o_orderdate", "o_orderpriority")
+    a = P.nation_panel(spark, sf_dir, read_table(spark, sf_dir, "orders", *cols))
+    b = P.nation_panel(spark, sf_dir, P.orders_with_lines(spark, sf_dir, *cols))
+    return _txt_ym(overlap_detail(P.live_source(a), P.legacy_source(b), S.comparable, ["n_name"]), "ym")
 
 
 @register("splice_verdict")
