@@ -37,11 +37,9 @@ BLOCK = 4096
 
 
 def count_words(text: Column) -> Column:
-    """Words of a text: a word starts at each character after white space or at the start."""
-    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), WORD_SPACE, " " * len(WORD_SPACE)))
-    squeezed = F.regexp_replace(flat, "  +", " ")
-    return F.when(flat == "", 0).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1
-                                           ).cast("long")
+    """Words of a text: white space and the word after it become one character each; what white space is left ends the text."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "x")
+    return F.length(F.rtrim(marks, F.lit(WORD_SPACE))).cast("long")
 
 
 def source_totals(docs: DataFrame) -> DataFrame:

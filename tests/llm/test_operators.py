@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import common, components, language_id, line_dedup, mixing, nn_descent, packing, pii, quality, reputation, simhash, substring
 from panelforge.llm.tokens import WordTokenizer, public_vocabulary
@@ -201,6 +202,13 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in parent)
 
 
+def test_words_are_counted_as_split_does(spark):
+    texts = [None, "", " ", "a", " a ", "a b", "\ta\n\nb \x0b\x0c\rc\n", "x " * 5000, "\u00a0a\u3000b c", "\U0001f600 \U0001f600", "\n\n", "a\x1cb c"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.n for r in df.select(mixing.count_words(F.col("text")).alias("n")).collect()]
+    assert got == [len((t or "").encode().split()) for t in texts]
+
+
 def test_mixing(spark, docs, none):
     table = [(i, prose(i, 20), "big" if i < 300 else f"s{i % 3}") for i in range(360)]
     df = spark.createDataFrame(table, "doc_id long, text string, source string")
