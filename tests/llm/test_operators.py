@@ -261,6 +261,11 @@ def test_chain_is_the_best_one():
         assert abs(got - max(score)) < 1e-9
 
 
+def test_chain_goes_on_behind_a_gap_too_wide():
+    at = np.array([*range(0, 52, 6), *range(180, 232, 6)])
+    assert sorted(c.tolist() for c in substring.chain(at, at, least=2)) == [list(range(9)), list(range(9, 18))]
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
