@@ -6,9 +6,11 @@ the nodes by a sign code; nodes in a window of the order are compared) and is
 refined by local joins: all who have or are a neighbour of a node meet at that
 node, are compared there, and pairs better than a member's list enter it. A list
 is saturated if all its entries are links (cosine >= ``threshold``): it may hold
-too few. Such lists are enlarged without limit: the nodes of a saturated node's
-component are compared in blocks, and each node's links are counted there; pairs
-are never listed. An audit compares a bounded random set of nodes with all
+too few. Such lists are enlarged without limit: saturated nodes of different
+components are compared in the tables' windows again, which joins components that
+links cut from full lists connect; then the nodes of a saturated node's component
+are compared in blocks, and each node's links are counted there; pairs are never
+listed. An audit compares a bounded random set of nodes with all
 others; while the recall of links is below ``recall``, more tables are added.
 
 What meets in one task is bounded: windows and blocks have fixed sizes, a node
@@ -45,6 +47,8 @@ SPAN = 64
 CHUNK = 64
 #: Best partners of a node that a window or a local join hands on.
 HANDED = 4
+#: Nodes of a component that stand for it among other components in a table's order, about.
+FEW = 8
 #: Nodes of a block where saturated lists are enlarged.
 BLOCK = 512
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
@@ -66,20 +70,26 @@ def valid(vec: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, floor: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of ``sims`` the best HANDED other columns above ``floor``, as edges."""
+def _best(sims: np.ndarray, ids: np.ndarray, k: int, threshold: float, floor: np.ndarray | float = -2.0,
+          roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``sims`` the best HANDED other columns above ``floor`` (k of them, as a list holds, if they
+    are links), as edges; with ``roots`` only columns of another root."""
     n = len(ids)
     sims = sims.copy()
     np.fill_diagonal(sims, -9.0)
-    m = min(HANDED, n - 1)
+    if roots is not None:
+        sims[roots[:, None] == roots[None, :]] = -9.0
+    m = min(max(k, HANDED), n - 1)
     if m < 1:
         return ids[:0], ids[:0], np.zeros(0)
     cols = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-    rows = np.repeat(np.arange(n), m)
-    cols = cols.ravel()
-    value = sims[rows, cols]
-    good = value > (floor[rows] if isinstance(floor, np.ndarray) else floor)
-    return ids[rows[good]], ids[cols[good]], value[good]
+    value = np.take_along_axis(sims, cols, axis=1)
+    order = np.argsort(-value, axis=1)
+    cols, value = np.take_along_axis(cols, order, axis=1), np.take_along_axis(value, order, axis=1)
+    low = floor[:, None] if isinstance(floor, np.ndarray) else floor
+    good = (value > low) & ((np.arange(m) < HANDED) | (value >= threshold))
+    rows, at = np.nonzero(good)
+    return ids[rows], ids[cols[rows, at]], value[rows, at]
 
 
 def _edges(parts: list[tuple]) -> pa.RecordBatch:
@@ -87,8 +97,11 @@ def _edges(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=EDGE)
 
 
-def _first_edges(nodes: DataFrame, tables: range, seed: int) -> DataFrame:
-    """Edges from the windows of each table's order."""
+def _first_edges(nodes: DataFrame, tables: range, seed: int, k: int, threshold: float) -> DataFrame:
+    """Edges from the windows of each table's order; if ``nodes`` have roots, links between different roots only,
+    also from windows of at most about FEW nodes of each root.
+    """
+    apart = "root" in nodes.columns
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -104,7 +117,8 @@ def _first_edges(nodes: DataFrame, tables: range, seed: int) -> DataFrame:
                 value = np.array(code) @ (1 << np.arange(CODE_BITS)[::-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(unit), t, np.int32)), pa.array([len(x) for x in unit], pa.int32()),
-                     pa.array(value.astype(np.int64)), batch.column(0), batch.column(1)], names=["t", "dim", "code", "node", "vec"])
+                     pa.array(value.astype(np.int64)), batch.column(0), batch.column(1), batch.column(2)],
+                    names=["t", "dim", "code", "node", "vec", "root"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -112,11 +126,13 @@ def _first_edges(nodes: DataFrame, tables: range, seed: int) -> DataFrame:
         def compare(group: list[tuple]) -> tuple:
             ids = np.array([g[2] for g in group])
             x = np.stack([g[3] for g in group])
-            return _best(x @ x.T, ids)
+            if apart:
+                return _best(x @ x.T, ids, HANDED, threshold, np.nextafter(threshold, -2.0), np.array([g[4] for g in group]))
+            return _best(x @ x.T, ids, k, threshold)
 
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(),
-                            _matrix(batch.column(4)), strict=True))
+                            _matrix(batch.column(4)), batch.column(5).to_pylist(), strict=True))
             out = []
             for row in rows:
                 if held and row[:2] != held[-1][:2]:
@@ -132,18 +148,25 @@ def _first_edges(nodes: DataFrame, tables: range, seed: int) -> DataFrame:
             yield _edges([compare(held)])
 
     kind = nodes.schema["vec"].dataType.simpleString()
-    coded = nodes.select("node", "vec").mapInArrow(codes, f"t int, dim int, code long, node long, vec {kind}")
+    root = F.col("root" if apart else "node").alias("root")
+    coded = nodes.select("node", "vec", root).mapInArrow(codes, f"t int, dim int, code long, node long, vec {kind}, root long")
+    if apart:
+        sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FEW)
+        some = coded.join(sizes, "root", "left").where(
+            F.col("size").isNull() | (F.pmod(F.xxhash64(F.lit("few"), "t", "node"), "size") < FEW))
+        coded = coded.unionByName(some.select((-1 - F.col("t")).alias("t"), "dim", "code", "node", "vec", "root"))
     order = ["t", "dim", "code", "node"]
     return coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(windows, EDGE_SQL)
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best entries of each list; pairs found twice count once."""
-    rank = F.dense_rank().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.withColumn("r", rank).where(F.col("r") <= k).dropDuplicates(["u", "v"]).drop("r")
+    """The ``k`` best entries of each list; pairs found twice count once, also if their products differ in the last bit."""
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
+    return once.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def _round(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
+def _round(graph: DataFrame, nodes: DataFrame, k: int, turn: int, threshold: float) -> DataFrame:
     """One local join: edges that are better than the worst entry of a list."""
     worst = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
     floor = F.when(F.col("n") >= k, F.col("low")).otherwise(-2.0)
@@ -161,7 +184,7 @@ def _round(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
 
         def compare() -> tuple:
             ids, x = np.array([h[2] for h in held]), np.stack([h[4] for h in held])
-            return _best(x @ x.T, ids, np.array([h[3] for h in held]))
+            return _best(x @ x.T, ids, k, threshold, np.array([h[3] for h in held]))
 
         for batch in batches:
             out = []
@@ -224,13 +247,10 @@ def _dense_counts(dense: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _counted(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+def _counted(strong: DataFrame, full: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """``node, root, links`` for each node that has a link."""
-    strong = written(graph.where(F.col("sim") >= threshold), "strong-edges")
     both = strong.select("u", "v").unionByName(strong.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    roots = written(components(strong.select("u", "v")), "vector-components")
-    full = strong.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    dense = roots.join(full, F.col("u") == F.col("node")).select("root").distinct().withColumn("dense", F.lit(True))
+    dense = roots.join(full, "node").select("root").distinct().withColumn("dense", F.lit(True))
     marked = roots.join(dense, "root", "left").join(nodes, "node")
     heavy = marked.where("dense").select("root", "node", "n", "vec")
     plain = both.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
@@ -239,6 +259,25 @@ def _counted(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Da
     return roots.join(links, "node", "left").select("node", "root", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _linked(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, tables: range, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``u, v`` of all links in lists and of bridges, ``node`` of saturated lists, and ``node, root``.
+
+    A link can only be cut from the lists if both its nodes are saturated. So saturated nodes of different
+    components are compared again, and links found join the components, until there are none.
+    """
+    strong = written(graph.where(F.col("sim") >= threshold).select("u", "v"), "strong-edges")
+    full = written(strong.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("u").alias("node")), "saturated")
+    while True:
+        roots = written(components(strong), "vector-components")
+        ends = full.join(roots, "node").join(nodes.select("node", "vec"), "node")
+        if ends.select("root").distinct().limit(2).count() < 2:
+            return strong, full, roots
+        bridges = written(_first_edges(ends, tables, seed, k, threshold).select("u", "v").distinct(), "bridges")
+        if bridges.isEmpty():
+            return strong, full, roots
+        strong = strong.unionByName(bridges)
+
+
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int) -> float:
     """Share of the links of ``size`` nodes, taken by hash, that were found; the nodes are compared with all others."""
     asked = nodes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(size).join(counted, "node", "left").select(
@@ -278,11 +317,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     graph = None
     for attempt in range(attempts):
-        edges = _first_edges(nodes, range(attempt * tables, (attempt + 1) * tables), seed)
+        batch = range(attempt * tables, (attempt + 1) * tables)
+        edges = _first_edges(nodes, batch, seed, k, threshold)
         graph = written(_top(edges if graph is None else edges.unionByName(graph), k), "neighbours")
         for turn in range(rounds):
-            graph = written(_top(_round(graph, nodes, k, attempt * rounds + turn).unionByName(graph), k), "neighbours")
-        counted = written(_counted(graph, nodes, k, threshold), "links")
+            graph = written(_top(_round(graph, nodes, k, attempt * rounds + turn, threshold).unionByName(graph), k), "neighbours")
+        counted = written(_counted(*_linked(graph, nodes, k, threshold, batch, seed), nodes, threshold), "links")
         found = audit(nodes.select("node", "n", "vec"), counted, threshold, audited)
         LOG.info("tables %d: recall %.4f", (attempt + 1) * tables, found)
         if found >= recall:

@@ -124,6 +124,24 @@ def test_vectors(spark):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_between_saturated_groups_are_not_lost(spark):
+    common.ready(spark)
+    r = np.random.default_rng(7)
+    dim, x = 64, []
+    for pair in range(3):
+        one, two = np.linalg.qr(r.standard_normal((dim, 2)))[0].T
+        for centre in (one, 0.95 * one + np.sqrt(1 - 0.95 ** 2) * two):
+            for _ in range((14, 40, 90)[pair]):
+                noise = r.standard_normal(dim)
+                x.append(centre + 0.1 * noise / np.linalg.norm(noise))
+    unit = np.array([v / np.linalg.norm(v) for v in x])
+    near = unit @ unit.T >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in nn_descent.near_vectors(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert {got[i].component_id for i in range(len(x))} == {0, 28, 108}
+
+
 def test_pii(spark, docs, none):
     r = random.Random(8)
     parts = ["a.b@c.de", "@", "x@y", "x@y.z@q.r", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "4111 1111 1111 1111", "4111-1111", " ", "-", ".", "+49 (30) 1234567",
