@@ -11,7 +11,8 @@ components are compared in the tables' windows again, which joins components tha
 links cut from full lists connect; then the nodes of a saturated node's component
 are compared in blocks, and each node's links are counted there; pairs are never
 listed. An audit compares a bounded random set of nodes with all
-others; while the recall of links is below ``recall``, more tables are added.
+others; while the recall of links, averaged over nodes, is below ``recall``, more
+tables are added, and if they don't help, the query fails.
 
 What meets in one task is bounded: windows and blocks have fixed sizes, a node
 with many reverse neighbours is split into chunks by a hash that changes each
@@ -27,6 +28,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import logging
 from collections.abc import Iterator
 
@@ -203,7 +205,7 @@ def _round(graph: DataFrame, nodes: DataFrame, k: int, turn: int, threshold: flo
 
 
 def _dense_counts(dense: DataFrame, threshold: float) -> DataFrame:
-    """``node, links``: weights of all linked others in the same component, from ``root, node, n, vec``."""
+    """``node, links, pairs``: weights and number of all linked others in the same component, from ``root, node, n, vec``."""
     sizes = dense.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     spread = dense.join(sizes, "root").withColumn("b", mine)
@@ -213,23 +215,24 @@ def _dense_counts(dense: DataFrame, threshold: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def compare() -> tuple[np.ndarray, np.ndarray]:
+        def compare() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             i, j = held[0][1], held[0][2]
             side = np.array([h[3] for h in held])
             ids, weight, x = np.array([h[4] for h in held]), np.array([h[5] for h in held], np.int64), np.stack([h[6] for h in held])
-            total = np.zeros(len(ids), np.int64)
+            total, pairs = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             if i == j:
                 near = x @ x.T >= threshold
                 np.fill_diagonal(near, False)
-                total = near @ weight
+                total, pairs = near @ weight, near.sum(axis=1)
             else:
                 a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
                 near = x[a] @ x[b].T >= threshold
                 total[a], total[b] = near @ weight[b], near.T @ weight[a]
-            return ids, total
+                pairs[a], pairs[b] = near.sum(axis=1), near.sum(axis=0)
+            return ids, total, pairs
 
         def batch_of(parts: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["node", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["node", "links", "pairs"])
 
         for batch in batches:
             out = []
@@ -243,20 +246,23 @@ def _dense_counts(dense: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield batch_of([compare()])
 
-    parts = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "b", "node").mapInArrow(count, "node long, links long")
-    return parts.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "b", "node").mapInArrow(
+        count, "node long, links long, pairs long")
+    return parts.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
 
 
 def _counted(strong: DataFrame, full: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``node, root, links`` for each node that has a link."""
+    """``node, root, links, pairs`` for each node that has a link: weight and number of its linked nodes."""
     both = strong.select("u", "v").unionByName(strong.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     dense = roots.join(full, "node").select("root").distinct().withColumn("dense", F.lit(True))
     marked = roots.join(dense, "root", "left").join(nodes, "node")
     heavy = marked.where("dense").select("root", "node", "n", "vec")
-    plain = both.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
+    plain = both.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy(F.col("u").alias("node")).agg(
+        F.sum("n").alias("links"), F.count(F.lit(1)).alias("pairs"))
     plain = marked.where("dense is null").select("node").join(plain, "node")
     links = plain.unionByName(_dense_counts(heavy, threshold))
-    return roots.join(links, "node", "left").select("node", "root", F.coalesce("links", F.lit(0)).alias("links"))
+    return roots.join(links, "node", "left").select(
+        "node", "root", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
 def _linked(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, tables: range, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -278,10 +284,14 @@ def _linked(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, tables
         strong = strong.unionByName(bridges)
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int) -> float:
-    """Share of the links of ``size`` nodes, taken by hash, that were found; the nodes are compared with all others."""
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int, k: int) -> float:
+    """Share of linked nodes found, averaged over ``size`` nodes taken by hash, which are compared with all others.
+
+    Copies don't count, and each asked node counts alike; nodes with at most ``k`` links and those with more are
+    averaged apart, and the lower average is returned.
+    """
     asked = nodes.orderBy(F.xxhash64(F.lit("audit"), "node")).limit(size).join(counted, "node", "left").select(
-        "node", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()
+        "node", "vec", F.coalesce("pairs", F.lit(0)).alias("pairs")).collect()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {len(r.vec) for r in asked}:
         rows = [r for r in asked if len(r.vec) == dim]
@@ -290,17 +300,20 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int) ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            weight = batch.column(2).to_numpy()
             for dim, (asked_ids, x) in by_dim.items():
                 at = [i for i, y in enumerate(unit) if len(y) == dim]
                 if at:
                     near = (x @ np.stack([unit[i] for i in at]).T >= threshold) & (asked_ids[:, None] != ids[at][None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids), pa.array(near @ weight[at])], names=["node", "links"])
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids), pa.array(near.sum(axis=1))], names=["node", "pairs"])
 
-    true = {r.node: r.links for r in nodes.select("node", "vec", "n").mapInArrow(compare, "node long, links long").groupBy("node").agg(
-        F.sum("links").alias("links")).collect()}
-    want = sum(true.values())
-    return sum(min(r.links, true.get(r.node, 0)) for r in asked) / want if want else 1.0
+    true = {r.node: r.pairs for r in nodes.select("node", "vec").mapInArrow(compare, "node long, pairs long").groupBy("node").agg(
+        F.sum("pairs").alias("pairs")).collect()}
+    shares: dict[bool, list[float]] = {}
+    for r in asked:
+        want = true.get(r.node, 0)
+        if want:
+            shares.setdefault(want > k, []).append(min(r.pairs, want) / want)
+    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = 10,
@@ -308,25 +321,28 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                  seed: int = 11) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per input row.
 
-    ``rounds`` local joins follow each batch of ``tables`` tables; ``attempts`` batches at most, fewer once the
-    audit of ``audited`` nodes finds ``recall`` of their links.
+    ``rounds`` local joins follow each batch of ``tables`` tables; batches are added until the audit of ``audited``
+    nodes finds ``recall`` of their links. ``attempts`` batches in a row that raise it no further are an error.
     """
     base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     good = base.where(valid(F.col("vec"))).select("*", *row_key("vec"))
     nodes = good.groupBy("_k1", "_k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    graph = None
-    for attempt in range(attempts):
+    graph, best, idle = None, -1.0, 0
+    for attempt in itertools.count():
         batch = range(attempt * tables, (attempt + 1) * tables)
         edges = _first_edges(nodes, batch, seed, k, threshold)
         graph = written(_top(edges if graph is None else edges.unionByName(graph), k), "neighbours")
         for turn in range(rounds):
             graph = written(_top(_round(graph, nodes, k, attempt * rounds + turn, threshold).unionByName(graph), k), "neighbours")
         counted = written(_counted(*_linked(graph, nodes, k, threshold, batch, seed), nodes, threshold), "links")
-        found = audit(nodes.select("node", "n", "vec"), counted, threshold, audited)
+        found = audit(nodes.select("node", "vec"), counted, threshold, audited, k)
         LOG.info("tables %d: recall %.4f", (attempt + 1) * tables, found)
         if found >= recall:
             break
+        best, idle = max(best, found), idle + 1 if found <= best else 0
+        if idle >= attempts:
+            raise RuntimeError(f"recall of links stays at {best:.4f} after {(attempt + 1) * tables} tables, {recall} is asked")
     groups = nodes.join(counted, "node", "left").select(
         "_k1", "_k2", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))

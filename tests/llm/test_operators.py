@@ -142,6 +142,20 @@ def test_links_between_saturated_groups_are_not_lost(spark):
     assert {got[i].component_id for i in range(len(x))} == {0, 28, 108}
 
 
+def test_audit_sees_missed_links_of_small_pairs(spark, monkeypatch):
+    common.ready(spark)
+    r = np.random.default_rng(9)
+    heap = r.standard_normal(32)
+    x = [heap + 0.05 * r.standard_normal(32) for _ in range(60)]
+    x += [v for c in r.standard_normal((30, 32)) for v in (c, c + 0.05 * r.standard_normal(32))]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<double>")
+    counted = spark.createDataFrame([(i, 59 if i < 60 else 0) for i in range(120)], "node long, pairs long")
+    assert nn_descent.audit(nodes, counted, 0.9, 1024, 10) == 0.0
+    monkeypatch.setattr(nn_descent, "audit", lambda *args: 0.5)
+    with pytest.raises(RuntimeError, match="0.5000"):
+        nn_descent.near_vectors(nodes.withColumnsRenamed({"node": "vec_id", "vec": "embedding"}), tables=1, rounds=0, attempts=1)
+
+
 def test_pii(spark, docs, none):
     r = random.Random(8)
     parts = ["a.b@c.de", "@", "x@y", "x@y.z@q.r", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "4111 1111 1111 1111", "4111-1111", " ", "-", ".", "+49 (30) 1234567",
