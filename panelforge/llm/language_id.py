@@ -12,7 +12,8 @@ language beats the model of none, or if the best posterior is below
 
 The trigram model is fitted on a bounded sample of the rows with a declared
 language (``sample`` rows a language, expected; whole texts); everything else
-covers all rows. The model is languages x buckets in size, whatever the corpus.
+covers all rows. The model is languages x buckets in size; every language that a
+handful of rows declare is in it, however large the corpus.
 
 Rows: null and empty texts have no evidence and are rejected; a null declaration,
 address or host says nothing; a declaration that is no language says what its rows' texts say; rows equal
@@ -62,18 +63,16 @@ def _counts(text: str | None) -> np.ndarray:
     return out
 
 
-def fit(rows: DataFrame, sample: int, least_rows: int = 5, least_share: float = 1e-3) -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, sample: int, least_rows: int = 5) -> tuple[list[str], np.ndarray]:
     """Languages and log trigram shares (languages, then none) from ``text, declared``.
 
-    A language needs ``least_rows`` rows and ``least_share`` of all declared ones, which bounds their number.
-    Rows are drawn by hash, at a rate that gives ``sample`` rows a language; the sums that reach the driver
+    A language needs ``least_rows`` rows, however many rows others have. The model takes 64 KB a language: it is
+    as large as the list of languages that are really declared. Rows are drawn by hash, at a rate that gives ``sample`` rows a language; the sums that reach the driver
     have one entry for each language and bucket at most.
     """
     known = rows.where("declared is not null and text is not null")
     sizes = known.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    least = max(least_rows, math.ceil(least_share * total))
-    rates = {r.declared: min(1.0, sample / r.n) for r in sizes.where(F.col("n") >= least).collect()}
+    rates = {r.declared: min(1.0, sample / r.n) for r in sizes.where(F.col("n") >= least_rows).collect()}
     if not rates:
         return [], np.zeros((1, BUCKETS), dtype=np.float32)
     hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -91,11 +90,12 @@ def fit(rows: DataFrame, sample: int, least_rows: int = 5, least_share: float =
 
     table = drawn.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table["lang"].to_pylist()))
-    model = np.full((len(langs) + 1, BUCKETS), 0.05)
+    model = np.full((len(langs) + 1, BUCKETS), 0.05, dtype=np.float32)
     index = {x: i for i, x in enumerate(langs)}
     model[[index[x] for x in table["lang"].to_pylist()], table["bucket"].to_numpy().astype(int)] += table["n"].to_numpy()
     model[-1] = 1.0
-    return langs, np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
+    model /= model.sum(axis=1, keepdims=True, dtype=np.float64).astype(np.float32)
+    return langs, np.log(model, out=model)
 
 
 def text_scores(rows: DataFrame, langs: list[str], model: np.ndarray, *keep: str) -> DataFrame:

@@ -101,6 +101,16 @@ def test_language(spark, docs, none):
     assert language_id.identify(none, F.col("text"), F.col("lang"), host=F.col("source")).count() == 0
 
 
+def test_a_small_language_has_a_model_in_a_large_corpus(spark):
+    common.ready(spark)
+    small = F.col("id") < 9
+    rows = spark.range(12_000).select(
+        F.when(small, F.concat(F.lit("der die und nicht ist "), F.col("id"))).otherwise(F.concat(F.lit("the and of with "), F.col("id"))).alias("text"),
+        F.when(small, "de").otherwise("en").alias("declared"))
+    langs, model = language_id.fit(rows, 1000)
+    assert langs == ["de", "en"] and np.allclose(np.exp(model.astype(float)).sum(axis=1), 1, atol=1e-3)
+
+
 def test_vectors(spark):
     common.ready(spark)
     r = np.random.default_rng(5)
