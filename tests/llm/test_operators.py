@@ -308,6 +308,17 @@ def test_chain_goes_on_behind_a_gap_too_wide():
     assert sorted(c.tolist() for c in substring.chain(at, at, least=2)) == [list(range(9)), list(range(9, 18))]
 
 
+def test_alignment_is_cut_at_a_bad_gap():
+    one, two = prose(80, 60).split(), prose(81, 60).split()
+    at, k = [0, 20, 40, 52], substring.K
+    for gap_y in (prose(83, 60).split(), []):
+        gap_x, far = prose(82, 60).split(), 60 + len(gap_y)
+        x, y = [*one, *gap_x, *two], [*one, *gap_y, *two]
+        got = substring.align(x, y, at + [120 + p for p in at], at + [far + p for p in at], k)
+        assert [(s, e, t, f) for s, e, t, f, m in got if m >= 60] == [(0, 60, 0, 60), (120, 180, far, far + 60)]
+    assert substring.align([*one, "x", *two], [*one, "y", *two], at + [61 + p for p in at], at + [61 + p for p in at], k) == [(0, 121, 0, 121, 120)]
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
