@@ -319,6 +319,14 @@ def test_alignment_is_cut_at_a_bad_gap():
     assert substring.align([*one, "x", *two], [*one, "y", *two], at + [61 + p for p in at], at + [61 + p for p in at], k) == [(0, 121, 0, 121, 120)]
 
 
+def test_every_document_but_the_first_is_a_repeat(spark):
+    common.ready(spark)
+    shared = prose(90, 80)
+    table = [(i, prose(1000 + i, 30) + " " + shared + " " + prose(2000 + i, 30)) for i in range(30)]
+    got = substring.passages(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == set(range(1, 30)) and all(r.ref_id < r.doc_id for r in got)
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
