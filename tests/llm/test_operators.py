@@ -327,6 +327,17 @@ def test_every_document_but_the_first_is_a_repeat(spark):
     assert {r.doc_id for r in got} == set(range(1, 30)) and all(r.ref_id < r.doc_id for r in got)
 
 
+def test_nested_passages_do_not_hide_the_whole_one(spark):
+    common.ready(spark)
+    table = []
+    for i in range(0, 80, 4):
+        shared = prose(3000 + i, 52).split()
+        parts = (shared, shared[:35], shared[17:], shared)
+        table += [(i + j, " ".join([prose(4000 + i + j, 30), *p, prose(5000 + i + j, 30)])) for j, p in enumerate(parts)]
+    got = substring.passages(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.ref_id, r.doc_id) for r in got} == {(i, i + 3) for i in range(0, 80, 4)}
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
