@@ -338,6 +338,19 @@ def test_nested_passages_do_not_hide_the_whole_one(spark):
     assert {(r.ref_id, r.doc_id) for r in got} == {(i, i + 3) for i in range(0, 80, 4)}
 
 
+def test_passages_with_one_word_in_five_changed_are_found(spark):
+    common.ready(spark)
+    r, table, want = random.Random(12), [], set()
+    for i in range(0, 120, 2):
+        one = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        spots = set(range(3, 60, 5)) if i % 4 else set(r.sample(range(2, 58), 11))
+        two = [f"x{r.randrange(10**6)}" if j in spots else x for j, x in enumerate(one)]
+        table += [(i, " ".join([prose(6000 + i, 40), *one, prose(7000 + i, 40)])), (i + 1, " ".join([prose(8000 + i, 40), *two, prose(9000 + i, 40)]))]
+        want.add((i, i + 1))
+    got = substring.passages(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.ref_id, r.doc_id) for r in got} == want
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
