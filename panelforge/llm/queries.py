@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table_path
-from . import language_id, line_dedup, mixing, nn_descent, packing, pii, quality, reputation, simhash, substring
-from .common import ready
+from . import alignment, language_id, line_dedup, mixing, nn_descent, packing, pii, quality, reputation, runs, sharding, simhash, substring
+from .common import ready, words_of
 from .tokens import public_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,4 +116,51 @@ def op10_quality(spark, sf_dir):
                          F.array_join("failed", ",").alias("failed_rules"), "kept")
 
 
+@register
+def op11_cross_alignment(spark, sf_dir):
+    """Alignment of all documents under two vocabularies, with the corpus-wide counts of its links."""
+    found = alignment.align(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"),
+                            public_vocabulary("piece_bpe_32k.model"), hashed=True)
+    return found.select("row.doc_id", *alignment.MEASURES, F.col("alignment").alias("groups_sha256"))
+
+
+@register
+def op12_sharding(spark, sf_dir):
+    """All documents in 24 shards of nearly equal bytes; equal texts lie side by side."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    sharded = sharding.shard_rows(_table(spark, sf_dir, "documents"), 24, size, group="text", ident="doc_id")
+    crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return sharded.select("row.doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot",
+                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The contract's ``doc_id, text``: one text in ten repeats its own words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.size("words")
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, words_of(F.col("text"))).alias("words"))
+    at = split.where(n > 0).withColumn("a", F.pmod(g, n).cast("int"))
+    at = at.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    repeat = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    words = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), repeat), F.lit(1), n)
+    plain = split.where("words is null or size(words) = 0")
+    return at.select("doc_id", F.array_join(words, " ").alias("text")).unionByName(plain.select("doc_id", "text"))
+
+
+@register
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs in all documents, and the texts without their repeats."""
+    found = runs.periodic_runs(_made_periodic(_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                              (-r["period"]).alias("period"))))
+    measured = found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                            F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return measured.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+                           F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 ORACLE: dict[str, str] = {}
