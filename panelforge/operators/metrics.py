@@ -68,6 +68,15 @@ def panel_metrics(levels: DataFrame, spec: PanelSpec, dims=(), window: int = MA_
     W4 cumulative net (NULL on the first row, NULLs skipped after that).
     Windows that share a partition and order share one sort.
     """
+    return _metric_rows(levels, spec, dims, window, ym_as_text)
+
+
+def _metric_rows(levels: DataFrame, spec: PanelSpec, dims, window: int, ym_as_text: bool,
+                 fresh: Column | None = None, carried=None) -> DataFrame:
+    """Rows of :func:`panel_metrics`; with ``fresh`` only those rows come out, the others are what lies before them.
+
+    The cumulative columns then go on from ``carried`` (a column for each group) of the last row before.
+    """
     p, s = spec.p, spec.s
     w = Window.partitionBy(*dims).orderBy("ym")
     wt = w.rowsBetween(-(window - 1), Window.currentRow)
@@ -81,6 +90,12 @@ def panel_metrics(levels: DataFrame, spec: PanelSpec, dims=(), window: int = MA_
         avg = F.avg(F.col(c).cast("decimal(20,0)")).over(wt)
         return F.when(F.col("rn") >= window, F.round(avg, 1)).cast("double")
 
+    def running(c: str) -> Column:
+        if fresh is None:
+            return F.sum(f"{c}_net").over(w)
+        new, old = F.sum(F.when(fresh, F.col(f"{c}_net"))).over(w), F.last(F.when(~fresh, F.col(carried[c])), True).over(w)
+        return F.when(new.isNotNull() | old.isNotNull(), F.coalesce(new, F.lit(0)) + F.coalesce(old, F.lit(0)))
+
     out = base.select(
         *dims,
         (ym_text(F.col("ym")) if ym_as_text else F.col("ym")).alias("ym"),
@@ -89,10 +104,36 @@ def panel_metrics(levels: DataFrame, spec: PanelSpec, dims=(), window: int = MA_
         f"{p}_net", f"{s}_net",
         trailing(p).alias(f"{p}_ma12"),
         trailing(s).alias(f"{s}_ma12"),
-        F.sum(f"{p}_net").over(w).cast("bigint").alias(f"{p}_cum_net"),
-        F.sum(f"{s}_net").over(w).cast("bigint").alias(f"{s}_cum_net"),
+        running(p).cast("bigint").alias(f"{p}_cum_net"),
+        running(s).cast("bigint").alias(f"{s}_cum_net"),
+        *([] if fresh is None else [fresh.alias("__fresh")]),
     )
-    return out
+    return out if fresh is None else out.where("__fresh").drop("__fresh")
+
+
+def metrics_tail(stored: DataFrame, changed: DataFrame, spec: PanelSpec, dims=(), window: int = MA_WINDOW) -> DataFrame:
+    """M7 incrementally: the metric rows from the first changed month on, by ``dims``.
+
+    ``stored`` is an earlier metric table with ``ym`` as a date; ``changed`` has ``ym, *dims`` and the levels of new or
+    changed months. Windows run over the months from the first changed one on and the ``window - 1`` stored rows before
+    it; the cumulative columns go on from the last of these. No fact row is read. Series without a change give no rows.
+    """
+    p, s = spec.p, spec.s
+    keys, levels = [*dims, "ym"], [p, s, "total"]
+    carried = {c: f"{c}_cum_net" for c in (p, s)}
+    first = changed.groupBy(*dims).agg(F.min("ym").alias("__first"))
+    if dims:
+        near = stored.join(first, list(dims))
+    else:
+        near = stored.withColumn("__first", first.scalar()).where("__first IS NOT NULL")
+    back = Window.partitionBy(*dims).orderBy(F.col("ym").desc())
+    before = near.where("ym < __first").withColumn("__k", F.row_number().over(back)).where(F.col("__k") < window)
+    after = near.where("ym >= __first").select(*keys, *levels).join(changed.select(*keys), keys, "left_anti")
+    new = after.unionByName(changed.select(*keys, *levels))
+    rows = before.select(*keys, *levels, *carried.values(), F.lit(False).alias("__new")).unionByName(
+        new.select(*keys, *levels, *[F.lit(None).cast("bigint").alias(c) for c in carried.values()], F.lit(True).alias("__new")))
+    rows = rows.select(*keys, *levels, *[F.col(c).alias(f"__{c}") for c in carried.values()], "__new")
+    return _metric_rows(rows, spec, dims, window, False, F.col("__new"), {k: f"__{c}" for k, c in carried.items()})
 
 
 def share_change(metrics: DataFrame, spec: PanelSpec, dims=()) -> DataFrame:

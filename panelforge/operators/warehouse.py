@@ -124,6 +124,23 @@ def _moved(old: DataFrame, batch: DataFrame, keys, partition_by: str) -> dict:
     return {r[0]: r[1] for r in both.groupBy("__was").agg(F.min(folder)).collect()}
 
 
+def replace_partitions(spark: SparkSession, path: str, rows: DataFrame, partition_by: str, after=None) -> None:
+    """Overwrites the partitions that ``rows`` has (it may read them) by way of a staging folder; the others stay.
+
+    ``after`` is called with the staged rows before the folder goes."""
+    stage = staging_path(spark, os.path.basename(path.rstrip("/")))
+    try:
+        rows.write.mode("overwrite").parquet(stage)
+        staged = spark.read.schema(rows.schema).parquet(stage)
+        # rows of one partition together, and a partition that is too large for one task over several
+        (staged.hint("rebalance", partition_by).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+        if after:
+            after(staged)
+    finally:
+        delete(spark, stage)
+
+
 def upsert(spark: SparkSession, path: str, batch: DataFrame, keys, partition_by: str,
            policy: str = "update", check_unique: bool = True, moves: bool = True) -> list:
     """Merge ``batch`` into the Parquet table at ``path``; returns touched partitions.
@@ -144,20 +161,14 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, keys, partition_by:
     all_parts = [*touched, *(v for v in gone if v not in touched)]
     near = old.filter(F.col(partition_by).isin(all_parts))
     merged = merge_frames(near.select(*batch.columns), batch, keys, policy)
-    stage = staging_path(spark, os.path.basename(path.rstrip("/")))
-    try:
-        merged.write.mode("overwrite").parquet(stage)
-        staged = spark.read.schema(batch.schema).parquet(stage)
-        # rows of one partition together, and a partition that is too large for one task over several
-        (staged.hint("rebalance", partition_by).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
-        if gone:
-            left = {r[0] for r in staged.where(F.col(partition_by).isin([*gone])).select(partition_by).distinct().collect()}
-            for value, folder in gone.items():
-                if value not in left:  # every row of it moved away; an overwrite leaves such a folder as it was
-                    delete(spark, folder)
-    finally:
-        delete(spark, stage)
+
+    def drop_left(staged: DataFrame) -> None:
+        left = {r[0] for r in staged.where(F.col(partition_by).isin([*gone])).select(partition_by).distinct().collect()}
+        for value, folder in gone.items():
+            if value not in left:  # every row of it moved away; an overwrite leaves such a folder as it was
+                delete(spark, folder)
+
+    replace_partitions(spark, path, merged, partition_by, drop_left if gone else None)
     return all_parts
 
 
@@ -204,7 +215,6 @@ def snapshot(fact: DataFrame, ordered: bool = True) -> DataFrame:
     ``xxhash64`` sum (partial aggregation only, no per-row strings) and the
     code count a plain ``count(distinct)``.
     """
-    from ..functions.rowcode import row_text
     if not ordered:
         from .fingerprint import unordered_fingerprint
         from .splice import one_row
@@ -215,17 +225,27 @@ def snapshot(fact: DataFrame, ordered: bool = True) -> DataFrame:
             F.count_distinct("tech_code").alias("n_tech"))
         fp = unordered_fingerprint(fact, FACT_COLS, "xxhash64").select(F.col("hash_sum").alias("md5"))
         return one_row(stats, fp)
+    return fold_months(month_states(fact))
+
+
+def month_states(fact: DataFrame) -> DataFrame:
+    """``year_month, n, s, h, codes`` of each month: rows, sum, ordered md5 of its rows, set of codes."""
+    from ..functions.rowcode import row_text
     enc = fact.select("year_month", "tech_code", "accounts",
                       row_text(fact, FACT_COLS).alias("__t"))
-    per_month = enc.groupBy("year_month").agg(
+    return enc.groupBy("year_month").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("accounts").alias("s"),
         F.expr("md5(listagg(__t, '\\n') WITHIN GROUP (ORDER BY tech_code))").alias("h"),
         F.collect_set("tech_code").alias("codes"),
     )
+
+
+def fold_months(states: DataFrame) -> DataFrame:
+    """The one-row snapshot of a fact from its :func:`month_states`."""
     # a key never repeats, so a month's set of codes is no longer than the code list
     all_codes = F.aggregate(F.collect_set("codes"), F.array().cast("array<string>"), F.array_union)
-    return per_month.agg(
+    return states.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"),
         F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("sum_accounts"),
         ym_text(F.min("year_month")).alias("min_ym"),

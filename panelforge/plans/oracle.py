@@ -638,3 +638,37 @@ s AS (SELECT r_name, tech_code, ym, LEAD(ym) OVER (PARTITION BY r_name, tech_cod
 SELECT r_name, tech_code, strftime(ym, '%Y-%m') AS ym, strftime(nx, '%Y-%m') AS next_ym,
        CAST(date_diff('month', ym, nx) - 1 AS INTEGER) AS n_missing
 FROM s WHERE nx IS NOT NULL AND nx <> ym + INTERVAL 1 MONTH"""
+
+
+# --- maintained state: the same from scratch ------------------------------------
+
+NATION_STATE = """f AS (
+  SELECT n_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS ym, o_orderpriority AS tech_code,
+         o_orderkey IN (SELECT l_orderkey FROM lineitem) AS lined
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+na AS (SELECT n_name, ym, tech_code, CAST(COUNT(*) AS BIGINT) AS accounts FROM f WHERE ym >= DATE '1997-01-01' GROUP BY ALL),
+nb AS (SELECT n_name, ym, tech_code, CAST(COUNT(*) AS BIGINT) AS accounts FROM f
+       WHERE lined AND ym <= DATE '1998-08-01' GROUP BY ALL),
+p AS (SELECT * FROM na UNION ALL SELECT * FROM nb ANTI JOIN na USING (n_name, ym, tech_code))"""
+
+ORACLE["rollup_incremental"] = with_(NATION_STATE) + """
+SELECT n_name, CAST(year(ym) AS INTEGER) AS year, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(SUM(accounts) AS BIGINT) AS total,
+       CAST(ROUND(AVG(accounts)) AS BIGINT) AS avg_accounts
+FROM p GROUP BY 1, 2"""
+
+# Windows here, not the self-joins of metrics_body: 25 nations would make those slow.
+ORACLE["metrics_incremental"] = with_(NATION_STATE, GROUPS, levels("n_name")) + """,
+n AS (SELECT *, a - LAG(a) OVER w AS a_net, b - LAG(b) OVER w AS b_net, ROW_NUMBER() OVER w AS k FROM cm
+      WINDOW w AS (PARTITION BY n_name ORDER BY ym))
+SELECT n_name, strftime(ym, '%Y-%m') AS ym, a, b, a + b AS total,
+       CAST(ROUND(a * 100.0 / NULLIF(a + b, 0), 4) AS DOUBLE) AS a_share, a_net, b_net,
+       CASE WHEN k >= 12 THEN CAST(ROUND(AVG(a) OVER t, 1) AS DOUBLE) END AS a_ma12,
+       CASE WHEN k >= 12 THEN CAST(ROUND(AVG(b) OVER t, 1) AS DOUBLE) END AS b_ma12,
+       CAST(SUM(a_net) OVER w AS BIGINT) AS a_cum_net, CAST(SUM(b_net) OVER w AS BIGINT) AS b_cum_net
+FROM n WINDOW w AS (PARTITION BY n_name ORDER BY ym),
+              t AS (PARTITION BY n_name ORDER BY ym ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""
+
+ORACLE["warehouse_load"] = with_(PANEL, SOURCES, GROUPS) + """
+SELECT strftime(s.ym, '%Y-%m') AS year_month, s.tech_code, s.accounts, s.source, g.camp,
+       CAST(quarter(s.ym) AS INTEGER) AS quarter, CAST(year(s.ym) - 1911 AS INTEGER) AS roc_year
+FROM (SELECT * FROM lb ANTI JOIN la USING (ym, tech_code) UNION ALL SELECT * FROM la) s JOIN g USING (tech_code)"""

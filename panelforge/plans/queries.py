@@ -747,3 +747,7 @@ def missing_months_by_region(spark, sf_dir):
     g = month_gaps(P.orders_panel_by_region(spark, sf_dir), dims=["r_name", "tech_code"])
     return g.select("r_name", "tech_code", ym_text(F.col("ym")).alias("ym"),
                     ym_text(F.col("next_ym")).alias("next_ym"), "n_missing")
+
+
+# queries that write and read back tables of their own register themselves
+from . import stateful  # noqa: E402, F401

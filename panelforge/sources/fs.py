@@ -21,3 +21,9 @@ def delete(spark: SparkSession, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path)) if "://" in path or path.startswith("file:") else (
         jvm.org.apache.hadoop.fs.Path(path))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    p, fs = hadoop_path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []

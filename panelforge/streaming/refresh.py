@@ -3,18 +3,23 @@
 A refresh takes one staged snapshot of the live source (a whole file) and:
 
 1. R1/T13 — compares its latest month with the latest month of the
-   *committed fact* (not with a landing file). Not newer → success, no change.
+   *committed fact* (not with a landing file), which is kept beside it with the
+   digest of each month. Not newer → success, no change.
 2. C1-C8, C13, C14 — validates the staged snapshot (growth mode) and the
    frozen source (strict). Any failure stops the run before any write.
 3. K1-K3 — compares the overlap; anything but ``accept`` stops the run.
 4. R3 — a dry run stops here.
-5. C9-C12/R4/H4 — checks the merged fact as a DataFrame: NOT NULL, CHECK and
+5. C9-C12/R4/H4 — the months whose digest differs from the committed one are
+   read from the fact, no others, and merged as a DataFrame: NOT NULL, CHECK and
    foreign keys, keys that repeat, idempotence (merging the batch again gives
-   the same snapshot) and the anchors on metrics computed from it. Any failure
-   stops the run before any write, so the next run meets the same gates again.
+   the same snapshot) and the anchors on metrics, recomputed from the first
+   changed month on. Any failure stops the run before any write, so the next run
+   meets the same gates again.
 6. S7 — merges the rows that are new or changed into the star schema (staged
    merge, touched partitions only) and compares what was written with the
-   checked frame. ``loaded_at`` is the time a row last changed.
+   checked frame; then brings the kept digests and metrics up to date.
+   ``loaded_at`` is the time a row last changed. After an interrupted commit, or
+   where nothing is kept yet, both come from the whole fact again.
 
 Every step appends a ledger row. Because the staged data is validated as a
 DataFrame before anything is written, no backup / restore is needed (S13). A
@@ -34,18 +39,21 @@ import hashlib
 import os
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.periods import ym_text
 from ..operators import contracts as C
+from ..operators import incremental as I
 from ..operators import metrics as M
 from ..operators import splice as K
 from ..operators import warehouse as W
 from ..operators.normalize import records
 from ..session import checkpoint_dir
 from ..sources import ledger
-from ..sources.fs import exists
+from ..sources.fs import delete, exists
 from ..sources.csv_strict import CORRUPT, StrictScan, read_header, strict_csv, text_schema, with_scan_columns
 from ..spec import PanelSpec, SourceSpec
 
@@ -66,6 +74,14 @@ class RefreshConfig:
     def ledger_path(self) -> str:
         return os.path.join(self.warehouse, "_ledger")
 
+    @property
+    def states_path(self) -> str:
+        return os.path.join(self.warehouse, "_month_states")
+
+    @property
+    def metrics_path(self) -> str:
+        return os.path.join(self.warehouse, "metrics_monthly")
+
 
 def committed_latest(spark: SparkSession, warehouse: str):
     if not exists(spark, os.path.join(warehouse, "fact_subscriptions_monthly")):
@@ -82,14 +98,30 @@ def interrupted(spark: SparkSession, cfg: RefreshConfig) -> bool:
     return last["published"] is False
 
 
-def merged_fact(spark: SparkSession, batch: DataFrame, cfg: RefreshConfig) -> tuple[DataFrame, DataFrame]:
-    """The fact as it would be after the merge of ``batch``, and the rows of it that are new or changed."""
+def kept_states(spark: SparkSession, cfg: RefreshConfig) -> tuple[DataFrame | None, bool]:
+    """Month states of the committed fact (None without one), and whether they had to come from all of it."""
     if not exists(spark, os.path.join(cfg.warehouse, "fact_subscriptions_monthly")):
-        return batch, batch
-    old = W.read_fact(spark, cfg.warehouse).select(*batch.columns)
-    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in W.FACT_COLS]
-    changed = batch.alias("n").join(old.alias("o"), same, "left_anti")
-    return W.merge_frames(old, batch, W.FACT_KEY), changed
+        return None, False
+    if not exists(spark, cfg.states_path) or interrupted(spark, cfg):
+        return W.month_states(W.read_fact(spark, cfg.warehouse)), True
+    return spark.read.parquet(cfg.states_path).drop("year"), False
+
+
+def fact_of(spark: SparkSession, cfg: RefreshConfig, months: list) -> DataFrame:
+    """The committed rows of ``months``; only their partitions are read."""
+    values = sorted({m.year if cfg.partition == "year" else f"{m:%Y-%m}" for m in months})
+    return W.read_fact(spark, cfg.warehouse).where(F.col(cfg.partition).isin(values) & F.col("year_month").isin(months))
+
+
+def checked_metrics(spark: SparkSession, merged: DataFrame, cfg: RefreshConfig, whole: bool) -> DataFrame:
+    """The metric table as it would be after the commit, ``merged`` being the changed months (all if ``whole``)."""
+    levels = M.group_levels(merged.select(F.col("year_month").alias("ym"), "tech_code", "accounts"), cfg.panel)
+    if whole:
+        return M.panel_metrics(levels, cfg.panel)
+    kept = spark.read.parquet(cfg.metrics_path).drop("year")
+    tail = M.metrics_tail(kept, levels, cfg.panel)
+    out = kept.join(tail.select("ym"), "ym", "left_anti").unionByName(tail)
+    return out.withColumn("ym", ym_text(F.col("ym")))
 
 
 def _failed_detail(checks: DataFrame) -> str:
@@ -106,15 +138,16 @@ def refresh_rows(spark: SparkSession, staged_rows: DataFrame, staged_header: lis
         ledger.append(spark, cfg.ledger_path, run_id, step, status, detail)
 
     staged_rows = staged_rows.cache()
-    spliced = checks = None
+    spliced = checks = merged = None
     try:
         # 1. latest-period gate against the committed fact
         from ..operators.normalize import period_columns
         new_latest = period_columns(staged_rows, cfg.live).agg(F.max("ym")).first()[0]
-        cur_latest = committed_latest(spark, cfg.warehouse)
+        states, rebuild = kept_states(spark, cfg)
+        cur_latest = states.agg(F.max("year_month")).first()[0] if states is not None else None
         log("latest_period", "ok", f"committed={cur_latest} staged={new_latest}")
         seen = cur_latest is not None and new_latest is not None and new_latest <= cur_latest
-        if new_latest is None or (seen and not interrupted(spark, cfg)):
+        if new_latest is None or (seen and not (rebuild and interrupted(spark, cfg))):
             log("done", "unchanged", "no new period")
             return {"run_id": run_id, "status": "unchanged", "committed": cur_latest, "staged": new_latest}
 
@@ -153,40 +186,71 @@ def refresh_rows(spark: SparkSession, staged_rows: DataFrame, staged_header: lis
             log("load", "failed", str(e))
             return {"run_id": run_id, "status": "failed", "step": "load", "detail": str(e)}
         batch = W.fact_rows(spliced)
-        merged, changed = merged_fact(spark, batch, cfg)
+        new_states = W.month_states(batch)
+        if states is None:
+            differ = new_states
+        else:
+            differ = new_states.join(states.select("year_month", "n", "h"), ["year_month", "n", "h"], "left_anti")
+        months = [r[0] for r in differ.select("year_month").collect()]     # one for each month of the calendar at most
+        batch = batch.where(F.col("year_month").isin(months))
+        old = batch.limit(0) if states is None else fact_of(spark, cfg, months).select(*batch.columns)
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in W.FACT_COLS]
+        changed = batch.alias("n").join(old.alias("o"), same, "left_anti")
+        merged = W.merge_frames(old, batch, W.FACT_KEY).cache()
         repeated = C.duplicate_keys(merged, W.FACT_KEY).count()
         nbad = W.bad_rows(merged).first()["n_bad"]
         if repeated or nbad:
             log("load", "failed", f"repeated keys={repeated} bad rows={nbad}")
             return {"run_id": run_id, "status": "failed", "step": "load"}
-        snap = W.snapshot(merged).first().asDict()
+
+        def folded(part: DataFrame) -> dict:
+            """Snapshot of the fact with the states ``part`` in place of those of the changed months."""
+            rest = [] if states is None else [states.where(~F.col("year_month").isin(months))]
+            return W.fold_months(reduce(DataFrame.unionByName, rest, part)).first().asDict()
+
+        snap = folded(W.month_states(merged))
         if cfg.verify_idempotence:
-            again = W.snapshot(W.merge_frames(merged, batch, W.FACT_KEY)).first().asDict()
+            again = folded(W.month_states(W.merge_frames(merged, batch, W.FACT_KEY)))
             if again != snap:
                 log("load", "failed", f"not idempotent: {snap} vs {again}")
                 return {"run_id": run_id, "status": "failed", "step": "load"}
+        whole = states is None or rebuild or not exists(spark, cfg.metrics_path)
         if cfg.anchors:
-            fact = merged.select(F.col("year_month").alias("ym"), "tech_code", "accounts")
-            bad = anchor_failures(M.panel_metrics(M.group_levels(fact, cfg.panel), cfg.panel), cfg)
+            fact = merged
+            if whole and states is not None:
+                fact = W.merge_frames(W.read_fact(spark, cfg.warehouse).select(*batch.columns), batch, W.FACT_KEY)
+            bad = anchor_failures(checked_metrics(spark, fact, cfg, whole), cfg)
             if bad:
                 log("metrics", "failed", "; ".join(bad))
                 return {"run_id": run_id, "status": "failed", "step": "metrics", "detail": bad}
             log("metrics", "ok", f"{len(cfg.anchors)} anchors")
 
-        # 6. commit the rows that differ
+        # 6. commit the rows that differ, compare, and bring what is kept beside the fact up to date
         log("commit", "started", f"{cur_latest} -> {new_latest}")
         W.load_star(spark, cfg.warehouse, changed.withColumnRenamed("year_month", "ym"), cfg.panel, cfg.partition)
-        stored = W.snapshot(W.read_fact(spark, cfg.warehouse)).first().asDict()
+        if rebuild or states is None:
+            now = W.month_states(W.read_fact(spark, cfg.warehouse))
+            stored = W.fold_months(now).first().asDict()
+        else:
+            now = W.month_states(fact_of(spark, cfg, months))
+            stored = folded(now)
         if stored != snap:
             log("load", "failed", f"stored {stored} is not {snap}")
             return {"run_id": run_id, "status": "failed", "step": "load"}
+        W.upsert(spark, cfg.states_path, now.withColumn("year", F.year("year_month")), ["year_month"], "year",
+                 check_unique=False, moves=False)
+        if whole and exists(spark, cfg.metrics_path):
+            delete(spark, cfg.metrics_path)
+        part = F.year("year_month") if cfg.partition == "year" else ym_text(F.col("year_month"))
+        I.maintain_metrics(spark, cfg.metrics_path, W.read_fact(spark, cfg.warehouse),
+                           batch.withColumn(cfg.partition, part), cfg.panel, partition_by=cfg.partition)
         log("load", "ok", f"rows={snap['n_rows']} md5={snap['md5']}")
 
         log("done", "published", f"{cur_latest} -> {new_latest}")
         return {"run_id": run_id, "status": "published", "snapshot": snap,
                 "committed": cur_latest, "staged": new_latest}
     finally:
-        for kept in (staged_rows, spliced, checks):
+        for kept in (staged_rows, spliced, checks, merged):
             if kept is not None:
                 kept.unpersist()
 
