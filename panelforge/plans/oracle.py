@@ -672,3 +672,14 @@ ORACLE["warehouse_load"] = with_(PANEL, SOURCES, GROUPS) + """
 SELECT strftime(s.ym, '%Y-%m') AS year_month, s.tech_code, s.accounts, s.source, g.camp,
        CAST(quarter(s.ym) AS INTEGER) AS quarter, CAST(year(s.ym) - 1911 AS INTEGER) AS roc_year
 FROM (SELECT * FROM lb ANTI JOIN la USING (ym, tech_code) UNION ALL SELECT * FROM la) s JOIN g USING (tech_code)"""
+
+ORACLE["state_diff_tree"] = """WITH a AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) AS quantity, l_returnflag, l_linestatus,
+         CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS day FROM lineitem),
+b AS (SELECT * REPLACE (quantity + CASE WHEN l_returnflag = 'R' AND day BETWEEN DATE '1997-05-01' - DATE '1970-01-01'
+                                        AND DATE '1997-05-31' - DATE '1970-01-01' THEN 1 ELSE 0 END AS quantity)
+      FROM a WHERE day < DATE '2001-10-01' - DATE '1970-01-01')
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, quantity, l_returnflag, l_linestatus, day,
+       CAST(SUM(x) AS BIGINT) AS n_a, CAST(SUM(1 - x) AS BIGINT) AS n_b
+FROM (SELECT *, 1 AS x FROM a UNION ALL SELECT *, 0 FROM b)
+GROUP BY 1, 2, 3, 4, 5, 6, 7, 8 HAVING SUM(x) <> SUM(1 - x)"""

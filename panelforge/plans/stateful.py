@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import ym_text
+from ..operators import hashtree as H
 from ..operators import incremental as I
 from ..operators.warehouse import load_star, read_fact, staging_path
 from . import panel as P
@@ -65,3 +66,25 @@ def warehouse_load(spark, sf_dir):
     period = spark.read.parquet(os.path.join(root, "dim_period")).select("year_month", "quarter", "roc_year")
     fact = read_fact(spark, root).join(tech, "tech_code").join(period, "year_month")
     return fact.select(ym_text(F.col("year_month")).alias("year_month"), "tech_code", "accounts", "source", "camp", "quarter", "roc_year")
+
+
+LINE_STATE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "quantity", "l_returnflag", "l_linestatus", "day"]
+REVISED_FROM, REVISED_TO, CUT = "1997-05-01", "1997-05-31", "2001-10-01"
+
+
+def _line_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All lines by ship day; and a state with one month's returns revised and the last days missing."""
+    li = P.read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                      "l_returnflag", "l_linestatus", "l_shipdate")
+    a = li.withColumn("quantity", F.col("l_quantity").cast("bigint")).withColumn("day", F.unix_date(F.col("l_shipdate").cast("date")))
+    shipped = F.col("l_shipdate").cast("date")
+    revised = shipped.between(F.lit(REVISED_FROM).cast("date"), F.lit(REVISED_TO).cast("date")) & (F.col("l_returnflag") == "R")
+    b = a.where(shipped < F.lit(CUT).cast("date")).withColumn("quantity", F.when(revised, F.col("quantity") + 1).otherwise(F.col("quantity")))
+    return a.select(*LINE_STATE), b.select(*LINE_STATE)
+
+
+@register("state_diff_tree")
+def state_diff_tree(spark, sf_dir):
+    """Rows that two states of lineitem hold in different numbers; only days whose digests differ are compared by row."""
+    a, b = _line_states(spark, sf_dir)
+    return H.state_diff(a, b, "day", 1, LINE_STATE)
