@@ -58,13 +58,14 @@ class Windows:
         self._close(self.held.pop(k))
 
     def add(self, doc, start: int, ids: bytes, total: int) -> None:
-        full = 4 * self.size
-        while len(ids) >= full:
-            self._close([(doc, start, ids[:full], total)])
-            ids, start = ids[full:], start + self.size
-        n = len(ids) // 4
-        if not n:
+        full, at = 4 * self.size, 0
+        while len(ids) - at >= full:
+            self._close([(doc, start + at // 4, ids[at: at + full], total)])
+            at += full
+        if at == len(ids):
             return
+        ids, start = ids[at:], start + at // 4
+        n = len(ids) // 4
         fits = [(u, k) for k, u in enumerate(self.used) if u + n <= self.size]
         if fits:
             u, k = max(fits)
@@ -108,11 +109,12 @@ class EndToEnd:
         self.next += 1
 
     def add(self, doc, start: int, ids: bytes, total: int) -> None:
-        while ids:
-            head = ids[: 4 * (self.size - self.used)]
-            self.held.append((doc, start, head, total))
+        at = 0
+        while at < len(ids):
+            head = ids[at: at + 4 * (self.size - self.used)]
+            self.held.append((doc, start + at // 4, head, total))
             self.used += len(head) // 4
-            ids, start = ids[len(head):], start + len(head) // 4
+            at += len(head)
             if self.used == self.size:
                 self._close(self.held)
                 self.held, self.used = [], 0
@@ -155,13 +157,14 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         tokenizer = word_tokenizer(tokenizer_path)
         state = Windows(window, open_windows, max_waste, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist()), strict=True):
                     state.add(doc, 0, ids + end, len(ids) // 4 + 1)
-                if state.done:
-                    yield _batch(state.done, [False] * len(state.done))
-                    state.done = []
+                for lo in range(0, len(state.done), 2048):
+                    rows = state.done[lo: lo + 2048]
+                    yield _batch(rows, [False] * len(rows))
+                state.done = []
         if rest := state.leftovers():
             yield _batch(rest, [True] * len(rest))
 
