@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Iterator
@@ -11,11 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, tune
+from ..sources.fs import delete
 
 #: Characters that separate words: space and 0x09-0x0D.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Whether the shuffle files of a query go when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the folder that ``spark.checkpoint.dir`` names.
 
@@ -28,6 +34,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that :func:`written` made and that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            delete(table.sparkSession, folder)
+
+
+def freed(operator):
+    """``operator(df, ...)``, whose own jobs leave no shuffle files behind; the session's setting is put back."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        conf, before = df.sparkSession.conf, df.sparkSession.conf.get(FREE_SHUFFLES)
+        conf.set(FREE_SHUFFLES, "true")
+        try:
+            return operator(df, *args, **kwargs)
+        finally:
+            conf.set(FREE_SHUFFLES, before)
+
+    return run
+
+
 def row_key(*cols: Column | str) -> list[Column]:
     """Two 64-bit hashes of the given columns, ``_k1`` and ``_k2``; never null.
 
