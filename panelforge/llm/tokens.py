@@ -24,7 +24,7 @@ BORDER = "\ue000"
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Bytes of text that are split into words at once.
-PIECE = 1 << 23
+PIECE = 1 << 22
 #: Words of characters that don't compose with their neighbours (those below U+0250) and have one as their lower case
 #: (all but the dotted capital I), and words that end in a letter, or in one and a tail.
 SIMPLE = r"^[\x00-\x{12f}\x{131}-\x{24f}]*$"
@@ -56,9 +56,9 @@ def little(ids: list[int]) -> bytes:
 
 
 class WordTokenizer:
-    """``words`` bounds the cache: two generations of that many words each."""
+    """``words`` bounds the cache: an old generation of at most twice that many words and a new one of that many."""
 
-    def __init__(self, path: str, words: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, words: int = 100_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,6 +87,9 @@ class WordTokenizer:
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of different words; the cache keeps the short ones."""
+        return [x for lo in range(0, len(words), self.size) for x in self._some_ids(words[lo: lo + self.size])]
+
+    def _some_ids(self, words: list[str]) -> list[bytes]:
         new, old, tokenize = self.new, self.old, self.model.model.tokenize
         out, usual = list(map(new.get, words)), []
         for i, w in enumerate(words):

@@ -46,3 +46,13 @@ def test_end_to_end_cuts_one_long_piece():
     assert b"".join(x[3] for x in state.done) == ids
     assert [x[2] for x in state.done] == [16] * 9 + [4, 1]
     assert [x[1] for x in state.done] == [3 + 16 * k for k in range(10)] + [3 + 148]
+
+
+def test_the_tokenizer_holds_few_words_whatever_a_text_has():
+    tokenizer = WordTokenizer(public_vocabulary("word_bpe_49k.json"))
+    letters = "abcdefghijklmnop"
+    name = lambda i: "".join(letters[i >> 4 * k & 15] for k in range(5))
+    text = " ".join(name(i) for i in range(450_000))
+    whole = tokenizer.encode([text])[0]
+    assert len(tokenizer.new) + len(tokenizer.old) <= 300_000
+    assert whole[-4000:] == WordTokenizer(public_vocabulary("word_bpe_49k.json")).encode([text[-12000:]])[0][-4000:]
